@@ -1,0 +1 @@
+"""Deliberately empty: the engine mines complete monthly logs and defines no streaming operator."""
