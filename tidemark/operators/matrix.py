@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import round2
 from tidemark.functions.text import content_tokens, stem
+from tidemark.session import stage
 
 
 def term_counts(occurrences: DataFrame) -> DataFrame:
@@ -122,7 +123,7 @@ def normalised_rows(long: DataFrame) -> DataFrame:
     """Scale every row (term) of a long matrix to unit length; zero rows have no entries left."""
     norms = long.groupBy("term").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("_norm"))
     return long.join(norms.where(F.col("_norm") > 0), "term").select(
-        "term", "feature", (F.col("weight") / F.col("_norm")).alias("weight")
+        F.col("term").cast("string").alias("term"), "feature", (F.col("weight") / F.col("_norm")).alias("weight")
     )
 
 
@@ -138,8 +139,9 @@ def row_cosine(
     slices leave the task as one number per pair. Both counts follow from the measured size unless given;
     (term, feature) must be unique.
     """
+    rows = stage(normalised_rows(long), "unit-rows")
     if blocks is None or slices is None:
-        sizes = long.agg(
+        sizes = rows.agg(
             F.approx_count_distinct("term").alias("rows"),
             F.approx_count_distinct("feature").alias("features"),
             F.count(F.lit(1)).alias("cells"),
@@ -150,8 +152,8 @@ def row_cosine(
             math.ceil(sizes["features"] / SLICE_FEATURES),
             math.ceil(sizes["cells"] / (blocks * CELL_ENTRIES)),
         )
-    unit = normalised_rows(long).select(
-        F.col("term").cast("string").alias("term"), "feature", "weight",
+    unit = rows.select(
+        "term", "feature", "weight",
         F.pmod(F.hash("term"), F.lit(blocks)).alias("_block"),
         F.pmod(F.hash("feature"), F.lit(slices)).alias("_slice"),
     )

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.text import normalise
 from tidemark.functions.urls import dataset_id, event_class, request_path
 from tidemark.operators import crawlers, matrix, mining, sessions
+from tidemark.session import stage
 from tidemark.sources import logs
 from tidemark.sources.matrices import parse_triples
 
@@ -90,11 +91,11 @@ def visitor_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def clean_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return crawlers.remove_crawlers(visitor_log(spark, sf_dir), SITE, RATE)
+    return crawlers.remove_crawlers(stage(visitor_log(spark, sf_dir), "visitor-log"), SITE, RATE)
 
 
 def gap_sessions(spark: SparkSession, sf_dir: str, gap: int = GAP) -> DataFrame:
-    return sessions.sessions_by_gap(clean_log(spark, sf_dir), gap)
+    return sessions.sessions_by_gap(stage(clean_log(spark, sf_dir), "clean-log"), gap)
 
 
 def referer_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -176,7 +177,7 @@ def metadata_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def term_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = [f(spark, sf_dir).select("term_a", "term_b", "weight", "model") for f in (history_pairs, click_pairs, metadata_pairs)]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return stage(parts[0].unionByName(parts[1]).unionByName(parts[2]), "term-pairs")
 
 
 def ontology(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Times in the logs are instants; every derived clock value is rendered in UTC.
 RUNTIME_CONF = {
@@ -28,6 +29,7 @@ def local_session(cores: int | str = 8, app: str = "tidemark", memory: str = "8g
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", str(cores))
         .config("spark.sql.session.timeZone", "UTC")
@@ -48,3 +50,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         folder = tempfile.mkdtemp(prefix="tidemark-checkpoint-")
     context.setCheckpointDir(folder)
+
+
+def stage(table: DataFrame, label: str) -> DataFrame:
+    """Write a table that later steps read more than once to the shared folder and read it back.
+
+    The lineage ends at the files, so neither a lost executor nor a second use recomputes what is above,
+    and the optimizer knows the real size of what it reads.
+    """
+    spark = table.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/{label}-{uuid.uuid4().hex}"
+    table.write.parquet(path)
+    return spark.read.schema(table.schema).parquet(path)
