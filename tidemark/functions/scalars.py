@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 
 def round2(value: Column) -> Column:
-    """Two decimals, half to even."""
-    return F.bround(value, 2)
+    """Two decimals, half to even; noise past ten decimals cannot tip a tie."""
+    return F.bround(F.round(value, 10), 2)
 
 
 def seconds_between(start: Column, end: Column) -> Column:

@@ -53,6 +53,11 @@ def _bind(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def _may_end_in(word: Column, suffixes) -> Column:
+    """Cheap test of the last two letters, so that most words never reach a regular expression."""
+    return F.substring(word, -2, 2).isin(*sorted({s[-2:] for s in suffixes}))
+
+
 def _plural(w: Column) -> Column:
     return (
         F.when(~F.endswith(w, F.lit("s")) | F.endswith(w, F.lit("ss")), w)
@@ -79,9 +84,10 @@ def _past_and_gerund(w: Column) -> Column:
         return F.when(_chop(w, n).rlike(HAS_VOWEL), _bind(_chop(w, n), _restore_e)).otherwise(w)
 
     return (
-        F.when(w.rlike("^.+eed$"), F.when(_chop(w, 3).rlike(MEASURE_GT0), _chop(w, 1)).otherwise(w))
-        .when(w.rlike("^.+ed$"), cut(2))
-        .when(w.rlike("^.+ing$"), cut(3))
+        F.when(~_may_end_in(w, ("ed", "ing")), w)
+        .when(F.endswith(w, F.lit("eed")), F.when(_chop(w, 3).rlike(MEASURE_GT0), _chop(w, 1)).otherwise(w))
+        .when(F.endswith(w, F.lit("ed")), cut(2))
+        .when(F.endswith(w, F.lit("ing")), cut(3))
         .otherwise(w)
     )
 
@@ -99,7 +105,7 @@ def _swap_suffix(rules: dict[str, str]) -> Callable[[Column], Column]:
     def step(w: Column) -> Column:
         stem = F.regexp_extract(w, pattern, 1)
         return F.when(
-            w.rlike(pattern) & stem.rlike(MEASURE_GT0),
+            _may_end_in(w, rules) & w.rlike(pattern) & stem.rlike(MEASURE_GT0),
             F.concat(stem, F.try_element_at(table, F.regexp_extract(w, pattern, 2))),
         ).otherwise(w)
 
@@ -111,7 +117,8 @@ def _drop_suffix(w: Column) -> Column:
     ion = "^(.+?[st])ion$"
     stem, ion_stem = F.regexp_extract(w, plain, 1), F.regexp_extract(w, ion, 1)
     return (
-        F.when(w.rlike(plain), F.when(stem.rlike(MEASURE_GT1), stem).otherwise(w))
+        F.when(~_may_end_in(w, (*STEP4_SUFFIXES, "ion")), w)
+        .when(w.rlike(plain), F.when(stem.rlike(MEASURE_GT1), stem).otherwise(w))
         .when(w.rlike(ion) & ion_stem.rlike(MEASURE_GT1), ion_stem)
         .otherwise(w)
     )
@@ -120,7 +127,7 @@ def _drop_suffix(w: Column) -> Column:
 def _final_e(w: Column) -> Column:
     stem = _chop(w, 1)
     drop = stem.rlike(MEASURE_GT1) | (stem.rlike(MEASURE_EQ1) & ~stem.rlike(SHORT_SYLLABLE))
-    return F.when(w.rlike("^.+e$") & drop, stem).otherwise(w)
+    return F.when(F.endswith(w, F.lit("e")) & drop, stem).otherwise(w)
 
 
 def _final_ll(w: Column) -> Column:

@@ -184,9 +184,12 @@ def vectors_to_long(vectors: DataFrame, term: str, values: str) -> DataFrame:
     ).where(F.col("weight") != 0)
 
 
+ZERO = 1e-9  # what is left of an exact zero after a decomposition
+
+
 def positive_pairs(pairs: DataFrame) -> DataFrame:
     """Pairs with positive weight at two decimals."""
-    return pairs.where(F.col("weight") > 0).withColumn("weight", round2(F.col("weight")))
+    return pairs.where(F.col("weight") > ZERO).withColumn("weight", round2(F.col("weight")))
 
 
 def symmetric(pairs: DataFrame, terms: DataFrame) -> DataFrame:

@@ -46,7 +46,8 @@ def search_metadata(groups: DataFrame, index: DataFrame, k: int = 500) -> DataFr
     parts = scored.join(terms, "term").groupBy("input", "part", "n_terms", "doc").agg(
         F.count(F.lit(1)).alias("matched"), F.sum("part_score").alias("part_score")
     ).where(F.col("matched") == F.col("n_terms"))
-    hits = parts.groupBy("input", "doc").agg(F.sum("part_score").alias("score"))
+    # Equal scores must tie whatever order their terms were summed in, so they are rounded first.
+    hits = parts.groupBy("input", "doc").agg(F.round(F.sum("part_score"), 8).alias("score"))
     rank = F.row_number().over(Window.partitionBy("input").orderBy(F.desc("score"), "doc"))
     top = hits.withColumn("rank", rank).where(F.col("rank") <= k)
     best = F.max("score").over(Window.partitionBy("input"))
