@@ -229,15 +229,19 @@ def svd_embedding(long: DataFrame, k: int) -> DataFrame:
     driver holds, so the column count is checked. The term id travels with its row.
     """
     spark = long.sparkSession
-    columns = dense_ids(long.select(F.col("doc").cast("string").alias("doc")), "doc").withColumnRenamed("id", "c")
+    entries = stage(
+        long.select(F.col("term").cast("string").alias("term"), F.col("doc").cast("string").alias("doc"), "weight"),
+        "svd-entries",
+    )
+    columns = stage(dense_ids(entries, "doc").withColumnRenamed("id", "c"), "svd-columns")
     n_columns = columns.count()
     if n_columns > MAX_SVD_COLUMNS:
         raise ValueError(f"{n_columns} columns exceed {MAX_SVD_COLUMNS}; use row_cosine on the weights")
-    terms = dense_ids(long.select(F.col("term").cast("string").alias("term")), "term").withColumnRenamed("id", "r")
-    cells = (
-        long.select(F.col("term").cast("string").alias("term"), F.col("doc").cast("string").alias("doc"), "weight")
-        .join(columns, "doc").join(terms, "term")
-        .groupBy("r").agg(F.array_sort(F.collect_list(F.struct("c", "weight"))).alias("cells"))
+    terms = stage(dense_ids(entries, "term").withColumnRenamed("id", "r"), "svd-terms")
+    cells = stage(
+        entries.join(columns, "doc").join(terms, "term")
+        .groupBy("r").agg(F.array_sort(F.collect_list(F.struct("c", "weight"))).alias("cells")),
+        "svd-rows",
     )
     rows = cells.rdd.map(
         lambda x: IndexedRow(x["r"], Vectors.sparse(n_columns, [(c["c"], c["weight"]) for c in x["cells"]]))

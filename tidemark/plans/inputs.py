@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.text import normalise
 from tidemark.functions.urls import dataset_id, event_class, request_path
 from tidemark.operators import crawlers, matrix, mining, sessions
-from tidemark.session import stage
+from tidemark.session import spread, stage
 from tidemark.sources import logs
 from tidemark.sources.matrices import parse_triples
 
@@ -148,23 +148,23 @@ def session_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).distinct()
 
 
-def history_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Keyword pairs by shared visitors."""
-    long = mining.user_term_matrix(session_keywords(spark, sf_dir))
+def history_pairs(keywords: DataFrame) -> DataFrame:
+    """Keyword pairs by shared visitors from (ip, session_id, keyword)."""
+    long = mining.user_term_matrix(keywords)
     return matrix.positive_pairs(matrix.row_cosine(long)).withColumn("model", F.lit("userHistory"))
 
 
-def click_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Keyword pairs by shared supplier, tf-idf weighted."""
-    occurrences = purchases(spark, sf_dir).select(F.col("keyword").alias("term"), F.col("l_suppkey").alias("doc"))
+def click_pairs(bought: DataFrame) -> DataFrame:
+    """Keyword pairs by shared order, tf-idf weighted, from (ip, session_id, keyword) with repeats."""
+    occurrences = bought.select(F.col("keyword").alias("term"), F.col("session_id").alias("doc"))
     weights = matrix.tfidf(matrix.term_counts(occurrences)).select("term", F.col("doc").alias("feature"), "weight")
     return matrix.positive_pairs(matrix.row_cosine(weights)).withColumn("model", F.lit("userClicking"))
 
 
 def brand_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """tf-idf of part names (terms) over brands (documents)."""
+    """tf-idf of part names (terms) over lines of a brand (documents)."""
     parts = table(spark, sf_dir, "part").select(
-        normalise(F.col("p_name")).alias("term"), F.col("p_brand").alias("doc")
+        normalise(F.col("p_name")).alias("term"), F.concat_ws(" ", "p_brand", "p_type").alias("doc")
     )
     return matrix.tfidf(matrix.term_counts(parts))
 
@@ -176,7 +176,15 @@ def metadata_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def term_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = [f(spark, sf_dir).select("term_a", "term_b", "weight", "model") for f in (history_pairs, click_pairs, metadata_pairs)]
+    """The three pair models in one written table."""
+    bought = stage(
+        purchases(spark, sf_dir).select(
+            F.col("o_custkey").alias("ip"), F.col("l_orderkey").alias("session_id"), "keyword"
+        ),
+        "purchases",
+    )
+    models = (history_pairs(bought.distinct()), click_pairs(bought), metadata_pairs(spark, sf_dir))
+    parts = [m.select("term_a", "term_b", "weight", "model") for m in models]
     return stage(parts[0].unionByName(parts[1]).unionByName(parts[2]), "term-pairs")
 
 
@@ -213,7 +221,7 @@ def rule_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def document_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), "text")
+    docs = spread(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), "text"))
     return matrix.stemmed_counts(docs)
 
 

@@ -254,7 +254,7 @@ SELECT ip, n_name AS location FROM ips LEFT JOIN nation ON num BETWEEN n_nationk
 
 BUYS = """
 buys AS (
-  SELECT l_orderkey, l_suppkey, l_returnflag, l_linestatus, o_custkey, p_brand, p_type, replace(p_name, 'large', 'larg') AS keyword
+  SELECT l_orderkey, l_returnflag, l_linestatus, o_custkey, p_brand, p_type, replace(p_name, 'large', 'larg') AS keyword
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey),
 sk AS (SELECT DISTINCT o_custkey AS ip, l_orderkey AS session_id, keyword FROM buys)"""
 USER_TERMS = f"""{BUYS},
@@ -271,7 +271,7 @@ weights AS (
 
 def _cosine(source: str, name: str) -> str:
     return f"""
-{name}_len AS (SELECT term, sqrt(sum(weight * weight)) AS len FROM {source} GROUP BY term),
+{name}_len AS (SELECT term, sqrt(sum(weight * weight)) AS len FROM {source} GROUP BY term HAVING sum(weight * weight) > 0),
 {name}_dot AS (SELECT a.term AS term_a, b.term AS term_b, sum(a.weight * b.weight) AS dot FROM {source} a JOIN {source} b ON a.feature = b.feature AND a.term < b.term GROUP BY ALL),
 {name} AS (SELECT term_a, term_b, dot / (x.len * y.len) AS cosine FROM {name}_dot JOIN {name}_len x ON term_a = x.term JOIN {name}_len y ON term_b = y.term)"""
 
@@ -297,13 +297,13 @@ def _tfidf(source: str, name: str) -> str:
 
 
 BRANDS = f"""
-brand_tf AS (SELECT replace(p_name, 'large', 'larg') AS term, p_brand AS doc, count(*) AS tf FROM part GROUP BY ALL),
+brand_tf AS (SELECT replace(p_name, 'large', 'larg') AS term, p_brand || ' ' || p_type AS doc, count(*) AS tf FROM part GROUP BY ALL),
 {_tfidf('brand_tf', 'brand')}"""
 BRAND_COSINE = f"{BRANDS}, {_cosine('brand', 'brand_cs')}"
 SQL["svd_term_cosine"] = f"""WITH {BRAND_COSINE}
-SELECT term_a, term_b, {_half_even('cosine')} AS weight FROM brand_cs WHERE cosine > 0"""
+SELECT term_a, term_b, {_half_even('cosine')} AS weight FROM brand_cs WHERE cosine > 1e-9"""
 SQL["full_similarity"] = f"""WITH {BRAND_COSINE},
-p AS (SELECT term_a, term_b, {_half_even('cosine')} AS weight FROM brand_cs WHERE cosine > 0)
+p AS (SELECT term_a, term_b, {_half_even('cosine')} AS weight FROM brand_cs WHERE cosine > 1e-9)
 SELECT term_a, term_b, weight FROM p UNION ALL SELECT term_b, term_a, weight FROM p UNION ALL SELECT DISTINCT term, term, 1.0 FROM brand"""
 SQL["transposed_matrix"] = f"WITH {BRANDS} SELECT feature AS term, term AS doc, tf, round(weight, 6) AS weight FROM brand"
 SQL["term_brand_matrix"] = "SELECT replace(p_name, 'large', 'larg') AS term, " + ", ".join(
@@ -312,7 +312,7 @@ SQL["term_brand_matrix"] = "SELECT replace(p_name, 'large', 'larg') AS term, " +
 SQL["embedding_cosine"] = f"""WITH
 vals AS (SELECT CAST(vec_id AS VARCHAR) AS term, unnest(embedding)::DOUBLE AS weight, generate_subscripts(embedding, 1) AS feature FROM embeddings),
 {_cosine('vals', 'cs')}
-SELECT term_a, term_b, {_half_even('cosine')} AS weight FROM cs WHERE cosine > 0"""
+SELECT term_a, term_b, {_half_even('cosine')} AS weight FROM cs WHERE cosine > 1e-9"""
 
 # --- texts -----------------------------------------------------------------------------------------
 
@@ -370,7 +370,7 @@ FREQUENT = f"""{COUNTS},
 common AS (SELECT term FROM counts GROUP BY term HAVING count(*) > 0.1 * (SELECT count(DISTINCT doc) FROM counts)),
 fcounts AS (SELECT * FROM counts WHERE term IN (SELECT term FROM common)), {_tfidf('fcounts', 'fw')}, {_cosine('fw', 'fcs')}"""
 SQL["document_term_cosine"] = f"""WITH {FREQUENT}
-SELECT term_a, term_b, {_half_even('cosine')} AS weight FROM fcs WHERE cosine > 0"""
+SELECT term_a, term_b, {_half_even('cosine')} AS weight FROM fcs WHERE cosine > 1e-9"""
 SQL["corpus_word_counts"] = f"""WITH {TOKENS},
 words AS (SELECT w FROM toks UNION ALL SELECT '' FROM documents WHERE len(regexp_extract_all(lower(text), '{_TOKEN}')) = 0)
 SELECT w AS word, count(*) AS n FROM words WHERE NOT contains(w, '_') GROUP BY ALL"""
@@ -427,12 +427,12 @@ onto AS (
   FROM part s JOIN part o ON o.p_partkey = s.p_partkey + 1)"""
 PAIRS = f"""{USER_TERMS},
 binary_terms AS (SELECT keyword AS term, ip AS feature, 1.0::DOUBLE AS weight FROM kept), {_cosine('binary_terms', 'hist')},
-supp_tf AS (SELECT keyword AS term, l_suppkey AS doc, count(*) AS tf FROM buys GROUP BY ALL), {_tfidf('supp_tf', 'supp')}, {_cosine('supp', 'click_cs')},
+supp_tf AS (SELECT keyword AS term, l_orderkey AS doc, count(*) AS tf FROM buys GROUP BY ALL), {_tfidf('supp_tf', 'supp')}, {_cosine('supp', 'click_cs')},
 {BRAND_COSINE},
 term_pairs AS (
-  SELECT term_a, term_b, {_half_even('cosine')} AS weight, 'userHistory' AS model FROM hist WHERE cosine > 0
-  UNION ALL SELECT term_a, term_b, {_half_even('cosine')}, 'userClicking' FROM click_cs WHERE cosine > 0
-  UNION ALL SELECT term_a, term_b, {_half_even('cosine')}, 'GCMDMetadata' FROM brand_cs WHERE cosine > 0)"""
+  SELECT term_a, term_b, {_half_even('cosine')} AS weight, 'userHistory' AS model FROM hist WHERE cosine > 1e-9
+  UNION ALL SELECT term_a, term_b, {_half_even('cosine')}, 'userClicking' FROM click_cs WHERE cosine > 1e-9
+  UNION ALL SELECT term_a, term_b, {_half_even('cosine')}, 'GCMDMetadata' FROM brand_cs WHERE cosine > 1e-9)"""
 
 
 def _related(inputs: str) -> str:
@@ -511,17 +511,17 @@ ranked_hits AS (SELECT *, row_number() OVER (PARTITION BY input ORDER BY score D
 
 SQL["document_search"] = f"""WITH {FREQUENT},
 vocab AS (SELECT term AS w FROM common), {_porter('vocab', 'v')},
-term_pairs AS (SELECT term_a, term_b, {_half_even('cosine')} AS weight, 'GCMDMetadata' AS model FROM fcs WHERE cosine > 0),
+term_pairs AS (SELECT term_a, term_b, {_half_even('cosine')} AS weight, 'GCMDMetadata' AS model FROM fcs WHERE cosine > 1e-9),
 onto AS (SELECT '' AS concept_a, '' AS concept_b, 0.0::DOUBLE AS weight WHERE false),
 asked AS (SELECT w AS input, CASE WHEN w IN ({_STOP}) THEN '' ELSE s END AS known FROM v), {_related('asked')},
 phrases AS (SELECT input, 0 AS part, input AS phrase FROM asked UNION ALL SELECT input, k, term FROM top WHERE k <= 3),
 qterms AS (SELECT p.input, p.part, v.s FROM phrases p JOIN v ON p.phrase = v.w WHERE p.phrase NOT IN ({_STOP})), {_search('qterms')}
-SELECT input, CAST(k AS INTEGER) AS rank, doc, round(score, 6) AS score, {_half_even('score / best * 100')} AS relevance FROM ranked_hits WHERE k <= 500"""
+SELECT input, CAST(k AS INTEGER) AS rank, doc, score, {_half_even('score / best * 100')} AS relevance FROM ranked_hits WHERE k <= 500"""
 SQL["benchmark_search"] = f"""WITH {COUNTS},
 btoks AS (SELECT text AS input, unnest(regexp_extract_all(lower(text), '{_TOKEN}')) AS w FROM benchmark),
 bcontent AS (SELECT DISTINCT input, w FROM btoks WHERE w NOT IN ({_STOP})), {_porter('bcontent', 'bs')},
 qterms AS (SELECT DISTINCT input, 0 AS part, s FROM bcontent JOIN bs USING (w)), {_search('qterms')}
-SELECT md5(input) AS input, CAST(k AS INTEGER) AS rank, doc, round(score, 6) AS score, {_half_even('score / best * 100')} AS relevance FROM ranked_hits WHERE k <= 500"""
+SELECT md5(input) AS input, CAST(k AS INTEGER) AS rank, doc, score, {_half_even('score / best * 100')} AS relevance FROM ranked_hits WHERE k <= 500"""
 
 # --- metadata --------------------------------------------------------------------------------------
 

@@ -12,7 +12,7 @@ from tidemark.operators import (
     crawlers, geo, linkage, matrix, mining, rules, search, sessions, topics, tree,
 )
 from tidemark.plans import inputs as src
-from tidemark.session import prepare
+from tidemark.session import prepare, spread, stage
 from tidemark.sources import logs, matrices, metadata
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -325,7 +325,7 @@ def document_terms(spark, sf_dir):
 
 @registered
 def document_tfidf(spark, sf_dir):
-    return matrix.tfidf(src.document_counts(spark, sf_dir)).select("term", "doc", "tf", F.round("weight", 6).alias("weight"))
+    return matrix.tfidf(stage(src.document_counts(spark, sf_dir), "document-counts")).select("term", "doc", "tf", F.round("weight", 6).alias("weight"))
 
 
 @registered
@@ -342,8 +342,8 @@ def user_history_cosine(spark, sf_dir):
 
 @registered
 def document_term_cosine(spark, sf_dir):
-    counts = matrix.frequent_terms(src.document_counts(spark, sf_dir), min_share=0.1)
-    weights = matrix.tfidf(counts).select("term", F.col("doc").alias("feature"), "weight")
+    counts = stage(src.document_counts(spark, sf_dir), "document-counts")
+    weights = matrix.tfidf(matrix.frequent_terms(counts, min_share=0.1)).select("term", F.col("doc").alias("feature"), "weight")
     return matrix.positive_pairs(matrix.row_cosine(weights))
 
 
@@ -421,7 +421,7 @@ def corpus_word_counts(spark, sf_dir):
 
 @registered
 def token_stems(spark, sf_dir):
-    docs = src.table(spark, sf_dir, "documents")
+    docs = spread(src.table(spark, sf_dir, "documents").select("text"))
     words = docs.select(F.explode(text.tokens(F.col("text"))).alias("token")).distinct()
     return words.select("token", text.stem(F.col("token")).alias("stem"))
 
@@ -531,24 +531,24 @@ def autocomplete(spark, sf_dir):
 
 @registered
 def document_search(spark, sf_dir):
-    counts = src.document_counts(spark, sf_dir)
-    weights = matrix.tfidf(matrix.frequent_terms(counts, min_share=0.1))
+    counts = stage(src.document_counts(spark, sf_dir), "document-counts")
+    weights = stage(matrix.tfidf(matrix.frequent_terms(counts, min_share=0.1)), "document-weights")
     pairs = matrix.positive_pairs(
         matrix.row_cosine(weights.select("term", F.col("doc").alias("feature"), "weight"))
     ).withColumn("model", F.lit("GCMDMetadata"))
     asked = weights.select(F.col("term").alias("input")).distinct()
     no_concepts = spark.createDataFrame([], "concept_a string, concept_b string, weight double")
-    fused = linkage.fuse_terms(linkage.related_terms(asked, pairs, no_concepts))
+    fused = linkage.fuse_terms(linkage.related_terms(asked, stage(pairs, "document-pairs"), no_concepts))
     hits = search.search_metadata(linkage.query_groups(asked, fused), counts)
-    return hits.select("input", "rank", "doc", F.round("score", 6).alias("score"), "relevance")
+    return hits.select("input", "rank", "doc", "score", "relevance")
 
 
 @registered
 def benchmark_search(spark, sf_dir):
     asked = src.table(spark, sf_dir, "benchmark").select(F.col("text").alias("input"))
     groups = asked.select("input", F.lit(0).alias("part"), F.col("input").alias("phrase"))
-    hits = search.search_metadata(groups, src.document_counts(spark, sf_dir))
-    return hits.select(F.md5("input").alias("input"), "rank", "doc", F.round("score", 6).alias("score"), "relevance")
+    hits = search.search_metadata(groups, stage(src.document_counts(spark, sf_dir), "document-counts"))
+    return hits.select(F.md5("input").alias("input"), "rank", "doc", "score", "relevance")
 
 
 # --- metadata --------------------------------------------------------------------------------------

@@ -63,3 +63,12 @@ def stage(table: DataFrame, label: str) -> DataFrame:
     path = f"{spark.sparkContext.getCheckpointDir()}/{label}-{uuid.uuid4().hex}"
     table.write.parquet(path)
     return spark.read.schema(table.schema).parquet(path)
+
+
+def spread(table: DataFrame) -> DataFrame:
+    """Deal the rows of an input with fewer partitions than cores over all cores.
+
+    For CPU-bound work on a few small files; an input that already fills the cluster is left alone.
+    """
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
