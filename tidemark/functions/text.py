@@ -48,7 +48,7 @@ def _chop(word: Column, n: int) -> Column:
     return F.substring(word, F.lit(1), F.length(word) - n)
 
 
-def _bind(value: Column, body: Callable[[Column], Column]) -> Column:
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
     """Evaluate ``value`` once and use it many times inside ``body``."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
@@ -81,7 +81,7 @@ def _restore_e(stem: Column) -> Column:
 
 def _past_and_gerund(w: Column) -> Column:
     def cut(n: int) -> Column:
-        return F.when(_chop(w, n).rlike(HAS_VOWEL), _bind(_chop(w, n), _restore_e)).otherwise(w)
+        return F.when(_chop(w, n).rlike(HAS_VOWEL), bind(_chop(w, n), _restore_e)).otherwise(w)
 
     return (
         F.when(~_may_end_in(w, ("ed", "ing")), w)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tidemark.functions.text import normalise_list
+from tidemark.functions.text import bind, normalise_list
 
 # Fixed value: how a page path is found inside a lower-cased request line.
 REQUEST_PATH = "get (.*?) http/*"
@@ -105,11 +105,16 @@ def query_map(url: Column) -> Column:
     return F.coalesce(F.map_from_entries(query_pairs(url)), empty)
 
 
+def _value_in(part: Column, name: str) -> Column:
+    pattern = f"^(?:.*&)?{name}(?:=([^&=]*)[^&]*)?(?:&.*)?$"
+    return F.when(
+        F.contains(part, F.lit(name)) & part.rlike(pattern), F.regexp_extract(part, pattern, 1)
+    )
+
+
 def query_value(url: Column, name: str) -> Column:
     """Value of the last occurrence of one parameter: '' without '=', null when absent."""
-    pattern = f"^(?:.*&)?{name}(?:=([^&=]*)[^&]*)?(?:&.*)?$"
-    part = query_part(url)
-    return F.when(part.rlike(pattern), F.regexp_extract(part, pattern, 1))
+    return bind(query_part(url), lambda part: _value_in(part, name))
 
 
 def repair_escapes(value: Column) -> Column:
@@ -117,71 +122,90 @@ def repair_escapes(value: Column) -> Column:
     return F.try_url_decode(F.regexp_replace(value, "%(?![0-9a-fA-F]{2})", "%25"))
 
 
+def leftover_escapes(value: Column) -> Column:
+    """Escapes of plus, space and percent that survive decoding become spaces."""
+    return F.regexp_replace(value, "%(?:2b|20|25)", " ")
+
+
 def decode_value(value: Column) -> Column:
-    """Decode twice-escaped text: escapes left over for plus, space and percent become spaces."""
-    return F.regexp_replace(repair_escapes(value), "%(?:2b|20|25)", " ")
+    """Decode twice-escaped text."""
+    return leftover_escapes(repair_escapes(value))
 
 
 def strip_punctuation(value: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(value, r'[-+^:,*_"\\]', " "), r"\s+", " "))
 
 
+def _word_in(part: Column) -> Column:
+    return F.coalesce(strip_punctuation(decode_value(_value_in(part, "search"))), F.lit(""))
+
+
 def search_word(url: Column) -> Column:
     """Text typed into the search box; '' when absent."""
-    word = strip_punctuation(decode_value(query_value(url, "search")))
-    return F.coalesce(word, F.lit(""))
+    return bind(query_part(url), _word_in)
 
 
-def _filter_pairs(url: Column) -> Column:
+NO_PAIRS = "array<struct<key:string,value:string>>"
+
+
+def _filter_pairs(part: Column) -> Column:
     """array<struct<key,value>> of the ``ids``/``values`` lists, aligned by position, raw values."""
-    keys = F.split(repair_escapes(query_value(url, "ids")), ":")
-    values = F.split(repair_escapes(query_value(url, "values")), ":")
-    zipped = F.transform(
-        keys, lambda k, i: F.struct(k.alias("key"), F.get(values, i).alias("value"))
-    )
-    return F.coalesce(
-        F.filter(zipped, lambda p: p["value"].isNotNull()),
-        F.array().cast("array<struct<key:string,value:string>>"),
-    )
+    values = F.split(repair_escapes(_value_in(part, "values")), ":")
+    zipped = bind(values, lambda v: F.transform(
+        F.split(repair_escapes(_value_in(part, "ids")), ":"),
+        lambda k, i: F.struct(k.alias("key"), F.get(v, i).alias("value")),
+    ))
+    return F.coalesce(F.filter(zipped, lambda p: p["value"].isNotNull()), F.array().cast(NO_PAIRS))
 
 
-def _clean_pairs(url: Column) -> Column:
+def _clean_pairs(part: Column, word: Column) -> Column:
     """Filter pairs whose decoded value is neither empty nor the search text, values cleaned."""
-    word = search_word(url)
-    decoded = F.filter(
-        _filter_pairs(url),
-        lambda p: (repair_escapes(p["value"]) != "") & (repair_escapes(p["value"]) != word),
+    decoded = F.transform(
+        _filter_pairs(part), lambda p: F.struct(p["key"].alias("key"), repair_escapes(p["value"]).alias("value"))
     )
     return F.transform(
-        decoded,
+        F.filter(decoded, lambda p: (p["value"] != "") & (p["value"] != word)),
         lambda p: F.struct(
-            p["key"].alias("key"), strip_punctuation(decode_value(p["value"])).alias("value")
+            p["key"].alias("key"), strip_punctuation(leftover_escapes(p["value"])).alias("value")
         ),
     )
 
 
 def search_info(url: Column) -> Column:
     """Normalised search keywords of a URL: the search text, then the keyword filters' values."""
-    dims = F.filter(_clean_pairs(url), lambda p: p["key"].isin(*KEYWORD_DIMENSIONS))
-    words = F.concat(F.array(search_word(url)), F.transform(dims, lambda p: p["value"]))
-    return normalise_list(words)
+
+    def words(part: Column, word: Column) -> Column:
+        dims = F.filter(_clean_pairs(part, word), lambda p: p["key"].isin(*KEYWORD_DIMENSIONS))
+        return F.concat(F.array(word), F.transform(dims, lambda p: p["value"]))
+
+    found = bind(query_part(url), lambda part: bind(_word_in(part), lambda word: words(part, word)))
+    return normalise_list(F.filter(found, lambda w: w != ""))
 
 
 def filter_info(url: Column) -> Column:
     """Filters of a URL as array<struct<key,value>> sorted by key, the last duplicate kept."""
-    period = repair_escapes(query_value(url, "temporalsearch"))
-    temporal = F.when(
-        period.isNotNull(),
-        F.array(F.struct(F.lit("temporalsearch").alias("key"), period.alias("value"))),
-    ).otherwise(F.array().cast("array<struct<key:string,value:string>>"))
-    return F.array_sort(last_per_key(F.concat(_clean_pairs(url), temporal)))
+
+    def pairs(part: Column, word: Column) -> Column:
+        period = repair_escapes(_value_in(part, "temporalsearch"))
+        temporal = F.when(
+            period.isNotNull(),
+            F.array(F.struct(F.lit("temporalsearch").alias("key"), period.alias("value"))),
+        ).otherwise(F.array().cast(NO_PAIRS))
+        return F.concat(_clean_pairs(part, word), temporal)
+
+    found = bind(query_part(url), lambda part: bind(_word_in(part), lambda word: pairs(part, word)))
+    return F.array_sort(bind(found, last_per_key))
 
 
 def legacy_filter_text(url: Column) -> Column:
     """Older ``k=v`` rendering of the raw filters plus the search text, sorted by key."""
-    word = repair_escapes(query_value(url, "search"))
-    search = F.when(
-        word != "", F.array(F.struct(F.lit("search").alias("key"), word.alias("value")))
-    ).otherwise(F.array().cast("array<struct<key:string,value:string>>"))
-    pairs = F.array_sort(last_per_key(F.concat(_filter_pairs(url), search)))
+
+    def all_pairs(part: Column) -> Column:
+        word = repair_escapes(_value_in(part, "search"))
+        search = F.when(
+            word != "", F.array(F.struct(F.lit("search").alias("key"), word.alias("value")))
+        ).otherwise(F.array().cast(NO_PAIRS))
+        return F.concat(_filter_pairs(part), search)
+
+    pairs = F.array_sort(bind(bind(query_part(url), all_pairs), last_per_key))
     return F.array_join(F.transform(pairs, lambda p: F.concat(p["key"], F.lit("="), p["value"])), ",")

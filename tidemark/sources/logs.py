@@ -49,29 +49,51 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.xxhash64("value").alias("line_id"), F.col("value").alias("line"))
 
 
+MARK = "\u0001"
+HTTP_GROUPS = (1, 4, 5, 6, 7, 8, 9)
+
+
+def _http_fields(line: Column) -> Column:
+    """The wanted groups of a line as an array, null when the line does not match.
+
+    One pass of the expression rewrites the line to its groups; a line that holds the separator itself
+    takes the slow path, one pass per group.
+    """
+    rewritten = F.split(F.regexp_replace(line, HTTP_LINE, MARK.join(f"${i}" for i in HTTP_GROUPS)), MARK)
+    slow = F.array(*[F.regexp_extract(line, HTTP_LINE, i) for i in HTTP_GROUPS])
+    return F.when(~F.contains(line, F.lit(MARK)), rewritten).when(line.rlike(HTTP_LINE), slow)
+
+
 def parse_http(lines: DataFrame) -> DataFrame:
-    """Combined-format lines (line_id, line) to request rows; other lines are dropped."""
-    mark = "\u0001"
-    groups = mark.join(f"${i}" for i in (1, 4, 5, 6, 7, 8, 9))
-    fields = F.split(F.regexp_replace("line", HTTP_LINE, groups), mark)
-    parts = lines.where(F.col("line").rlike(HTTP_LINE)).select("line_id", fields.alias("f"))
+    """Combined-format lines (line_id, line) to request rows; other lines are dropped.
+
+    The fields go through a generator on purpose: filters on them stay above it, where they read a
+    parsed field, instead of sinking below the parser and running it once per condition.
+    """
+    matched = F.filter(F.array(_http_fields(F.col("line"))), lambda f: F.size(f) == len(HTTP_GROUPS))
+    parts = lines.select("line_id", F.explode(matched).alias("f"))
     f = lambda i: F.get("f", F.lit(i))
-    return parts.select(
+    stamped = parts.select(
+        "line_id", "f",
+        F.explode(F.array(F.try_to_timestamp(f(1), F.lit("dd/MMM/yyyy:HH:mm:ss Z")))).alias("ts"),
+    )
+    return stamped.where("ts is not null").select(
         "line_id",
+        month_of(F.col("ts")).alias("month"),
         F.lit("http").alias("log_type"),
         f(0).alias("ip"),
-        F.try_to_timestamp(f(1), F.lit("dd/MMM/yyyy:HH:mm:ss Z")).alias("ts"),
+        "ts",
         f(2).alias("request"),
         f(3).alias("response"),
         F.when(f(4) == "-", F.lit(0).cast("bigint")).otherwise(f(4).try_cast("bigint")).alias("bytes"),
         f(5).alias("referer"),
         f(6).alias("agent"),
-    ).where("ts is not null").withColumn("month", month_of(F.col("ts"))).select(*LOG_COLUMNS)
+    )
 
 
 def parse_ftp(lines: DataFrame) -> DataFrame:
     """Transfer-log lines to request rows with a lower-cased path; short or undated lines are dropped."""
-    words = lines.select("line_id", F.split("line", " +").alias("w"))
+    words = lines.select("line_id", F.explode(F.array(F.split("line", " +"))).alias("w"))
     w = lambda i: F.get("w", F.lit(i))
     stamp = F.concat_ws(" ", w(1), w(2), w(3), w(4))
     return words.select(
