@@ -32,6 +32,7 @@ def local_session(cores: int | str = 8, app: str = "tidemark", memory: str = "8g
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", str(cores))
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "128k")  # tiny data, CPU-bound
         .config("spark.sql.session.timeZone", "UTC")
         .getOrCreate()
     )
