@@ -66,56 +66,50 @@ def referer_tree(rows: list[dict]) -> list[dict]:
     return nodes
 
 
-def first_fit_tree(rows: list[dict]) -> list[dict]:
-    """Nodes of one session placed by kind alone: the first search page is the top; pages go under the
-    deepest search page on its first-search branch, transfers likewise under a dataset page."""
-    nodes: list[dict] = []
-    children: dict[int, list[dict]] = {}
-
-    def fit(node: dict, wanted: str, entry: dict) -> dict | None:
-        below = children[node["seq"]]
-        if node["key"] == wanted and not any(c["key"] == wanted for c in below):
-            return node
-        return next(filter(None, (fit(c, wanted, entry) for c in below)), None)
+def _first_fit_nodes(rows: DataFrame) -> DataFrame:
+    """Nodes placed by kind alone, from the first search page on.
 
-    for row in rows:
-        row.pop("referer")
-        if not nodes and row["key"] != "datasetlist":
-            continue
-        parent = None
-        if nodes:
-            parent = fit(nodes[0], "dataset" if row["key"] == "ftp" else "datasetlist", row)
-            if parent is None:
-                continue
-        node = _node(row, parent)
-        nodes.append(node)
-        children[node["seq"]] = []
-        if parent is not None:
-            children[parent["seq"]].append(node)
-    return nodes
-
-
-_BUILDERS = {"referer": referer_tree, "first_fit": first_fit_tree}
+    First fit leaves one open place per kind: a search or dataset page goes under the latest search page,
+    a transfer under the first dataset page. So the parents are windows over the session.
+    """
+    w = Window.partitionBy(*SESSION).orderBy("seq")
+    before, whole = w.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(*SESSION)
+    is_list, is_view = F.col("key") == "datasetlist", F.col("key") == "dataset"
+    started = rows.withColumn("_top", F.min(F.when(is_list, F.col("seq"))).over(whole)).where("seq >= _top")
+    searches = F.collect_list(F.when(is_list, F.struct("seq", "request"))).over(before)
+    placed = started.withColumn("_searches", searches).withColumn(
+        "_view", F.min(F.when(is_view, F.struct("seq", F.size("_searches").alias("above")))).over(before)
+    )
+    is_ftp = F.col("key") == "ftp"
+    parent = F.when(is_ftp, F.col("_view.seq")).otherwise(F.try_element_at("_searches", F.lit(-1))["seq"])
+    depth = F.when(is_ftp, F.col("_view.above")).otherwise(F.size("_searches"))
+    kept = placed.withColumn("parent_seq", F.coalesce(parent, F.lit(0))).where(~is_ftp | F.col("_view").isNotNull())
+    children = F.filter(F.collect_list(F.struct("parent_seq", "key")).over(whole), lambda c: c["parent_seq"] == F.col("seq"))
+    path = F.reverse(F.transform(F.slice("_searches", F.lit(1), depth), lambda s: s["request"]))
+    return kept.withColumn("_children", children).select(
+        *SESSION, "seq", "epoch", "key", "request", "dataset_id", "parent_seq",
+        F.when(is_ftp, "dataset").when(F.col("parent_seq") > 0, "datasetlist").otherwise("root").alias("parent_key"),
+        F.size("_children").alias("n_children"),
+        F.exists("_children", lambda c: c["key"] == "ftp").alias("downloaded"),
+        path.alias("search_path"),
+    )
 
 
-def _grow(build):
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        session, held, ready = None, [], []
-        for batch in batches:
-            for row in batch.to_pylist():
-                key = (row["month"], row["ip"], row["session_id"])
-                if key != session:
-                    ready.extend(build(held))
-                    session, held = key, []
-                held.append(row)
-            if ready:
-                yield pa.RecordBatch.from_pylist(ready, schema=_ARROW)
-                ready = []
-        ready.extend(build(held))
+def _grow(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    session, held, ready = None, [], []
+    for batch in batches:
+        for row in batch.to_pylist():
+            key = (row["month"], row["ip"], row["session_id"])
+            if key != session:
+                ready.extend(referer_tree(held))
+                session, held = key, []
+            held.append(row)
         if ready:
             yield pa.RecordBatch.from_pylist(ready, schema=_ARROW)
-
-    return run
+            ready = []
+    ready.extend(referer_tree(held))
+    if ready:
+        yield pa.RecordBatch.from_pylist(ready, schema=_ARROW)
 
 
 def session_tree(
@@ -138,8 +132,10 @@ def session_tree(
         dataset_id(path).alias("dataset_id"),
         site_referer(F.col("referer"), site).alias("referer"),
     ).where(F.col("key").isin(*KEYS))
+    if mode == "first_fit":
+        return _first_fit_nodes(ordered)
     laid_out = ordered.repartition(*SESSION).sortWithinPartitions(*SESSION, "seq")
-    return laid_out.mapInArrow(_grow(_BUILDERS[mode]), NODE_SCHEMA)
+    return laid_out.mapInArrow(_grow, NODE_SCHEMA)
 
 
 def view_nodes(nodes: DataFrame) -> DataFrame:

@@ -549,3 +549,88 @@ SELECT short_name, array_to_string(terms, '|') AS terms, array_to_string(subject
 SQL["metadata_split"] = f"WITH {META} SELECT short_name, CASE WHEN abstract IS NULL THEN 'without' ELSE 'described' END AS target FROM m"
 SQL["feature_matrix_lines"] = """WITH v AS (SELECT 'v' || vec_id AS term, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings)
 SELECT term, CAST(i - 1 AS INTEGER) AS feature, CASE WHEN x > 0.1 THEN 1.0 ELSE -1.0 END::DOUBLE AS weight FROM v WHERE x > 0.1 OR x < -0.1"""
+
+# --- rules with memory, one request per step -------------------------------------------------------
+
+REFERER_SESSIONS = f"""{LOG},
+steps AS (
+  SELECT *, row_number() OVER (PARTITION BY month, ip ORDER BY ts, line_id) AS n, lower(referer) AS ref,
+         coalesce(contains(referer, '{SITE}/') AND referer <> '{SITE}/', false) AS in_site FROM clean),
+walk AS (
+  SELECT month, ip, CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS line, 0 AS started, 0 AS sid,
+         CAST([] AS STRUCT(s INTEGER, url VARCHAR, n BIGINT, t BIGINT)[]) AS seen
+  FROM (SELECT DISTINCT month, ip FROM steps)
+  UNION ALL
+  SELECT month, ip, n, line_id, greatest(started, to_sid), to_sid,
+         list_append(list_filter(seen, lambda k: NOT (k.s = to_sid AND k.url = request_url)),
+                     struct_pack(s := to_sid, url := request_url, n := n, t := epoch))
+  FROM (
+    SELECT *, CASE
+      WHEN log_type = 'ftp' AND started = 0 AND NOT has_zero THEN 0
+      WHEN log_type = 'ftp' THEN CASE WHEN epoch - list_max(list_transform(list_filter(seen, lambda k: k.s = started), lambda k: k.t)) > {GAP} THEN started + 1 ELSE started END
+      WHEN NOT in_site THEN started + 1
+      WHEN hit IS NULL THEN CASE WHEN has_zero THEN started + 1 ELSE 0 END
+      WHEN epoch - hit.t < {GAP} * len(list_filter(seen, lambda k: k.s > hit.s OR (k.s = hit.s AND k.n >= hit.n))) THEN hit.s
+      ELSE started + 1 END AS to_sid
+    FROM (
+      SELECT o.month, o.ip, o.n, o.line_id, o.log_type, o.epoch, o.request_url, o.in_site, w.started, w.seen,
+             len(list_filter(w.seen, lambda k: k.s = 0)) > 0 AS has_zero,
+             list_sort(list_filter(w.seen, lambda k: k.url = o.ref))[-1] AS hit
+      FROM walk w JOIN steps o ON o.month = w.month AND o.ip = w.ip AND o.n = w.n + 1))),
+gs AS (SELECT c.*, c.ip || '@' || w.sid AS session_id FROM clean c JOIN walk w ON w.n > 0 AND w.line = c.line_id)"""
+SQL["referer_sessions"] = f"WITH RECURSIVE {REFERER_SESSIONS} SELECT line_id, month, ip, session_id FROM gs"
+SQL["referer_session_statistics"] = SQL["session_statistics"].replace(f"WITH {SESSIONS}", f"WITH RECURSIVE {REFERER_SESSIONS}")
+
+TREE = f"""{SESSIONS},
+tree_rows AS (
+  SELECT *, row_number() OVER (PARTITION BY month, ip, session_id ORDER BY ts, line_id) AS seq, coalesce(path, request) AS page,
+         CASE WHEN event_type IN ('signup', 'click') THEN 'datasetlist' WHEN event_type = 'purchase' THEN 'ftp' ELSE 'dataset' END AS key,
+         coalesce(replace(lower(referer), '{SITE}', ''), '') AS ref
+  FROM gs),
+grow AS (
+  SELECT month, ip, session_id, CAST(0 AS BIGINT) AS seq,
+         CAST([] AS STRUCT(seq BIGINT, key VARCHAR, page VARCHAR, ds VARCHAR, pseq BIGINT, pkey VARCHAR, above VARCHAR[])[]) AS nodes
+  FROM (SELECT DISTINCT month, ip, session_id FROM tree_rows)
+  UNION ALL
+  SELECT month, ip, session_id, seq, CASE
+      WHEN (len(nodes) = 0 AND key <> 'datasetlist') OR nodes[-1].page = page OR (p IS NULL AND key <> 'datasetlist') THEN nodes
+      ELSE list_append(nodes, struct_pack(seq := seq, key := key, page := page, ds := ds, pseq := coalesce(p.seq, 0), pkey := coalesce(p.key, 'root'),
+             above := CASE WHEN p IS NULL THEN CAST([] AS VARCHAR[]) WHEN p.key = 'datasetlist' THEN list_prepend(p.page, p.above) ELSE p.above END)) END
+  FROM (
+    SELECT r.month, r.ip, r.session_id, r.seq, r.key, r.page, g.nodes, CASE WHEN r.key = 'dataset' THEN 'ds_' || r.ds END AS ds,
+           CASE WHEN r.key = 'ftp' THEN list_filter(g.nodes, lambda x: x.key = 'dataset')[-1]
+                WHEN r.ref <> '-' THEN list_filter(g.nodes, lambda x: x.page = r.ref)[-1] END AS p
+    FROM grow g JOIN tree_rows r ON r.month = g.month AND r.ip = g.ip AND r.session_id = g.session_id AND r.seq = g.seq + 1
+    WHERE r.seq <= 100)),
+final AS (SELECT month, ip, session_id, arg_max(nodes, seq) AS nodes FROM grow GROUP BY ALL),
+flat AS (SELECT month, ip, session_id, unnest(nodes) AS x FROM final),
+kids AS (SELECT month, ip, session_id, x.pseq AS seq, count(*) AS n, bool_or(x.key = 'ftp') AS got FROM flat GROUP BY ALL),
+tree AS (
+  SELECT f.month, f.session_id, f.x.seq AS seq, f.x.key AS key, f.x.page AS request, f.x.ds AS dataset_id, f.x.pseq AS parent_seq,
+         f.x.pkey AS parent_key, coalesce(k.n, 0) AS n_children, coalesce(k.got, false) AS downloaded, array_to_string(f.x.above, '|') AS search_path
+  FROM flat f LEFT JOIN kids k ON k.month = f.month AND k.ip = f.ip AND k.session_id = f.session_id AND k.seq = f.x.seq)"""
+SQL["session_tree"] = f"""WITH RECURSIVE {TREE}
+SELECT month, session_id, CAST(seq AS INTEGER) AS seq, key, request, dataset_id, CAST(parent_seq AS INTEGER) AS parent_seq, parent_key,
+       CAST(n_children AS INTEGER) AS n_children, downloaded, search_path FROM tree"""
+SQL["tree_leaves"] = f"""WITH RECURSIVE {TREE}
+SELECT 'view' AS kind, session_id, CAST(seq AS INTEGER) AS seq, key FROM tree WHERE key = 'dataset'
+UNION ALL SELECT 'leaf', session_id, CAST(seq AS INTEGER), key FROM tree WHERE n_children = 0
+UNION ALL SELECT 'download', session_id, CAST(seq AS INTEGER), key FROM tree WHERE n_children = 0 AND key = 'ftp'"""
+_WORD_OF = "['ocean wind','sea surfac temperatur','salin','graviti','sea ic','ocean wave'][list_position(['ocean%20winds','sea%20surface%20temperature','salinity','gravity','sea%20ice','ocean_wave'], split_part(request, '?search=', 2))]"
+SQL["referer_click_through"] = f"""WITH RECURSIVE {TREE}
+SELECT month, session_id, {_WORD_OF} AS keyword, dataset_id AS dataset, downloaded FROM tree
+WHERE key = 'dataset' AND parent_key = 'datasetlist' AND contains(request, '?search=')"""
+SQL["first_fit_tree"] = f"""WITH {SESSIONS},
+k AS (
+  SELECT *, row_number() OVER (PARTITION BY month, ip, session_id ORDER BY ts, line_id) AS seq,
+         CASE WHEN event_type IN ('signup', 'click') THEN 'datasetlist' WHEN event_type = 'purchase' THEN 'ftp' ELSE 'dataset' END AS key
+  FROM gs),
+f AS (SELECT * FROM k k1 WHERE seq <= 100 AND EXISTS (SELECT 1 FROM k k2 WHERE k2.month = k1.month AND k2.ip = k1.ip AND k2.session_id = k1.session_id AND k2.key = 'datasetlist' AND k2.seq <= k1.seq)),
+p AS (
+  SELECT *, CASE WHEN key = 'ftp' THEN min(CASE WHEN key = 'dataset' THEN seq END) OVER w ELSE max(CASE WHEN key = 'datasetlist' THEN seq END) OVER w END AS up
+  FROM f WINDOW w AS (PARTITION BY month, ip, session_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+kept AS (SELECT * FROM p WHERE key <> 'ftp' OR up IS NOT NULL)
+SELECT a.month, a.session_id, CAST(a.seq AS INTEGER) AS seq, a.key, CAST(coalesce(a.up, 0) AS INTEGER) AS parent_seq,
+       CASE WHEN a.key = 'ftp' THEN 'dataset' WHEN a.up IS NULL THEN 'root' ELSE 'datasetlist' END AS parent_key,
+       CAST((SELECT count(*) FROM kept b WHERE b.month = a.month AND b.ip = a.ip AND b.session_id = a.session_id AND b.up = a.seq) AS INTEGER) AS n_children
+FROM kept a"""
