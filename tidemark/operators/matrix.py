@@ -38,6 +38,7 @@ def tfidf(counts: DataFrame) -> DataFrame:
     Terms are the rows the idf is fitted on, so df is the number of distinct terms of the document and m
     the number of all terms: the factor weighs documents, not terms.
     """
+    counts = stage(counts.select("term", "doc", "tf"), "term-counts")
     per_doc = counts.groupBy("doc").agg(F.count(F.lit(1)).alias("df"))
     m = counts.agg(F.count_distinct("term")).scalar()
     return counts.join(per_doc, "doc").select(
@@ -50,6 +51,7 @@ def click_tfidf(keywords: DataFrame) -> DataFrame:
 
     N is the number of documents and df the number of documents with the keyword.
     """
+    keywords = stage(keywords.select("doc", "keywords"), "keyword-lists")
     sized = keywords.withColumn("_size", F.size("keywords"))
     rows = sized.select("doc", "_size", F.explode(F.array_distinct("keywords")).alias("term"))
     df = rows.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
@@ -206,20 +208,19 @@ def symmetric(pairs: DataFrame, terms: DataFrame) -> DataFrame:
 MAX_SVD_COLUMNS = 100_000
 
 
-def dense_ids(values: DataFrame, column: str, prefix: int = 2) -> DataFrame:
+def dense_ids(values: DataFrame, column: str) -> DataFrame:
     """Distinct values of a column with ids 0..n-1 in value order.
 
-    The order inside each leading-characters bucket is a window of its own; only one count per bucket
-    meets in a single place, where the offsets are summed.
+    The values are range-sorted and written; each file is one range, ranked on its own. Only one count
+    per file meets in a single place, where the offsets are summed, so a common prefix costs nothing.
     """
-    distinct = values.select(column).distinct().withColumn("_bucket", F.substring(column, 1, prefix))
-    sizes = distinct.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_size"))
-    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("_bucket", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset"))
-    rank = F.row_number().over(Window.partitionBy("_bucket").orderBy(column))
-    return distinct.join(offsets, "_bucket").select(
-        column, (F.col("_offset") + rank - 1).cast("bigint").alias("id")
-    )
+    ordered = stage(values.select(column).distinct().orderBy(column), "ordered-values")
+    rows = ordered.select(column, F.col("_metadata.file_path").alias("_file"))
+    sizes = rows.groupBy("_file").agg(F.count(F.lit(1)).alias("_size"), F.min(column).alias("_first"))
+    before = Window.orderBy("_first").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("_file", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset"))
+    rank = F.row_number().over(Window.partitionBy("_file").orderBy(column))
+    return rows.join(offsets, "_file").select(column, (F.col("_offset") + rank - 1).cast("bigint").alias("id"))
 
 
 def svd_embedding(long: DataFrame, k: int) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.urls import filter_info, search_info, search_word
 from tidemark.operators.sessions import SESSION
 from tidemark.operators.tree import view_nodes
+from tidemark.session import stage
 
 # Filter dimensions that never stand on the left side of a pair.
 RIGHT_ONLY_DIMENSIONS = (
@@ -117,7 +118,7 @@ def supported(
     session_keywords: DataFrame, min_sessions: int = 5, min_users: int = 5
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(keyword x visitor counts, visitors with more sessions, terms with more visitors) than the minimum."""
-    counts = keyword_visitors(session_keywords)
+    counts = stage(keyword_visitors(session_keywords), "keyword-visitors")
     users = (
         session_keywords.groupBy("ip").agg(F.count_distinct("session_id").alias("n"))
         .where(F.col("n") > min_sessions).select("ip")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.session import stage
+
 
 def association_rules(pairs: DataFrame) -> DataFrame:
     """Rules A -> B of (query_a, filter_b, weight, type): confidence = sum w(A,B) / sum w(A).
@@ -13,9 +15,10 @@ def association_rules(pairs: DataFrame) -> DataFrame:
     count, then by name. Pair sums are built first, so a left side with a third of all rows is small
     by the time it is grouped again.
     """
-    sums = pairs.groupBy("query_a", "filter_b", "type").agg(
+    grouped = pairs.groupBy("query_a", "filter_b", "type").agg(
         F.sum("weight").alias("count"), F.count(F.lit(1)).alias("_rows")
     )
+    sums = stage(grouped, "pair-sums")
     left = sums.groupBy("query_a", "type").agg(F.sum("count").alias("support_a"))
     order = sums.groupBy("query_a").agg(F.sum("_rows").alias("_rows_a"))
     rated = (
