@@ -70,7 +70,7 @@ SQL["ftp_log_scan"] = f"WITH {LOG} SELECT line_id, month, log_type, ip, epoch, r
 SQL["visitor_requests"] = f"WITH {LOG} SELECT line_id, ip, epoch, request, referer, agent FROM web"
 SQL["line_rejects"] = f"""WITH {LOG}
 SELECT (SELECT count(*) FROM pages_seen) AS lines, (SELECT count(*) FROM pages_seen) - count(*) AS rejected,
-       count(*) AS parsed, count_if(agent = 'curl/7.1') AS crawler_agents, count_if(path = '/css/site.css') AS assets
+       count(*) AS parsed, count(*) FILTER (WHERE agent = 'curl/7.1') AS crawler_agents, count(*) FILTER (WHERE path = '/css/site.css') AS assets
 FROM http"""
 SQL["lines_per_month"] = f"""WITH {LOG}
 SELECT CASE WHEN event_type = 'error' AND line_id % 4 = 2 THEN NULL ELSE CAST(year(ts) AS INTEGER) END AS year,
@@ -138,7 +138,7 @@ starts AS (
   FROM spans WINDOW w AS (PARTITION BY month, ip ORDER BY e, sid)),
 chains AS (SELECT *, sum(s) OVER (PARTITION BY month, ip ORDER BY e, sid) AS chain FROM starts),
 merged AS (SELECT month, ip, sid, first_value(sid) OVER (PARTITION BY month, ip, chain ORDER BY e, sid) AS new_id FROM chains),
-quality AS (SELECT month, ip, count(*) AS n, count_if(referer = '-') AS missing FROM gs GROUP BY ALL),
+quality AS (SELECT month, ip, count(*) AS n, count(*) FILTER (WHERE referer = '-') AS missing FROM gs GROUP BY ALL),
 cs AS (
   SELECT g.* EXCLUDE (session_id), CASE WHEN q.n < 3 OR q.missing / q.n >= 0.8 THEN 'invalid' ELSE m.new_id END AS session_id
   FROM gs g JOIN merged m ON g.month = m.month AND g.ip = m.ip AND g.session_id = m.sid JOIN quality q ON g.month = q.month AND g.ip = q.ip)"""
@@ -148,7 +148,7 @@ SQL["gap_sessions"] = f"WITH {SESSIONS} SELECT line_id, month, ip, session_id FR
 SQL["combined_sessions"] = f"""WITH {LOG}, {_sessions(1800)}, {_combined(1800)}
 SELECT line_id, month, ip, session_id FROM cs"""
 SQL["visitor_referers"] = f"""WITH {LOG}
-SELECT month, ip, count(*) AS requests, count_if(referer = '-') AS no_referer, round(count_if(referer = '-') / count(*), 6) AS ratio
+SELECT month, ip, count(*) AS requests, count(*) FILTER (WHERE referer = '-') AS no_referer, round(count(*) FILTER (WHERE referer = '-') / count(*), 6) AS ratio
 FROM clean GROUP BY ALL"""
 
 
@@ -157,8 +157,8 @@ def _statistics(source: str) -> str:
 rows_in AS (SELECT * FROM {source} WHERE session_id <> 'invalid'),
 base AS (
   SELECT month, ip, session_id, min(epoch) AS start_epoch, max(epoch) AS end_epoch, count(*) AS request_count,
-         count_if(event_type IN ('signup', 'click')) AS list_count, count_if(event_type IN ('view', 'error')) AS view_count,
-         count_if(event_type = 'purchase') AS download_count
+         count(*) FILTER (WHERE event_type IN ('signup', 'click')) AS list_count, count(*) FILTER (WHERE event_type IN ('view', 'error')) AS view_count,
+         count(*) FILTER (WHERE event_type = 'purchase') AS download_count
   FROM rows_in GROUP BY ALL),
 good AS (SELECT * FROM base WHERE request_count >= 3 AND list_count BETWEEN 1 AND 100 AND view_count BETWEEN 1 AND 200 AND download_count <= 100),
 words AS (
@@ -200,7 +200,7 @@ numbered AS (
   FROM gs),
 nodes AS (
   SELECT *, coalesce(path, request) AS node_request,
-         count_if(key = 'datasetlist') OVER w AS searches, count_if(key = 'dataset') OVER w AS n_views
+         count(*) FILTER (WHERE key = 'datasetlist') OVER w AS searches, count(*) FILTER (WHERE key = 'dataset') OVER w AS n_views
   FROM numbered WHERE seq <= 100
   WINDOW w AS (PARTITION BY month, ip, session_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 placed AS (SELECT * FROM nodes WHERE key = 'datasetlist' OR (key = 'dataset' AND searches > 0) OR (key = 'ftp' AND n_views > 0)),
@@ -307,7 +307,7 @@ p AS (SELECT term_a, term_b, {_half_even('cosine')} AS weight FROM brand_cs WHER
 SELECT term_a, term_b, weight FROM p UNION ALL SELECT term_b, term_a, weight FROM p UNION ALL SELECT DISTINCT term, term, 1.0 FROM brand"""
 SQL["transposed_matrix"] = f"WITH {BRANDS} SELECT feature AS term, term AS doc, tf, round(weight, 6) AS weight FROM brand"
 SQL["term_brand_matrix"] = "SELECT replace(p_name, 'large', 'larg') AS term, " + ", ".join(
-    f"CAST(count_if(p_type = '{t}') AS DOUBLE) AS {t}" for t in ("ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD")
+    f"CAST(count(*) FILTER (WHERE p_type = '{t}') AS DOUBLE) AS {t}" for t in ("ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD")
 ) + " FROM part GROUP BY ALL"
 SQL["embedding_cosine"] = f"""WITH
 vals AS (SELECT CAST(vec_id AS VARCHAR) AS term, unnest(embedding)::DOUBLE AS weight, generate_subscripts(embedding, 1) AS feature FROM embeddings),
