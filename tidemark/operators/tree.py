@@ -117,11 +117,12 @@ def session_tree(
 ) -> DataFrame:
     """Tree nodes of every session (root left out; its children have parent_seq 0).
 
-    Where a node hangs depends on which earlier nodes were kept, so sessions are laid out contiguously
-    and streamed; one session (at most ``limit`` requests) is held at a time. Each node carries what the
+    Where a node hangs depends on which earlier nodes were kept, so sessions are streamed one at a time
+    (at most ``limit`` requests each). Numbering the requests has already brought every session together
+    in time order; the sort states that order and costs no second shuffle. Each node carries what the
     later steps ask for - the searches above it, nearest first - so they need no further join.
     """
-    rows = session_requests(log, limit)
+    rows = session_requests(log, limit).sortWithinPartitions(*SESSION, "ts", "line_id")
     path = F.when(F.col("log_type") == "http", request_path(F.col("request")))
     ordered = rows.select(
         *SESSION,
@@ -134,8 +135,7 @@ def session_tree(
     ).where(F.col("key").isin(*KEYS))
     if mode == "first_fit":
         return _first_fit_nodes(ordered)
-    laid_out = ordered.repartition(*SESSION).sortWithinPartitions(*SESSION, "seq")
-    return laid_out.mapInArrow(_grow, NODE_SCHEMA)
+    return ordered.mapInArrow(_grow, NODE_SCHEMA)
 
 
 def view_nodes(nodes: DataFrame) -> DataFrame:
