@@ -20,7 +20,7 @@ CAP = 3
 STEPS = 60  # most Newton steps; they end when every source is near
 NEAR = 1e-6  # of the target
 BUCKETS = 1024  # runs of the drawing order whose sizes are summed apart
-PASSES = 3  # times that what a source still lacks is filled with further documents
+PASSES = 5  # times that what a source still lacks is filled with further documents
 
 
 def word_count(text: Column) -> Column:
@@ -68,7 +68,7 @@ def tilts(histogram: DataFrame, targets: DataFrame, cap: int = CAP) -> DataFrame
     state = targets.select(
         "id", "target", mean.alias("mean"),
         F.when(F.col("source_size") == 0, 0.0).when(F.col("target") >= cap * F.col("source_size"), float("inf"))
-        .otherwise(F.log(F.greatest(F.col("target"), F.lit(1e-9)) / F.col("source_size"))).alias("tilt"),
+        .otherwise(F.log(F.try_divide(F.greatest(F.col("target"), F.lit(1e-9)), F.col("source_size")))).alias("tilt"),
         F.lit(-745.0).alias("low"), F.lit(745.0).alias("high"),
     ).withColumn("done", (F.col("tilt") == float("inf")) | (F.col("target") <= 0) | (F.col("mean") == 0))
     state = stage(state, "tilts")
@@ -86,7 +86,7 @@ def tilts(histogram: DataFrame, targets: DataFrame, cap: int = CAP) -> DataFrame
         gap = F.col("words") - F.col("target")
         low = F.when(gap < 0, F.col("tilt")).otherwise(F.col("low"))
         high = F.when(gap > 0, F.col("tilt")).otherwise(F.col("high"))
-        newton = F.col("tilt") - gap / F.col("slope")
+        newton = F.col("tilt") - F.try_divide(gap, F.col("slope"))
         middle = (F.col("low") + F.col("high")) / 2
         state = (
             state.join(sums, "id", "left").withColumn("low", F.coalesce(F.when(F.col("done"), F.col("low")).otherwise(low), "low"))
@@ -100,13 +100,14 @@ def tilts(histogram: DataFrame, targets: DataFrame, cap: int = CAP) -> DataFrame
     return state.select("id", "tilt", "mean")
 
 
-def _fill(drawn: DataFrame, lacks: DataFrame) -> DataFrame:
+def _fill(drawn: DataFrame, lacks: DataFrame, last: bool) -> DataFrame:
     """(row) of the documents that come first in the drawing order of their source and together fill what it lacks.
 
     Sizes are summed over `BUCKETS` runs of the order first, so that only the run in which a source gets
-    full is looked at row by row. The row that would overfill is taken if that comes nearer.
+    full is looked at row by row. A row that would overfill is left; the last time it is taken if that comes
+    nearer to the target.
     """
-    near = drawn.join(lacks, "id").where("lack > 0 and size < 2 * lack")
+    near = drawn.join(lacks, "id").where("size < 2 * lack" if last else "size <= lack")
     near = near.withColumn("run", F.least(F.floor(F.col("draw") * BUCKETS), F.lit(4 * BUCKETS)))
     runs = near.groupBy("id", "run").agg(F.sum("size").alias("words"))
     upto = Window.partitionBy("id").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
@@ -115,7 +116,8 @@ def _fill(drawn: DataFrame, lacks: DataFrame) -> DataFrame:
     sure = placed.where("before + words <= lack").select("row")
     order = Window.partitionBy("id", "run").orderBy("draw", "row").rowsBetween(Window.unboundedPreceding, 0)
     edge = placed.where("before + words > lack").withColumn("upto", F.col("before") + F.sum("size").over(order))
-    return sure.unionByName(edge.where("upto - lack <= lack - (upto - size)").select("row"))
+    fits = "upto - lack <= lack - (upto - size)" if last else "upto <= lack"
+    return sure.unionByName(edge.where(fits).select("row"))
 
 
 def mixed(
@@ -162,12 +164,12 @@ def mixed(
         rows.withColumn("key", key).join(solved, "key").withColumn("rate", rate)
         .withColumn("whole", F.floor("rate").cast("bigint"))
         .withColumn("part", F.col("rate") - F.col("whole"))
-        .withColumn("draw", F.when(F.col("part") > 0, F.least(unit / F.col("part"), F.lit(1e9))).otherwise(F.lit(2e9)))
+        .withColumn("draw", F.coalesce(F.least(F.try_divide(unit, F.col("part")), F.lit(1e9)), F.lit(2e9)))
         .select("row", "doc_id", "id", "size", "source_size", "target", "rate", "whole", "draw"),
         "rates",
     )
     extra = None
-    for _ in range(PASSES):
+    for turn in range(PASSES):
         left = rated.where("size > 0 and whole < %d" % cap)
         taken = F.col("whole") * F.col("size")
         if extra is not None:
@@ -177,7 +179,7 @@ def mixed(
         else:
             given = rated
         lacks = given.groupBy("id").agg((F.max("target") - F.sum(taken)).alias("lack"))
-        found = stage(_fill(left.select("row", "id", "size", "draw"), lacks), "extra")
+        found = stage(_fill(left.select("row", "id", "size", "draw"), lacks, turn == PASSES - 1), "extra")
         extra = found if extra is None else extra.unionByName(found)
     copies = (F.col("whole") + F.coalesce("more", F.lit(0))).cast("bigint")
     return rated.join(extra.withColumn("more", F.lit(1)), "row", "left").withColumn("copies", copies).select(

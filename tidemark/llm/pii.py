@@ -277,14 +277,26 @@ def weak_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 def variants(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[str, list[tuple[str, int, int]]]]:
-    """The window, and each phone number once more without its plus sign and country code."""
+    """The window, and what it teaches besides.
+
+    A phone number is one without its plus sign and country code, too. A card number with its last digit
+    changed, or an address with a part of 999, isn't one.
+    """
     out = [(text, spans)]
     for kind, a, b in spans:
+        others = [s for s in spans if s[1] != a]
         cut = text.find("(", a, b) if kind == "phone" else -1
         if cut > a:
             by = cut - a
-            moved = [(k, c if d <= a else c - by * (c > a), d if d <= a else d - by) for k, c, d in spans]
+            moved = [(k, c, d) if d <= a else (k, c - by * (c > a), d - by) for k, c, d in spans]
             out.append((text[:a] + text[cut:], moved))
+        elif kind == "card":
+            out.append((text[:b - 1] + str((int(text[b - 1]) + 1) % 10) + text[b:], others))
+        elif kind == "ip":
+            part = RUN.search(text, a, b)
+            by = 3 - (part.end() - part.start())
+            moved = [(k, c, d) if d <= a else (k, c + by, d + by) for k, c, d in others]
+            out.append((text[:a] + "999" + text[part.end():], moved))
     return out
 
 
