@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.batches import bounded_batches
 from tidemark.session import stage
 
 CAPACITY = 2048
@@ -127,7 +128,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY,
                 ["row", "doc_id", "piece", "start", "length", "ids_crc32"],
             )
 
-    narrow = docs.select(
+    narrow = bounded_batches(docs).select(
         F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")
     )
     return narrow.mapInArrow(run, "row bigint, doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint")

@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.batches import bounded_batches
+
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "key")
 TOKENS, CHARS = 16, 64
@@ -312,7 +314,7 @@ def _examples(docs: DataFrame) -> DataFrame:
                     found.append(text[a:b])
             yield pa.RecordBatch.from_arrays([pa.array(order, pa.int64()), pa.array(found, pa.string())], ["h", "window"])
 
-    return docs.mapInArrow(run, "h bigint, window string")
+    return bounded_batches(docs).mapInArrow(run, "h bigint, window string")
 
 
 def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_windows: int = SAMPLE_WINDOWS) -> SemiMarkov:
@@ -390,7 +392,7 @@ def find_personal_data(docs: DataFrame, field: SemiMarkov | None = None) -> Data
                 ["doc_id", *[f"n_{kind}" for kind in BASE], "base_sha256", "spans"],
             )
 
-    narrow = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    narrow = bounded_batches(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return narrow.mapInArrow(
         run, "doc_id bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string"
     )
@@ -421,5 +423,5 @@ def masked(docs: DataFrame, field: SemiMarkov | None = None, length_column: str
             texts = [None if t is None else mask(t, spans_of(t, model, memo)[1]) for t in batch.column(place).to_pylist()]
             yield batch.set_column(place, batch.schema.field(place), pa.array(texts, batch.schema.field(place).type))
 
-    out = docs.mapInArrow(run, docs.schema)
+    out = bounded_batches(docs).mapInArrow(run, docs.schema)
     return out.withColumn(length_column, F.length("text").cast(docs.schema[length_column].dataType)) if length_column else out

@@ -18,6 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.llm.batches import bounded_batches
 from tidemark.llm.graph import components
 from tidemark.session import stage
 
@@ -107,7 +108,7 @@ def fingerprints(docs: DataFrame, size: int = 3, tables: int = 1) -> DataFrame:
             )
             yield pa.RecordBatch.from_arrays([batch.column(0), lists], ["doc_id", "prints"])
 
-    narrow = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("raw"))
+    narrow = bounded_batches(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("raw"))
     return narrow.mapInArrow(run, "doc_id bigint, prints array<bigint>")
 
 
