@@ -62,12 +62,12 @@ def checked_calls(calls: DataFrame, schemas: DataFrame) -> DataFrame:
     )
     entries = parsed.where("is_object").select("row", "at", "name", F.explode(F.from_json("arguments", "map<string, variant>")).alias("parameter", "value"))
     entries = entries.select("row", "at", "name", "parameter", _type_of(F.col("value")).alias("given"))
-    typed = entries.join(schemas.select("name", "parameter", "type"), ["name", "parameter"], "left")
+    tools = schemas.select("name").distinct()
+    typed = entries.join(tools, "name", "left_semi").join(schemas.select("name", "parameter", "type"), ["name", "parameter"], "left")
     fits = (F.col("given") == F.col("type")) | ((F.col("given") == "integer") & (F.col("type") == "number"))
     wrong = typed.select("row", "at", F.when(F.col("type").isNull(), F.concat(F.lit("unknown:"), "parameter")).when(~fits, F.concat(F.lit("type:"), "parameter")).alias("error"))
     needed = parsed.where("is_object").select("row", "at", "name").join(schemas.where("required").select("name", "parameter"), "name")
     missing = needed.join(entries.select("row", "at", "parameter"), ["row", "at", "parameter"], "left_anti").select("row", "at", F.concat(F.lit("missing:"), "parameter").alias("error"))
-    tools = schemas.select("name").distinct()
     untold = calls.join(tools, "name", "left_anti").select("row", "at", F.lit("tool").alias("error"))
     broken = parsed.where("not is_object").select("row", "at", F.lit("arguments").alias("error"))
     errors = wrong.unionByName(missing).unionByName(untold).unionByName(broken).where("error is not null")

@@ -120,22 +120,20 @@ def ball_masks(radius: int) -> list[int]:
 
 
 def ball_links(prints: DataFrame, radius: int = 2) -> DataFrame:
-    """(a, b) links that connect the distinct values of `fp` that differ in at most `radius` bits.
+    """(table, a, b) links that connect the distinct values of `fp` in a table that differ in at most `radius` bits.
 
     The fingerprints around a point are linked to the smallest of them if that is near enough, which for
     an even radius it always is; otherwise, pair by pair of a bounded set.
     """
-    points = prints.select("fp", F.explode(F.lit(ball_masks(radius))).alias("mask")).select(
-        "fp", F.col("fp").bitwiseXOR(F.col("mask")).alias("point")
+    points = prints.select("table", "fp", F.explode(F.lit(ball_masks(radius))).alias("mask")).select(
+        "table", "fp", F.col("fp").bitwiseXOR(F.col("mask")).alias("point")
     )
     if radius % 2 == 0:
-        around = Window.partitionBy("point")
-        met = points.select("fp", F.min("fp").over(around).alias("a")).where("fp != a")
-        met = met.select("a", F.col("fp").alias("b"))
+        around = Window.partitionBy("table", "point")
+        met = points.select("table", F.min("fp").over(around).alias("a"), F.col("fp").alias("b")).where("a != b")
     else:
-        met = points.select(F.col("fp").alias("a"), "point").join(
-            points.select(F.col("fp").alias("b"), "point"), "point"
-        ).where("a < b").select("a", "b")
+        met = points.withColumnRenamed("fp", "a").join(points.withColumnRenamed("fp", "b"), ["table", "point"])
+        met = met.where("a < b").select("table", "a", "b")
     return met.distinct().where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)
 
 
@@ -153,24 +151,18 @@ def simhash_groups(docs: DataFrame, size: int = 3, radius: int = 2, tables: int
     """
     rows = stage(fingerprints(docs, size, tables), "prints")
     kinds = rows.groupBy("prints").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("low"))
-    if tables == 1:
-        kinds = stage(kinds.select(F.col("prints")[0].alias("node"), "n", "low"), "kinds")
-        links = ball_links(kinds.select(F.col("node").alias("fp")), radius)
-    else:
-        # A set of prints is a node under a hash of its own; table by table, equal prints meet at one node
-        # of that print, and links run between those.
-        kinds = stage(kinds.select(F.xxhash64("prints").alias("node"), "prints", "n", "low"), "kinds")
-        links = None
-        for t in range(tables):
-            own = kinds.select("node", F.col("prints")[t].alias("fp"))
-            heads = own.groupBy("fp").agg(F.min("node").alias("head"))
-            near = ball_links(heads.select("fp"), radius)
-            near = near.join(heads.select(F.col("fp").alias("a"), F.col("head").alias("x")), "a").join(
-                heads.select(F.col("fp").alias("b"), F.col("head").alias("y")), "b"
-            ).select("x", "y")
-            same = own.join(heads, "fp").where("node != head").select(F.col("node").alias("x"), F.col("head").alias("y"))
-            links = near.unionByName(same) if links is None else links.unionByName(near).unionByName(same)
-        links = links.toDF("a", "b")
+    # A set of prints is a node under a hash of its own. In each table, those that share a print are linked
+    # to the smallest of them, and near prints through these.
+    kinds = stage(kinds.select(F.xxhash64("prints").alias("node"), "prints", "n", "low"), "kinds")
+    own = kinds.select("node", F.posexplode("prints").alias("table", "fp"))
+    heads = own.groupBy("table", "fp").agg(F.min("node").alias("head"))
+    near = ball_links(heads.select("table", "fp"), radius)
+    near = near.join(heads.select("table", F.col("fp").alias("a"), F.col("head").alias("x")), ["table", "a"]).join(
+        heads.select("table", F.col("fp").alias("b"), F.col("head").alias("y")), ["table", "b"]
+    ).select(F.col("x").alias("a"), F.col("y").alias("b"))
+    if tables > 1:
+        near = near.unionByName(own.join(heads, ["table", "fp"]).where("node != head").select(F.col("node").alias("a"), F.col("head").alias("b")))
+    links = near
     roots = components(links, "a", "b")
     placed = stage(
         kinds.select("node", "n", "low").join(roots, "node", "left")
@@ -179,8 +171,7 @@ def simhash_groups(docs: DataFrame, size: int = 3, radius: int = 2, tables: int
     )
     classes = placed.groupBy("root").agg(F.min("low").alias("component_id"), F.sum("n").alias("class_size"))
     lookup = placed.select("node", "root").join(classes, "root").drop("root")
-    node = F.col("prints")[0] if tables == 1 else F.xxhash64("prints")
-    return rows.withColumn("node", node).join(lookup, "node").select(
+    return rows.withColumn("node", F.xxhash64("prints")).join(lookup, "node").select(
         "doc_id",
         F.lower(F.lpad(F.hex(F.col("prints")[0]), 16, "0")).alias("fingerprint"),
         "component_id",
