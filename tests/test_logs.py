@@ -71,6 +71,21 @@ def test_month_split_and_month_reads(spark, tmp_path):
     assert sorted((r["month"], r["v"]) for r in tables.read_months(spark, monthly).collect()) == [("2024-01", 1), ("2024-02", 3)]
     assert [r["v"] for r in tables.read_months(spark, monthly, ["2024-02"]).collect()] == [3]
     assert tables.read_years(spark, monthly, [2023]).count() == 0
+    tables.replace_months(first.where("v = 1"), monthly, ["2024-02"])
+    assert [(r["month"], r["v"]) for r in tables.read_months(spark, monthly).collect()] == [("2024-01", 1)]
+    tables.replace_months(first.where("v = 0"), monthly)
+    assert tables.read_months(spark, monthly, schema=first.schema).count() == 0
+
+
+def test_line_ids_follow_the_file(spark, tmp_path):
+    (tmp_path / "log").write_text("".join(f"line {i}\n" for i in range(20_000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "32k")
+    try:
+        read = [[r["line"] for r in logs.read_lines(spark, str(tmp_path / "log")).orderBy("line_id").collect()] for _ in range(2)]
+        ids = logs.read_lines(spark, str(tmp_path / "log")).select("line_id").distinct().count()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert read[0] == read[1] == [f"line {i}" for i in range(20_000)] and ids == 20_000
 
 
 def test_prefixed_tables_and_deletes(spark, tmp_path):
@@ -89,6 +104,8 @@ def test_term_pairs_replace_only_their_model(spark, tmp_path):
     tables.write_term_pairs(spark.createDataFrame([("a", "b", 0.5, "x"), ("a", "c", 0.5, "y")], schema), path)
     tables.write_term_pairs(spark.createDataFrame([("d", "e", 0.5, "x")], schema), path)
     assert sorted((r["term_a"], r["model"]) for r in spark.read.parquet(path).collect()) == [("a", "y"), ("d", "x")]
+    tables.write_term_pairs(spark.createDataFrame([], schema), path, ["x"])
+    assert [(r["term_a"], r["model"]) for r in spark.read.parquet(path).collect()] == [("a", "y")]
 
 
 def test_query_map(spark):

@@ -115,6 +115,18 @@ def test_matrix_files(spark, tmp_path):
     assert got == {("a", 0): 1.0, ("b", 1): 2.5}
     (tmp_path / "two.csv").write_text(" Num,d1,d2\n Num,f0,f1\nsea ice,0,3\nzero,0,0\n")
     assert [(r["term"], r["feature"], r["weight"]) for r in matrices.read_matrix(spark, str(tmp_path / "two.csv"), 2).collect()] == [("sea ice", 1, 3.0)]
+    (tmp_path / "gap.csv").write_text("t,1,,3,\n")
+    assert [(r["feature"], r["weight"]) for r in matrices.read_matrix(spark, str(tmp_path / "gap.csv")).collect()] == [(0, 1.0), (2, 3.0)]
+
+
+def test_asked_rows_meet_all_rows(spark):
+    rng = random.Random(3)
+    data = [(f"t{i}", f"d{j}", float(rng.randint(1, 5))) for i in range(12) for j in range(6) if rng.random() < 0.5]
+    long = spark.createDataFrame(data, "term string, feature string, weight double")
+    asked = spark.createDataFrame([("t1",), ("t5",), ("none",)], "term string")
+    got = {(r["term_a"], r["term_b"]): r["weight"] for r in matrix.cosine_with(long, asked).collect()}
+    want = {k: v for k, v in brute_cosine(data).items() if {"t1", "t5"} & set(k) and v}
+    assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-12 for k in want)
 
 
 def test_triples_and_clicks(spark, tmp_path):

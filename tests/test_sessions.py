@@ -1,8 +1,11 @@
 """Session and tree rules on literal logs, and against small step-by-step models."""
 
 import random
+import time
 from datetime import datetime, timedelta
 
+from hypothesis import given
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tidemark.operators import crawlers, mining, sessions, tree
@@ -186,8 +189,37 @@ def test_query_filter_pairs(spark):
 
 def test_request_limit_is_a_parameter(spark):
     one = log(spark, [(i, f"/p{i}", "-") for i in range(120)]).withColumn("session_id", F.lit("s"))
-    assert sessions.session_requests(one).count() == 100
-    assert sessions.session_requests(one, None).count() == 120
+    assert sessions.session_requests(one, 100).count() == 100
+    assert sessions.session_requests(one).count() == 120
+
+
+def test_long_visitors_and_sessions_stay_linear():
+    state = sessions.VisitorSessions(600)
+    start = time.time()
+    state.page("/old", None, False, 0)
+    for i in range(100_000):
+        state.page(f"/p{i}", None, False, i)
+        state.page(f"/q{i}", "/old", True, i)
+    rows = [
+        {"month": "m", "ip": "i", "session_id": "s", "seq": i + 1, "epoch": i, "key": "datasetlist", "request": f"/l{i}",
+         "dataset_id": None, "referer": f"/l{i - 1}"} for i in range(50_000)
+    ]
+    nodes = tree.referer_tree(rows)
+    assert len(nodes) == 50_000 and nodes[-1]["parent_seq"] == 49_999 and nodes[-1]["search_url"] == "/l49998"
+    assert time.time() - start < 20
+
+
+@given(st.lists(st.tuples(st.integers(0, 30), st.integers(-3, 3)), max_size=60))
+def test_tail_sums(steps):
+    sums, plain = sessions.TailSums(), []
+    for place, value in steps:
+        if place < len(plain):
+            sums.add(place, value)
+            plain[place] += value
+        else:
+            sums.append(value)
+            plain.append(value)
+        assert all(sums.tail(i) == sum(plain[i:]) for i in range(len(plain) + 1))
 
 
 def test_session_gate(spark):

@@ -179,6 +179,22 @@ def row_cosine(
     return partial.select("term_a", "term_b", F.col("dot").alias("weight"))
 
 
+def cosine_with(long: DataFrame, asked: DataFrame) -> DataFrame:
+    """Cosine of each asked row with every other row of a long matrix, a < b, where it is not zero.
+
+    ``asked`` is a column of terms, a stated query set. Only its rows meet the others, on the features both
+    have, so a feature costs its entries times the asked rows that hold it.
+    """
+    unit = stage(normalised_rows(long), "unit-rows")
+    marks = asked.select(F.col("term").cast("string").alias("term")).distinct().withColumn("_asked", F.lit(True))
+    flagged = unit.join(marks, "term", "left").withColumn("_asked", F.coalesce("_asked", F.lit(False)))
+    left = flagged.where("_asked").select("feature", F.col("term").alias("_l"), F.col("weight").alias("_x"))
+    right = flagged.select("feature", F.col("term").alias("_r"), F.col("weight").alias("_y"), "_asked")
+    met = left.join(right, "feature").where("_l < _r or (not _asked and _l <> _r)")
+    dots = met.groupBy("_l", "_r").agg(F.sum(F.col("_x") * F.col("_y")).alias("weight")).where("weight <> 0")
+    return dots.select(F.least("_l", "_r").alias("term_a"), F.greatest("_l", "_r").alias("term_b"), "weight")
+
+
 def vectors_to_long(vectors: DataFrame, term: str, values: str) -> DataFrame:
     """Dense rows (id, array of numbers) to long form, zeros left out."""
     return vectors.select(
@@ -189,9 +205,9 @@ def vectors_to_long(vectors: DataFrame, term: str, values: str) -> DataFrame:
 ZERO = 1e-9  # what is left of an exact zero after a decomposition
 
 
-def positive_pairs(pairs: DataFrame) -> DataFrame:
-    """Pairs with positive weight at two decimals."""
-    return pairs.where(F.col("weight") > ZERO).withColumn("weight", round2(F.col("weight")))
+def positive_pairs(pairs: DataFrame, zero: float = 0.0) -> DataFrame:
+    """Pairs with positive weight at two decimals. After a decomposition pass ZERO, what it leaves of a zero."""
+    return pairs.where(F.col("weight") > zero).withColumn("weight", round2(F.col("weight")))
 
 
 def symmetric(pairs: DataFrame, terms: DataFrame) -> DataFrame:
@@ -205,8 +221,6 @@ def symmetric(pairs: DataFrame, terms: DataFrame) -> DataFrame:
 
 # --- singular value decomposition ------------------------------------------------------------------
 
-MAX_SVD_COLUMNS = 100_000
-
 
 def dense_ids(values: DataFrame, column: str) -> DataFrame:
     """Distinct values of a column with ids 0..n-1 in value order.
@@ -226,8 +240,9 @@ def dense_ids(values: DataFrame, column: str) -> DataFrame:
 def svd_embedding(long: DataFrame, k: int) -> DataFrame:
     """Rows U * diag(s) of a long matrix (term, doc, weight) as (term, feature, weight).
 
-    The decomposition is MLlib's. Columns are the catalogue's datasets: V (columns x k) is what the
-    driver holds, so the column count is checked. The term id travels with its row.
+    The decomposition is MLlib's, which holds V (columns x k numbers) on the driver; columns are the
+    catalogue's datasets. For a catalogue whose V does not fit, the caller takes ``row_cosine`` on the
+    weights, which needs no decomposition. The term id travels with its row.
     """
     spark = long.sparkSession
     entries = stage(
@@ -236,8 +251,6 @@ def svd_embedding(long: DataFrame, k: int) -> DataFrame:
     )
     columns = stage(dense_ids(entries, "doc").withColumnRenamed("id", "c"), "svd-columns")
     n_columns = columns.count()
-    if n_columns > MAX_SVD_COLUMNS:
-        raise ValueError(f"{n_columns} columns exceed {MAX_SVD_COLUMNS}; use row_cosine on the weights")
     terms = stage(dense_ids(entries, "term").withColumnRenamed("id", "r"), "svd-terms")
     cells = stage(
         entries.join(columns, "doc").join(terms, "term")

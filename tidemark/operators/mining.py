@@ -31,7 +31,8 @@ def click_through(nodes: DataFrame) -> DataFrame:
 def keyword_pairs(nodes: DataFrame) -> DataFrame:
     """Pairs of searches that led to one downloaded view, weighted 1/(k+1) by the nearer one's rank.
 
-    The searches above a view come with its node, nearest first, so the pairs are built inside the row.
+    The searches above a downloaded view come with its node, nearest first. Both sides are exploded, so
+    pairs stream.
     """
     downloaded = view_nodes(nodes).where(F.col("downloaded") & (F.size("search_path") > 1))
     texts = downloaded.withColumn(
@@ -71,9 +72,9 @@ def _pairs_of(left: Column, filters: Column) -> Column:
 
 def query_filter_pairs(nodes: DataFrame) -> DataFrame:
     """For each view, its nearest search's text and filter values against that search's filters."""
-    views = view_nodes(nodes).where(F.size("search_path") > 0)
+    views = view_nodes(nodes).where(F.col("search_url").isNotNull())
     search = views.select(
-        *SESSION, F.col("request").alias("view_url"), F.get("search_path", F.lit(0)).alias("search_url")
+        *SESSION, F.col("request").alias("view_url"), "search_url"
     )
     parsed = search.select(
         "*", search_word(F.col("search_url")).alias("word"), filter_info(F.col("search_url")).alias("all")

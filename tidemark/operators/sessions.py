@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator, Sequence
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -21,6 +22,36 @@ INVALID = "invalid"
 # --- sessions by referer ---------------------------------------------------------------------------
 
 
+class TailSums:
+    """A growing row of numbers with the sum of any tail, both in logarithmic time (a Fenwick tree)."""
+
+    def __init__(self):
+        self.total = 0
+        self.tree = [0]
+
+    def append(self, value: int) -> None:
+        place, step, node = len(self.tree), 1, value
+        while step < place & -place:
+            node += self.tree[place - step]
+            step *= 2
+        self.tree.append(node)
+        self.total += value
+
+    def add(self, position: int, value: int) -> None:
+        place = position + 1
+        while place < len(self.tree):
+            self.tree[place] += value
+            place += place & -place
+        self.total += value
+
+    def tail(self, position: int) -> int:
+        before = 0
+        while position:
+            before += self.tree[position]
+            position -= position & -position
+        return self.total - before
+
+
 class VisitorSessions:
     """Running state of one visitor: per session the time of each URL and the order of access."""
 
@@ -29,15 +60,19 @@ class VisitorSessions:
         self.started = 0
         self.has_zero = False
         self.urls: list[dict[str, tuple[int, int]]] = [{}]
-        self.latest: list[bytearray] = [bytearray()]
+        self.latest: list[TailSums] = [TailSums()]
+        self.sizes = TailSums()
+        self.sizes.append(0)
         self.last_time: list[int] = [0]
         self.newest_with: dict[str, int] = {}
 
     def record(self, session: int, url: str, time: int) -> int:
         known, marks = self.urls[session], self.latest[session]
         if url in known:
-            marks[known[url][0]] = 0
-        known[url] = (len(marks), time)
+            marks.add(known[url][0], -1)
+        else:
+            self.sizes.add(session, 1)
+        known[url] = (len(marks.tree) - 1, time)
         marks.append(1)
         self.last_time[session] = time
         if self.newest_with.get(url, -1) < session:
@@ -49,7 +84,8 @@ class VisitorSessions:
     def open(self, url: str, time: int) -> int:
         self.started += 1
         self.urls.append({})
-        self.latest.append(bytearray())
+        self.latest.append(TailSums())
+        self.sizes.append(0)
         self.last_time.append(time)
         return self.record(self.started, url, time)
 
@@ -60,7 +96,7 @@ class VisitorSessions:
         if session is None:
             return self.open(url, time) if self.has_zero else self.record(0, url, time)
         position, seen = self.urls[session][referer]
-        walked = sum(map(len, self.urls[session + 1:])) + self.latest[session].count(1, position)
+        walked = self.sizes.tail(session + 1) + self.latest[session].tail(position)
         if abs(time - seen) < self.gap * walked:
             return self.record(session, url, time)
         return self.open(url, time)
@@ -176,17 +212,19 @@ def combine_short_sessions(
     A visitor is invalid with fewer than ``min_requests`` rows or when the share of rows without a
     referer reaches ``max_ratio`` (``compat`` means all of them). Sessions are ordered by end; one that
     ends less than ``gap`` seconds after the one before takes the id of the first of its chain.
-    Every step is a window over the same visitor partitioning: one shuffle in all.
+    Rows are added up to one per session first; windows and the join back see sessions only.
     """
+    ends = log.groupBy(*SESSION).agg(
+        F.max("ts").alias("_end"),
+        F.count(F.lit(1)).alias("_rows"),
+        F.count_if(F.col("referer") == "-").alias("_bare"),
+    )
     whole = Window.partitionBy(*VISITOR)
-    by_end = whole.orderBy("_end", "session_id", "ts", "line_id")
-    requests = F.count(F.lit(1)).over(whole)
-    missing = F.count_if(F.col("referer") == "-").over(whole)
+    by_end = whole.orderBy("_end", "session_id")
+    requests, missing = F.sum("_rows").over(whole), F.sum("_bare").over(whole)
     dropped = (missing == requests) if compat else (missing / requests >= max_ratio)
-    flagged = (
-        log.withColumn("_invalid", dropped | (requests < min_requests))
-        .withColumn("_end", F.max("ts").over(Window.partitionBy(*SESSION)))
-        .withColumn("_last", F.lag("_end").over(by_end))
+    flagged = ends.withColumn("_invalid", dropped | (requests < min_requests)).withColumn(
+        "_last", F.lag("_end").over(by_end)
     )
     starts = F.col("_last").isNull() | (seconds_between(F.col("_last"), F.col("_end")) >= gap)
     chained = flagged.withColumn(
@@ -196,13 +234,22 @@ def combine_short_sessions(
         ),
     )
     merged = F.when(F.col("_invalid"), INVALID).otherwise(F.col("_merged"))
-    return chained.withColumn("session_id", merged).select(*log.columns)
+    names = chained.select(*SESSION, merged.alias("_name"))
+    others = [c for c in log.columns if c != "session_id"]
+    return log.join(names, SESSION).select(*others, F.col("_name").alias("session_id")).select(*log.columns)
 
 
 # --- session statistics ----------------------------------------------------------------------------
 
-# The quality gate of a session.
-MIN_REQUESTS, MAX_LISTS, MAX_VIEWS, MAX_DOWNLOADS = 3, 100, 200, 100
+
+class Gate(NamedTuple):
+    """What a good session holds. The defaults."""
+
+    min_requests: int = 3
+    max_lists: int = 100
+    max_views: int = 200
+    max_downloads: int = 100
+
 
 
 def _page(log_type: Column, request: Column) -> Column:
@@ -216,7 +263,7 @@ def _ordered_distinct(value: Column) -> Column:
 
 
 def session_statistics(
-    log: DataFrame, session_type: str = "sessionstats", request_type: str = "cleanup"
+    log: DataFrame, session_type: str = "sessionstats", request_type: str = "cleanup", gate: Gate = Gate()
 ) -> DataFrame:
     """One row per good session: span, counters, keywords, views and downloads in order of first use.
 
@@ -226,7 +273,7 @@ def session_statistics(
     rows = log.where(F.col("session_id") != INVALID).withColumn("_page", page)
     is_list = F.contains("_page", F.lit("/datasetlist?"))
     is_view = F.startswith("_page", F.lit("/dataset/"))
-    gated = with_session_gate(rows, is_list, is_view)
+    gated = with_session_gate(rows, is_list, is_view, gate)
     detailed = (
         gated.withColumn("_keywords", F.when(is_list, search_info(F.col("_page"))))
         .withColumn("_view", viewed_dataset(F.col("_page")))
@@ -259,7 +306,7 @@ def session_statistics(
     )
 
 
-def with_session_gate(rows: DataFrame, is_list: Column, is_view: Column) -> DataFrame:
+def with_session_gate(rows: DataFrame, is_list: Column, is_view: Column, gate: Gate = Gate()) -> DataFrame:
     """Rows of sessions with enough requests and a plausible number of searches, views and downloads."""
     w = Window.partitionBy(*SESSION)
     return (
@@ -268,26 +315,26 @@ def with_session_gate(rows: DataFrame, is_list: Column, is_view: Column) -> Data
         .withColumn("_views", F.count_if(is_view).over(w))
         .withColumn("_transfers", F.count_if(F.col("log_type") == "ftp").over(w))
         .where(
-            (F.col("_n") >= MIN_REQUESTS)
-            & F.col("_lists").between(1, MAX_LISTS)
-            & F.col("_views").between(1, MAX_VIEWS)
-            & (F.col("_transfers") <= MAX_DOWNLOADS)
+            (F.col("_n") >= gate.min_requests)
+            & F.col("_lists").between(1, gate.max_lists)
+            & F.col("_views").between(1, gate.max_views)
+            & (F.col("_transfers") <= gate.max_downloads)
         )
         .drop("_n", "_lists", "_views", "_transfers")
     )
 
 
-def valid_session_rows(log: DataFrame) -> DataFrame:
+def valid_session_rows(log: DataFrame, gate: Gate = Gate()) -> DataFrame:
     """Log rows that belong to a session which passes the gate (no join: the counters are windows)."""
     page = _page(F.col("log_type"), F.col("request"))
     rows = log.where(F.col("session_id") != INVALID).withColumn("_page", page)
     return with_session_gate(
-        rows, F.contains("_page", F.lit("/datasetlist?")), F.startswith("_page", F.lit("/dataset/"))
+        rows, F.contains("_page", F.lit("/datasetlist?")), F.startswith("_page", F.lit("/dataset/")), gate
     ).drop("_page")
 
 
-def session_requests(log: DataFrame, limit: int | None = 100) -> DataFrame:
-    """Requests numbered in time order inside each session, the first ``limit`` kept (None keeps all)."""
+def session_requests(log: DataFrame, limit: int | None = None) -> DataFrame:
+    """Requests numbered in time order inside each session; a ``limit`` keeps the first ones only."""
     w = Window.partitionBy(*SESSION).orderBy("ts", "line_id")
     numbered = log.withColumn("seq", F.row_number().over(w))
     return numbered if limit is None else numbered.where(F.col("seq") <= limit)

@@ -28,7 +28,7 @@ def lda_topics(
     """
     spark = documents.sparkSession
     ensure_checkpoint_dir(spark)
-    counts = CountVectorizer(inputCol="tokens", outputCol="features", vocabSize=1 << 24, minDF=1.0)
+    counts = CountVectorizer(inputCol="tokens", outputCol="features", vocabSize=(1 << 31) - 1, minDF=1.0)
     vectorizer = counts.fit(documents)
     model = LDA(
         k=k, docConcentration=[concentration], topicConcentration=concentration, maxIter=iterations,

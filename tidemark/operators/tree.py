@@ -16,31 +16,43 @@ KEYS = ("datasetlist", "dataset", "ftp")
 NODE_SCHEMA = (
     "month string, ip string, session_id string, seq int, epoch bigint, key string, request string, "
     "dataset_id string, parent_seq int, parent_key string, n_children int, downloaded boolean, "
-    "search_path array<string>"
+    "search_url string, search_path array<string>"
 )
 
 _ARROW = pa.schema([
     ("month", pa.string()), ("ip", pa.string()), ("session_id", pa.string()), ("seq", pa.int32()),
     ("epoch", pa.int64()), ("key", pa.string()), ("request", pa.string()), ("dataset_id", pa.string()),
     ("parent_seq", pa.int32()), ("parent_key", pa.string()), ("n_children", pa.int32()),
-    ("downloaded", pa.bool_()), ("search_path", pa.list_(pa.string())),
+    ("downloaded", pa.bool_()), ("search_url", pa.string()), ("search_path", pa.list_(pa.string())),
 ])
 
 
+FLUSH_ROWS = 10_000
+
+
 def _node(row: dict, parent: dict | None) -> dict:
-    path = []
+    above = None
     if parent is not None:
-        own = [parent["request"]] if parent["key"] == "datasetlist" else []
-        path = own + parent["search_path"]
+        above = parent if parent["key"] == "datasetlist" else parent["above"]
         parent["n_children"] += 1
         parent["downloaded"] |= row["key"] == "ftp"
     return {
         **row, "parent_seq": parent["seq"] if parent else 0,
         "parent_key": parent["key"] if parent else "root",
-        "n_children": 0, "downloaded": False, "search_path": path,
+        "n_children": 0, "downloaded": False, "above": above,
+        "search_url": above["request"] if above else None, "search_path": None,
     }
 
 
+def _search_path(node: dict) -> list[str]:
+    """The searches above a node, nearest first."""
+    path, above = [], node["above"]
+    while above is not None:
+        path.append(above["request"])
+        above = above["above"]
+    return path
+
+
 def referer_tree(rows: list[dict]) -> list[dict]:
     """Nodes of one session whose parents are found by referer.
 
@@ -63,6 +75,9 @@ def referer_tree(rows: list[dict]) -> list[dict]:
         by_request[node["request"]] = node
         if key == "dataset":
             view = node
+    for node in nodes:
+        if node["key"] == "dataset" and node["downloaded"]:
+            node["search_path"] = _search_path(node)
     return nodes
 
 
@@ -70,28 +85,44 @@ def _first_fit_nodes(rows: DataFrame) -> DataFrame:
     """Nodes placed by kind alone, from the first search page on.
 
     First fit leaves one open place per kind: a search or dataset page goes under the latest search page,
-    a transfer under the first dataset page. So the parents are windows over the session.
+    a transfer under the first dataset page. So parents and counts of children are windows over the
+    session, none of which gathers rows; only the one view that takes transfers gets its search path.
     """
-    w = Window.partitionBy(*SESSION).orderBy("seq")
-    before, whole = w.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(*SESSION)
-    is_list, is_view = F.col("key") == "datasetlist", F.col("key") == "dataset"
+    whole = Window.partitionBy(*SESSION)
+    w = whole.orderBy("seq")
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    is_list, is_view, is_ftp = (F.col("key") == k for k in KEYS)
     started = rows.withColumn("_top", F.min(F.when(is_list, F.col("seq"))).over(whole)).where("seq >= _top")
-    searches = F.collect_list(F.when(is_list, F.struct("seq", "request"))).over(before)
-    placed = started.withColumn("_searches", searches).withColumn(
-        "_view", F.min(F.when(is_view, F.struct("seq", F.size("_searches").alias("above")))).over(before)
+    placed = (
+        started.withColumn("_search", F.last(F.when(is_list, F.struct("seq", "request")), ignorenulls=True).over(before))
+        .withColumn("_view", F.min(F.when(is_view, F.col("seq"))).over(whole))
+        .withColumn("_part", F.count_if(is_list).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+        .where(~is_ftp | (F.col("_view") < F.col("seq")))
+        .withColumn("_parts", F.max("_part").over(whole))
+        .withColumn("_transfers", F.count_if(is_ftp).over(whole))
+        .withColumn("_pages", F.count_if(is_view).over(Window.partitionBy(*SESSION, "_part")))
+        .withColumn("_above", F.max(F.when(F.col("seq") == F.col("_view"), F.col("_search.request"))).over(whole))
+    )
+    takes = F.col("seq") == F.col("_view")
+    children = (
+        F.when(is_list, F.col("_pages") + F.when(F.col("_part") < F.col("_parts"), 1).otherwise(0))
+        .when(takes, F.col("_transfers")).otherwise(0)
     )
-    is_ftp = F.col("key") == "ftp"
-    parent = F.when(is_ftp, F.col("_view.seq")).otherwise(F.try_element_at("_searches", F.lit(-1))["seq"])
-    depth = F.when(is_ftp, F.col("_view.above")).otherwise(F.size("_searches"))
-    kept = placed.withColumn("parent_seq", F.coalesce(parent, F.lit(0))).where(~is_ftp | F.col("_view").isNotNull())
-    children = F.filter(F.collect_list(F.struct("parent_seq", "key")).over(whole), lambda c: c["parent_seq"] == F.col("seq"))
-    path = F.reverse(F.transform(F.slice("_searches", F.lit(1), depth), lambda s: s["request"]))
-    return kept.withColumn("_children", children).select(
-        *SESSION, "seq", "epoch", "key", "request", "dataset_id", "parent_seq",
-        F.when(is_ftp, "dataset").when(F.col("parent_seq") > 0, "datasetlist").otherwise("root").alias("parent_key"),
-        F.size("_children").alias("n_children"),
-        F.exists("_children", lambda c: c["key"] == "ftp").alias("downloaded"),
-        path.alias("search_path"),
+    parent = F.when(is_ftp, F.col("_view")).otherwise(F.coalesce("_search.seq", F.lit(0)))
+    nodes = placed.select(
+        *SESSION, "seq", "epoch", "key", "request", "dataset_id", parent.cast("int").alias("parent_seq"),
+        F.when(is_ftp, "dataset").when(parent > 0, "datasetlist").otherwise("root").alias("parent_key"),
+        children.cast("int").alias("n_children"),
+        (takes & (F.col("_transfers") > 0)).alias("downloaded"),
+        F.when(is_ftp, F.col("_above")).otherwise(F.col("_search.request")).alias("search_url"),
+        takes.alias("_takes"), (is_list & (F.col("seq") < F.col("_view")) & (F.col("_transfers") > 0)).alias("_path"),
+    )
+    searches = F.array_sort(F.collect_list(F.when(F.col("_path"), F.struct("seq", "request"))))
+    paths = nodes.where("_path").groupBy(*SESSION).agg(
+        F.reverse(F.transform(searches, lambda s: s["request"])).alias("search_path")
+    )
+    return nodes.join(paths.withColumn("downloaded", F.lit(True)), [*SESSION, "downloaded"], "left").select(
+        *[c for c in nodes.columns if not c.startswith("_")], "search_path"
     )
 
 
@@ -104,23 +135,24 @@ def _grow(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 ready.extend(referer_tree(held))
                 session, held = key, []
             held.append(row)
-        if ready:
-            yield pa.RecordBatch.from_pylist(ready, schema=_ARROW)
-            ready = []
+            while len(ready) >= FLUSH_ROWS:
+                yield pa.RecordBatch.from_pylist(ready[:FLUSH_ROWS], schema=_ARROW)
+                ready = ready[FLUSH_ROWS:]
     ready.extend(referer_tree(held))
-    if ready:
-        yield pa.RecordBatch.from_pylist(ready, schema=_ARROW)
+    for low in range(0, len(ready), FLUSH_ROWS):
+        yield pa.RecordBatch.from_pylist(ready[low:low + FLUSH_ROWS], schema=_ARROW)
 
 
 def session_tree(
-    log: DataFrame, site: str, mode: str = "referer", limit: int | None = 100
+    log: DataFrame, site: str, mode: str = "referer", limit: int | None = None
 ) -> DataFrame:
     """Tree nodes of every session (root left out; its children have parent_seq 0).
 
-    Where a node hangs depends on which earlier nodes were kept, so sessions are streamed one at a time
-    (at most ``limit`` requests each). Numbering the requests has already brought every session together
-    in time order; the sort states that order and costs no second shuffle. Each node carries what the
-    later steps ask for - the searches above it, nearest first - so they need no further join.
+    Where a node hangs depends on which earlier nodes were kept, so sessions are streamed one at a time,
+    whole unless a ``limit`` is given. Numbering the requests has already brought every session together
+    in time order; the sort states that order and costs no second shuffle. Each node carries the nearest
+    search above it (``search_url``), and views with a transfer all of them (``search_path``, nearest
+    first), which is what the later steps ask for. Memory and output are linear in the session.
     """
     rows = session_requests(log, limit).sortWithinPartitions(*SESSION, "ts", "line_id")
     path = F.when(F.col("log_type") == "http", request_path(F.col("request")))
@@ -194,7 +226,7 @@ def render_tree(nodes: Column) -> Column:
 
 
 def tree_json(nodes: DataFrame) -> DataFrame:
-    """One nested JSON tree per session; a session's nodes are bounded by the request limit."""
+    """One nested JSON tree per session. The document is one value, so a session's nodes meet in one row."""
     node = F.struct(
         "seq", "parent_seq", node_icon(F.col("key")).alias("icon"),
         node_label(F.col("key"), F.col("request"), F.col("dataset_id")).alias("name"),
@@ -203,19 +235,18 @@ def tree_json(nodes: DataFrame) -> DataFrame:
     return grouped.select(*SESSION, render_tree(F.col("nodes")).alias("tree"))
 
 
-def newest_comments(comments: DataFrame, limit: int = 100) -> DataFrame:
-    """Per session its newest comments as one array, newest first.
-
-    The rank keeps ``limit`` rows per session before they are gathered, so an array stays small.
-    """
+def newest_comments(comments: DataFrame, limit: int | None = None) -> DataFrame:
+    """Per session its comments as one array, newest first; a ``limit`` ranks them before they are gathered."""
     w = Window.partitionBy("session_id").orderBy(F.desc("post_date"), F.desc("comment_id"))
-    top = comments.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= limit)
+    ranked = comments.withColumn("_rank", F.row_number().over(w))
+    top = ranked if limit is None else ranked.where(F.col("_rank") <= limit)
     record = F.struct("_rank", "post_date", "who", "comment", "comment_id")
     return top.groupBy("session_id").agg(F.array_sort(F.collect_list(record)).alias("comments"))
 
 
 def session_json(
-    log: DataFrame, nodes: DataFrame, comments: DataFrame, keywords: DataFrame, limit: int | None = 100
+    log: DataFrame, nodes: DataFrame, comments: DataFrame, keywords: DataFrame, limit: int | None = None,
+    comment_limit: int | None = None,
 ) -> DataFrame:
     """One JSON document per session: request tree, request list, comments and keywords."""
     request = F.struct(
@@ -226,7 +257,7 @@ def session_json(
     )
     joined = (
         lists.join(tree_json(nodes), SESSION, "left")
-        .join(newest_comments(comments), "session_id", "left")
+        .join(newest_comments(comments, comment_limit), "session_id", "left")
         .join(keywords.select(*SESSION, "keywords"), SESSION, "left")
     )
     document = F.concat(

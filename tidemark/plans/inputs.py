@@ -122,7 +122,7 @@ def chained_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
         | ((F.col("key") == "ftp") & (F.col("n_views") > 0))
     )
     below = F.lead("key").over(Window.partitionBy(*sessions.SESSION, F.col("key") == "datasetlist").orderBy("seq"))
-    return placed.withColumn(
+    return placed.withColumn("search_url", F.get("search_path", F.lit(0))).withColumn(
         "parent_key",
         F.when(F.col("key") == "ftp", "dataset").when(F.size("search_path") > 0, "datasetlist").otherwise("root"),
     ).withColumn("downloaded", (F.col("key") == "dataset") & F.coalesce(below == "ftp", F.lit(False))).drop("n_views")
@@ -225,6 +225,17 @@ def document_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matrix.stemmed_counts(docs)
 
 
+def asked_terms(counts: DataFrame) -> DataFrame:
+    """The searches of the portal's users: the terms that over a tenth of all documents hold."""
+    return matrix.frequent_terms(counts, min_share=0.1).select("term").distinct()
+
+
+def asked_pairs(counts: DataFrame, terms: DataFrame) -> DataFrame:
+    """Cosine of the asked terms with every term of the documents."""
+    weights = matrix.tfidf(counts).select("term", F.col("doc").alias("feature"), "weight")
+    return matrix.cosine_with(weights, terms)
+
+
 def metadata_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts as dataset metadata; every fourth one lacks an abstract."""
     return table(spark, sf_dir, "part").select(

@@ -201,7 +201,7 @@ numbered AS (
 nodes AS (
   SELECT *, coalesce(path, request) AS node_request,
          count(*) FILTER (WHERE key = 'datasetlist') OVER w AS searches, count(*) FILTER (WHERE key = 'dataset') OVER w AS n_views
-  FROM numbered WHERE seq <= 100
+  FROM numbered
   WINDOW w AS (PARTITION BY month, ip, session_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 placed AS (SELECT * FROM nodes WHERE key = 'datasetlist' OR (key = 'dataset' AND searches > 0) OR (key = 'ftp' AND n_views > 0)),
 below AS (SELECT month, ip, session_id, seq, lead(key) OVER (PARTITION BY month, ip, session_id ORDER BY seq) AS next_key FROM placed WHERE key <> 'datasetlist'),
@@ -368,9 +368,13 @@ SQL["document_terms"] = f"WITH {COUNTS} SELECT term, doc, tf FROM counts"
 SQL["document_tfidf"] = f"WITH {COUNTS}, {_tfidf('counts', 'tw')} SELECT term, feature AS doc, tf, round(weight, 6) AS weight FROM tw"
 FREQUENT = f"""{COUNTS},
 common AS (SELECT term FROM counts GROUP BY term HAVING count(*) > 0.1 * (SELECT count(DISTINCT doc) FROM counts)),
-fcounts AS (SELECT * FROM counts WHERE term IN (SELECT term FROM common)), {_tfidf('fcounts', 'fw')}, {_cosine('fw', 'fcs')}"""
-SQL["document_term_cosine"] = f"""WITH {FREQUENT}
-SELECT term_a, term_b, {_half_even('cosine')} AS weight FROM fcs WHERE cosine > 1e-9"""
+{_tfidf('counts', 'fw')},
+fw_len AS (SELECT term, sqrt(sum(weight * weight)) AS len FROM fw GROUP BY term HAVING sum(weight * weight) > 0),
+fw_dot AS (SELECT a.term AS x, b.term AS y, sum(a.weight * b.weight) AS dot FROM fw a JOIN fw b ON a.feature = b.feature AND a.term <> b.term WHERE a.term IN (SELECT term FROM common) GROUP BY ALL),
+fcs AS (SELECT x, y, dot / (p.len * q.len) AS cosine FROM fw_dot JOIN fw_len p ON x = p.term JOIN fw_len q ON y = q.term)"""
+SQL["document_term_cosine"] = f"""WITH {FREQUENT},
+near AS (SELECT x AS term_a, y AS term_b, {_half_even('cosine')} AS weight FROM fcs WHERE cosine > 0)
+SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY term_a ORDER BY weight DESC, term_b) AS INTEGER) AS rank FROM near) WHERE rank <= 20"""
 SQL["corpus_word_counts"] = f"""WITH {TOKENS},
 words AS (SELECT w FROM toks UNION ALL SELECT '' FROM documents WHERE len(regexp_extract_all(lower(text), '{_TOKEN}')) = 0)
 SELECT w AS word, count(*) AS n FROM words WHERE NOT contains(w, '_') GROUP BY ALL"""
@@ -510,10 +514,10 @@ ranked_hits AS (SELECT *, row_number() OVER (PARTITION BY input ORDER BY score D
 
 
 SQL["document_search"] = f"""WITH {FREQUENT},
-vocab AS (SELECT term AS w FROM common), {_porter('vocab', 'v')},
-term_pairs AS (SELECT term_a, term_b, {_half_even('cosine')} AS weight, 'GCMDMetadata' AS model FROM fcs WHERE cosine > 1e-9),
+vocab AS (SELECT DISTINCT term AS w FROM counts), {_porter('vocab', 'v')},
+term_pairs AS (SELECT DISTINCT least(x, y) AS term_a, greatest(x, y) AS term_b, {_half_even('cosine')} AS weight, 'GCMDMetadata' AS model FROM fcs WHERE cosine > 0),
 onto AS (SELECT '' AS concept_a, '' AS concept_b, 0.0::DOUBLE AS weight WHERE false),
-asked AS (SELECT w AS input, CASE WHEN w IN ({_STOP}) THEN '' ELSE s END AS known FROM v), {_related('asked')},
+asked AS (SELECT w AS input, CASE WHEN w IN ({_STOP}) THEN '' ELSE s END AS known FROM v WHERE w IN (SELECT term FROM common)), {_related('asked')},
 phrases AS (SELECT input, 0 AS part, input AS phrase FROM asked UNION ALL SELECT input, k, term FROM top WHERE k <= 3),
 qterms AS (SELECT p.input, p.part, v.s FROM phrases p JOIN v ON p.phrase = v.w WHERE p.phrase NOT IN ({_STOP})), {_search('qterms')}
 SELECT input, CAST(k AS INTEGER) AS rank, doc, score, {_half_even('score / best * 100')} AS relevance FROM ranked_hits WHERE k <= 500"""
@@ -600,18 +604,18 @@ grow AS (
     SELECT r.month, r.ip, r.session_id, r.seq, r.key, r.page, g.nodes, CASE WHEN r.key = 'dataset' THEN 'ds_' || r.ds END AS ds,
            CASE WHEN r.key = 'ftp' THEN list_filter(g.nodes, lambda x: x.key = 'dataset')[-1]
                 WHEN r.ref <> '-' THEN list_filter(g.nodes, lambda x: x.page = r.ref)[-1] END AS p
-    FROM grow g JOIN tree_rows r ON r.month = g.month AND r.ip = g.ip AND r.session_id = g.session_id AND r.seq = g.seq + 1
-    WHERE r.seq <= 100)),
+    FROM grow g JOIN tree_rows r ON r.month = g.month AND r.ip = g.ip AND r.session_id = g.session_id AND r.seq = g.seq + 1)),
 final AS (SELECT month, ip, session_id, arg_max(nodes, seq) AS nodes FROM grow GROUP BY ALL),
 flat AS (SELECT month, ip, session_id, unnest(nodes) AS x FROM final),
 kids AS (SELECT month, ip, session_id, x.pseq AS seq, count(*) AS n, bool_or(x.key = 'ftp') AS got FROM flat GROUP BY ALL),
 tree AS (
   SELECT f.month, f.session_id, f.x.seq AS seq, f.x.key AS key, f.x.page AS request, f.x.ds AS dataset_id, f.x.pseq AS parent_seq,
-         f.x.pkey AS parent_key, coalesce(k.n, 0) AS n_children, coalesce(k.got, false) AS downloaded, array_to_string(f.x.above, '|') AS search_path
+         f.x.pkey AS parent_key, coalesce(k.n, 0) AS n_children, coalesce(k.got, false) AS downloaded, f.x.above[1] AS search_url,
+         CASE WHEN f.x.key = 'dataset' AND k.got THEN array_to_string(f.x.above, '|') END AS search_path
   FROM flat f LEFT JOIN kids k ON k.month = f.month AND k.ip = f.ip AND k.session_id = f.session_id AND k.seq = f.x.seq)"""
 SQL["session_tree"] = f"""WITH RECURSIVE {TREE}
 SELECT month, session_id, CAST(seq AS INTEGER) AS seq, key, request, dataset_id, CAST(parent_seq AS INTEGER) AS parent_seq, parent_key,
-       CAST(n_children AS INTEGER) AS n_children, downloaded, search_path FROM tree"""
+       CAST(n_children AS INTEGER) AS n_children, downloaded, search_url, search_path FROM tree"""
 SQL["tree_leaves"] = f"""WITH RECURSIVE {TREE}
 SELECT 'view' AS kind, session_id, CAST(seq AS INTEGER) AS seq, key FROM tree WHERE key = 'dataset'
 UNION ALL SELECT 'leaf', session_id, CAST(seq AS INTEGER), key FROM tree WHERE n_children = 0
@@ -625,7 +629,7 @@ k AS (
   SELECT *, row_number() OVER (PARTITION BY month, ip, session_id ORDER BY ts, line_id) AS seq,
          CASE WHEN event_type IN ('signup', 'click') THEN 'datasetlist' WHEN event_type = 'purchase' THEN 'ftp' ELSE 'dataset' END AS key
   FROM gs),
-f AS (SELECT * FROM k k1 WHERE seq <= 100 AND EXISTS (SELECT 1 FROM k k2 WHERE k2.month = k1.month AND k2.ip = k1.ip AND k2.session_id = k1.session_id AND k2.key = 'datasetlist' AND k2.seq <= k1.seq)),
+f AS (SELECT * FROM k k1 WHERE EXISTS (SELECT 1 FROM k k2 WHERE k2.month = k1.month AND k2.ip = k1.ip AND k2.session_id = k1.session_id AND k2.key = 'datasetlist' AND k2.seq <= k1.seq)),
 p AS (
   SELECT *, CASE WHEN key = 'ftp' THEN min(CASE WHEN key = 'dataset' THEN seq END) OVER w ELSE max(CASE WHEN key = 'datasetlist' THEN seq END) OVER w END AS up
   FROM f WINDOW w AS (PARTITION BY month, ip, session_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),

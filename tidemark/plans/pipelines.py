@@ -28,17 +28,17 @@ def preprocess(
     parsed = http.unionByName(ftp)
     if months is not None:
         parsed = parsed.where(F.col("month").isin(*months))
-    tables.write_months(parsed, f"{out}/parsed")
-    clean = crawlers.remove_crawlers(tables.read_months(spark, f"{out}/parsed", months), site, rate)
+    tables.replace_months(parsed, f"{out}/parsed", months)
+    clean = crawlers.remove_crawlers(tables.read_months(spark, f"{out}/parsed", months, parsed.schema), site, rate)
     found = sessions.combine_short_sessions(sessions.sessions_by_referer(clean, site, gap), gap)
-    tables.write_months(found, f"{out}/sessions")
-    stats = sessions.session_statistics(tables.read_months(spark, f"{out}/sessions", months))
-    tables.write_months(stats, f"{out}/stats")
+    tables.replace_months(found, f"{out}/sessions", months)
+    stats = sessions.session_statistics(tables.read_months(spark, f"{out}/sessions", months, found.schema))
+    tables.replace_months(stats, f"{out}/stats", months)
 
 
 def similarity(weights: DataFrame, rank: int, model: str) -> DataFrame:
     """Term pairs of a model from tf-idf weights: embed, compare, keep what is positive at two decimals."""
-    pairs = matrix.positive_pairs(matrix.row_cosine(matrix.svd_embedding(weights, rank)))
+    pairs = matrix.positive_pairs(matrix.row_cosine(matrix.svd_embedding(weights, rank)), matrix.ZERO)
     return pairs.withColumn("model", F.lit(model))
 
 
@@ -50,29 +50,30 @@ def mine(
     prepare(spark)
     log = tables.read_months(spark, f"{out}/sessions")
     nodes = tree.session_tree(sessions.valid_session_rows(log), site)
-    tables.write_months(nodes, f"{out}/nodes")
-    nodes = tables.read_months(spark, f"{out}/nodes")
-    tables.write_months(mining.click_through(nodes), f"{out}/clicks")
-    tables.write_months(mining.keyword_pairs(nodes), f"{out}/keyword_pairs")
-    tables.write_months(mining.query_filter_pairs(nodes), f"{out}/filter_pairs")
-    found = rules.association_rules(tables.read_months(spark, f"{out}/filter_pairs"))
+    tables.replace_months(nodes, f"{out}/nodes")
+    nodes = tables.read_months(spark, f"{out}/nodes", schema=nodes.schema)
+    clicks, filters = mining.click_through(nodes), mining.query_filter_pairs(nodes)
+    tables.replace_months(clicks, f"{out}/clicks")
+    tables.replace_months(mining.keyword_pairs(nodes), f"{out}/keyword_pairs")
+    tables.replace_months(filters, f"{out}/filter_pairs")
+    found = rules.association_rules(tables.read_months(spark, f"{out}/filter_pairs", schema=filters.schema))
     found.write.mode("overwrite").parquet(f"{out}/filter_rules")
 
     stats = tables.read_months(spark, f"{out}/stats")
     keywords = stats.select("ip", F.concat("month", F.lit("/"), "session_id").alias("session_id"), F.explode("keywords").alias("keyword"))
     history = mining.user_term_matrix(keywords, min_sessions=min_sessions, min_users=min_users)
     history_pairs = matrix.positive_pairs(matrix.row_cosine(history)).withColumn("model", F.lit("userHistory"))
-    tables.write_term_pairs(history_pairs, f"{out}/term_pairs")
+    tables.write_term_pairs(history_pairs, f"{out}/term_pairs", ["userHistory"])
 
-    clicks = tables.read_months(spark, f"{out}/clicks").select(F.col("keyword").alias("term"), F.col("dataset").alias("doc"))
+    clicks = tables.read_months(spark, f"{out}/clicks", schema=clicks.schema).select(F.col("keyword").alias("term"), F.col("dataset").alias("doc"))
     click_weights = matrix.tfidf(matrix.term_counts(clicks))
-    tables.write_term_pairs(similarity(click_weights, CLICK_RANK, "userClicking"), f"{out}/term_pairs")
+    tables.write_term_pairs(similarity(click_weights, CLICK_RANK, "userClicking"), f"{out}/term_pairs", ["userClicking"])
 
     records = metadata.read_json(spark, metadata_path)
     records.write.mode("overwrite").parquet(f"{out}/metadata")
     described = records.select(F.col("short_name").alias("doc"), F.explode(metadata.all_terms(records)).alias("term"))
     metadata_weights = matrix.tfidf(matrix.term_counts(described.withColumn("term", linkage.normalise(F.col("term")))))
-    tables.write_term_pairs(similarity(metadata_weights, METADATA_RANK, "GCMDMetadata"), f"{out}/term_pairs")
+    tables.write_term_pairs(similarity(metadata_weights, METADATA_RANK, "GCMDMetadata"), f"{out}/term_pairs", ["GCMDMetadata"])
 
     matrices.read_triples(spark, ontology_path).write.mode("overwrite").parquet(f"{out}/ontology")
     search.suggestions(keywords.select("keyword")).write.mode("overwrite").parquet(f"{out}/suggestions")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars, text, urls
@@ -197,7 +197,7 @@ def referer_session_statistics(spark, sf_dir):
 
 @registered
 def session_requests(spark, sf_dir):
-    rows = sessions.session_requests(sessions.valid_session_rows(src.gap_sessions(spark, sf_dir)))
+    rows = sessions.session_requests(sessions.valid_session_rows(src.gap_sessions(spark, sf_dir)), 100)
     return rows.select("line_id", "session_id", "seq")
 
 
@@ -209,7 +209,7 @@ def session_tree(spark, sf_dir):
     nodes = tree.session_tree(src.gap_sessions(spark, sf_dir), src.SITE)
     return nodes.select(
         "month", "session_id", "seq", "key", "request", "dataset_id", "parent_seq", "parent_key", "n_children",
-        "downloaded", _text("search_path"),
+        "downloaded", "search_url", _text("search_path"),
     )
 
 
@@ -342,9 +342,14 @@ def user_history_cosine(spark, sf_dir):
 
 @registered
 def document_term_cosine(spark, sf_dir):
+    """The 20 nearest terms, of the whole vocabulary, to each of the terms people ask for."""
     counts = stage(src.document_counts(spark, sf_dir), "document-counts")
-    weights = matrix.tfidf(matrix.frequent_terms(counts, min_share=0.1)).select("term", F.col("doc").alias("feature"), "weight")
-    return matrix.positive_pairs(matrix.row_cosine(weights))
+    near = matrix.positive_pairs(src.asked_pairs(counts, src.asked_terms(counts)))
+    sides = near.select("term_a", "term_b", "weight").unionByName(near.select(F.col("term_b").alias("term_a"), F.col("term_a").alias("term_b"), "weight"))
+    ranked = sides.join(src.asked_terms(counts).select(F.col("term").alias("term_a")), "term_a", "left_semi").withColumn(
+        "rank", F.row_number().over(Window.partitionBy("term_a").orderBy(F.desc("weight"), "term_b"))
+    )
+    return ranked.where("rank <= 20")
 
 
 @registered
@@ -356,13 +361,13 @@ def embedding_cosine(spark, sf_dir):
 @registered
 def svd_term_cosine(spark, sf_dir):
     embedded = matrix.svd_embedding(src.brand_weights(spark, sf_dir), 300)
-    return matrix.positive_pairs(matrix.row_cosine(embedded, blocks=2, slices=1))
+    return matrix.positive_pairs(matrix.row_cosine(embedded), matrix.ZERO)
 
 
 @registered
 def svd_truncated_cosine(spark, sf_dir):
     embedded = matrix.svd_embedding(src.brand_weights(spark, sf_dir), 5)
-    return matrix.positive_pairs(matrix.row_cosine(embedded, blocks=2, slices=1))
+    return matrix.positive_pairs(matrix.row_cosine(embedded), matrix.ZERO)
 
 
 @registered
@@ -532,11 +537,9 @@ def autocomplete(spark, sf_dir):
 @registered
 def document_search(spark, sf_dir):
     counts = stage(src.document_counts(spark, sf_dir), "document-counts")
-    weights = stage(matrix.tfidf(matrix.frequent_terms(counts, min_share=0.1)), "document-weights")
-    pairs = matrix.positive_pairs(
-        matrix.row_cosine(weights.select("term", F.col("doc").alias("feature"), "weight"))
-    ).withColumn("model", F.lit("GCMDMetadata"))
-    asked = weights.select(F.col("term").alias("input")).distinct()
+    terms = stage(src.asked_terms(counts), "asked-terms")
+    pairs = matrix.positive_pairs(src.asked_pairs(counts, terms)).withColumn("model", F.lit("GCMDMetadata"))
+    asked = terms.select(F.col("term").alias("input"))
     no_concepts = spark.createDataFrame([], "concept_a string, concept_b string, weight double")
     fused = linkage.fuse_terms(linkage.related_terms(asked, stage(pairs, "document-pairs"), no_concepts))
     hits = search.search_metadata(linkage.query_groups(asked, fused), counts)

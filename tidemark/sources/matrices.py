@@ -14,11 +14,13 @@ OTHER_WEIGHT = 0.9
 
 
 def parse_matrix_lines(lines: DataFrame) -> DataFrame:
-    """CSV rows ``term,v0,v1,…`` (column ``line``) to long form (term, feature, weight), zeros left out."""
+    """CSV rows ``term,v0,v1,…`` (column ``line``) to long form (term, feature, weight), zeros left out.
+
+    A blank cell is a zero and keeps its place.
+    """
     cells = F.split("line", ",")
     values = F.transform(
-        F.filter(F.slice(cells, 2, F.greatest(F.size(cells) - 1, F.lit(0))), lambda v: F.trim(v) != ""),
-        lambda v: v.try_cast("double"),
+        F.slice(cells, 2, F.greatest(F.size(cells) - 1, F.lit(0))), lambda v: v.try_cast("double")
     )
     long = lines.select(F.get(cells, F.lit(0)).alias("term"), F.posexplode(values).alias("feature", "weight"))
     return long.where("weight is not null and weight <> 0")

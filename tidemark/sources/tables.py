@@ -6,11 +6,17 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
-def read_months(spark: SparkSession, path: str, months: Sequence[str] | None = None) -> DataFrame:
-    """One table over all months, or the named ones only (partition pruning, no loop over months)."""
-    table = spark.read.parquet(path)
+def read_months(
+    spark: SparkSession, path: str, months: Sequence[str] | None = None, schema: StructType | None = None
+) -> DataFrame:
+    """One table over all months, or the named ones only (partition pruning, no loop over months).
+
+    With a schema a table without any row can be read too.
+    """
+    table = (spark.read if schema is None else spark.read.schema(schema)).parquet(path)
     return table if months is None else table.where(F.col("month").isin(*months))
 
 
@@ -37,11 +43,32 @@ def write_months(table: DataFrame, path: str) -> None:
     ).parquet(path)
 
 
-def write_term_pairs(pairs: DataFrame, path: str) -> None:
-    """Replace the stored pairs of the models present in ``pairs``."""
-    pairs.select("term_a", "term_b", "weight", "model").write.mode("overwrite").option(
-        "partitionOverwriteMode", "dynamic"
-    ).partitionBy("model").parquet(path)
+def _drop_partitions(spark: SparkSession, path: str, column: str, values: Sequence[str]) -> None:
+    for value in values:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{column}={value}")
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def replace_months(table: DataFrame, path: str, months: Sequence[str] | None = None) -> None:
+    """Replace the named months, all if None, also those for which ``table`` has no rows any more.
+
+    A run that fails between the two steps is repaired by running it again.
+    """
+    if months is None:
+        table.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("month").parquet(path)
+        return
+    _drop_partitions(table.sparkSession, path, "month", months)
+    table.where(F.col("month").isin(*months)).write.mode("append").partitionBy("month").parquet(path)
+
+
+def write_term_pairs(pairs: DataFrame, path: str, models: Sequence[str] | None = None) -> None:
+    """Replace the stored pairs of the named models, empty or not; without names, of those in ``pairs``."""
+    rows = pairs.select("term_a", "term_b", "weight", "model")
+    if models is None:
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("model").parquet(path)
+        return
+    _drop_partitions(pairs.sparkSession, path, "model", models)
+    rows.where(F.col("model").isin(*models)).write.mode("append").partitionBy("model").parquet(path)
 
 
 def delete_where(spark: SparkSession, path: str, target: str, condition) -> None:
