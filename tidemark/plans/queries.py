@@ -238,7 +238,19 @@ def session_documents(spark, sf_dir):
         F.col("turn").alias("comment_id"),
     )
     stats = sessions.session_statistics(log)
-    return tree.session_json(log, nodes, comments, stats).select("month", "session_id", "document")
+    documents = stage(tree.session_json(log, nodes, comments, stats), "session-documents")
+    parsed = documents.withColumn("d", F.from_json("document", (
+        "treeData string, RequestList array<struct<seq:int,time:bigint,log_type:string>>, "
+        "Comments array<struct<who:string,comment:string>>, keywords array<string>"
+    )))
+    nodes_in = F.array_sort(F.transform(F.regexp_extract_all("d.treeData", F.lit('"seq":([0-9]+)'), 1), lambda n: n.cast("int")))
+    return parsed.select(
+        "month", "ip", "session_id",
+        F.array_join(F.transform("d.RequestList", lambda r: F.concat_ws(":", r["seq"], r["time"], r["log_type"])), "|").alias("requests"),
+        F.array_join(nodes_in.cast("array<string>"), ",").alias("tree_nodes"),
+        F.array_join(F.transform("d.Comments", lambda c: F.concat(c["who"], F.lit(":"), F.md5(c["comment"]))), "|").alias("comments"),
+        F.array_join("d.keywords", ",").alias("keywords"),
+    )
 
 
 @registered
@@ -370,6 +382,15 @@ def svd_truncated_cosine(spark, sf_dir):
     return matrix.positive_pairs(matrix.row_cosine(embedded), matrix.ZERO)
 
 
+@registered
+def svd_group_cosine(spark, sf_dir):
+    """Five of 25 directions of a matrix whose decomposition is known: a group's singular value is its norm."""
+    parts = src.table(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("term"), F.col("p_brand").alias("doc"), F.substring("p_brand", 7, 2).cast("double").alias("weight")
+    )
+    return matrix.positive_pairs(matrix.row_cosine(matrix.svd_embedding(parts, 5)), matrix.ZERO)
+
+
 @registered
 def full_similarity(spark, sf_dir):
     pairs = src.metadata_pairs(spark, sf_dir)
@@ -389,13 +410,31 @@ def transposed_matrix(spark, sf_dir):
     return matrix.transpose(src.brand_weights(spark, sf_dir)).select("term", "doc", "tf", F.round("weight", 6).alias("weight"))
 
 
-@registered
-def topic_words(spark, sf_dir):
-    tokens = src.table(spark, sf_dir, "part").select(
+def _topic_documents(spark, sf_dir):
+    return src.table(spark, sf_dir, "part").select(
         F.col("p_partkey").alias("doc"), text.normalise(F.col("p_name")).alias("name"),
         F.lower("p_type").alias("type"), F.lower("p_brand").alias("brand"),
     ).withColumn("tokens", topics.topic_tokens("name", "type", "brand"))
-    return topics.lda_topics(tokens)
+
+
+@registered
+def topic_words(spark, sf_dir):
+    return topics.lda_topics(_topic_documents(spark, sf_dir))
+
+
+@registered
+def topic_word_order(spark, sf_dir):
+    """What holds of any topic model: every topic has its ranks, distinct known words and falling weights."""
+    documents = _topic_documents(spark, sf_dir)
+    words = stage(topics.lda_topics(documents), "topic-words")
+    known = documents.select(F.explode("tokens").alias("word")).distinct().withColumn("known", F.lit(True))
+    by_rank = Window.partitionBy("topic").orderBy("rank")
+    repeats = F.count(F.lit(1)).over(Window.partitionBy("topic", "word"))
+    falling = F.col("weight") <= F.coalesce(F.lag("weight").over(by_rank), F.lit(1.0))
+    return words.join(known, "word", "left").select(
+        "topic", "rank", F.coalesce("known", F.lit(False)).alias("known"), (repeats == 1).alias("once"),
+        (falling & (F.col("weight") > 0)).alias("falling"),
+    )
 
 
 @registered
