@@ -35,6 +35,7 @@ def conjunction(term: Column) -> Column:
 
 
 def session_url(session_id: Column, session_type: str, request_type: str) -> Column:
+    # Fixed value: the address of the session page.
     return F.concat(
         F.lit("443/logmining/?sessionid="), session_id,
         F.lit(f"&sessionType={session_type}&requestType={request_type}"),

@@ -117,6 +117,9 @@ def query_value(url: Column, name: str) -> Column:
     return bind(query_part(url), lambda part: _value_in(part, name))
 
 
+# The escapes and the punctuation that the next three functions name.
+
+
 def repair_escapes(value: Column) -> Column:
     """Decode percent escapes after escaping every stray '%'; null when still malformed."""
     return F.try_url_decode(F.regexp_replace(value, "%(?![0-9a-fA-F]{2})", "%25"))
