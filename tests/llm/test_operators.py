@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tidemark.llm import (
-    chat, embedding_dedup, licenses, mixing, packing, pii, quality, sharding, simhash, topk,
+    chat, embedding_dedup, licenses, mixing, near_duplicates, packing, pii, quality, sharding, simhash, topk,
 )
 
 DOC = "doc_id bigint, text string, lang string, source string, n_chars bigint, row string, fp int, label string, size int, node int"
@@ -51,8 +51,8 @@ def test_simhash(table):
     assert got == Counter((d, *w) for (d, _), w in zip(rows, brute.simhash_components(rows), strict=True))
 
 
-def test_simhash_more_tables_keep_one(odd):
-    kept = simhash.keep_one(odd, size=3, tables=3)
+def test_keep_one(odd):
+    kept = near_duplicates.keep_one(odd, size=3)
     assert kept.columns == odd.columns
     ids = sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in kept.collect())
     assert ids == [(False, 1), (False, 4), (False, 6), (False, 7), (False, 8), (False, 9), (True, 0)]

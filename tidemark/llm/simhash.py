@@ -69,30 +69,33 @@ def _ones(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.add.reduceat(bits, starts, axis=0, dtype=np.int32).astype(np.int64)
 
 
-def prints_of(texts: list[bytes | None], size: int, tables: int) -> np.ndarray:
-    """(texts, tables) fingerprints as signed 64-bit numbers; a text without words has 0."""
-    counts = np.zeros((len(texts), tables, BITS), np.int64)
-    totals = np.zeros(len(texts), np.int64)
+def hash_runs(texts: list[bytes | None], size: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(owners, hashes, starts): the hashes of shingles, a bounded number at a time; run i belongs to text owners[i]."""
+    owners, parts, held = [], [], 0
 
-    def add(owners: list[int], parts: list[np.ndarray]) -> None:
-        hashes = np.concatenate(parts)
-        lengths = np.array([len(p) for p in parts])
-        starts = np.concatenate(([0], np.cumsum(lengths)[:-1]))
-        np.add.at(totals, owners, lengths)
-        for t in range(tables):
-            np.add.at(counts[:, t], owners, _ones(_mixed(hashes, t), starts))
+    def taken() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return np.array(owners), np.concatenate(parts), np.cumsum([0] + [len(p) for p in parts[:-1]])
 
-    owners, parts, held = [], [], 0
     for i, raw in enumerate(texts):
         for part in shingle_hashes(raw or b"", size):
             owners.append(i)
             parts.append(part)
             held += len(part)
             if held >= 1 << 16:
-                add(owners, parts)
+                yield taken()
                 owners, parts, held = [], [], 0
     if parts:
-        add(owners, parts)
+        yield taken()
+
+
+def prints_of(texts: list[bytes | None], size: int, tables: int) -> np.ndarray:
+    """(texts, tables) fingerprints as signed 64-bit numbers; a text without words has 0."""
+    counts = np.zeros((len(texts), tables, BITS), np.int64)
+    totals = np.zeros(len(texts), np.int64)
+    for owners, hashes, starts in hash_runs(texts, size):
+        np.add.at(totals, owners, np.diff(starts, append=len(hashes)))
+        for t in range(tables):
+            np.add.at(counts[:, t], owners, _ones(_mixed(hashes, t), starts))
     set_bits = (2 * counts > totals[:, None, None]).astype(np.uint8)
     return np.packbits(set_bits, axis=2, bitorder="little").view("<i8")[:, :, 0]
 
@@ -179,18 +182,6 @@ def simhash_groups(docs: DataFrame, size: int = 3, radius: int = 2, tables: int
     )
 
 
-def keep_one(docs: DataFrame, size: int = 5, radius: int = 2, tables: int = 4) -> DataFrame:
-    """The documents with one row of each near-duplicate group: a row of the smallest doc_id.
-
-    Among repeated rows of that id the one with the smallest hash of its text stays. Rows with a null
-    doc_id are kept only when nothing else is in their group.
-    """
-    groups = simhash_groups(docs, size, radius, tables)
-    best = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    kept = docs.join(best.withColumnRenamed("doc_id", "_kept"), F.col("doc_id").eqNullSafe(F.col("_kept"))).drop("_kept")
-    return one_row_per_id(kept)
-
-
 def one_row_per_id(docs: DataFrame) -> DataFrame:
     """Of the rows that share a doc_id the one with the smallest hash; each task first cuts its own rows to one."""
     order = Window.partitionBy("doc_id").orderBy(F.xxhash64(*docs.columns))
