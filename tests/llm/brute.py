@@ -183,3 +183,25 @@ def kneser_ney(texts, order, symbols, begin, end, base):
         return (c - discounts[m][min(c, 3) - 1] if c else 0.0) / total + mass / total * lower
 
     return p
+
+
+def near_components(docs, size=5, similarity=0.8):
+    """The smallest id reachable over texts whose sets of shingles have the similarity, for unique ids."""
+    sets = {}
+    for doc_id, text in docs:
+        words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+        sets[doc_id] = frozenset(tuple(words[i:i + size]) for i in range(max(1, len(words) - size + 1))) if words else frozenset()
+    first, holders, union = {}, {}, Union()
+    for doc_id, shingles in sets.items():
+        union.join(doc_id, first.setdefault(shingles, doc_id))
+    for shingles, doc_id in first.items():
+        for other in {o for s in shingles for o in holders.get(s, ())}:
+            both = len(shingles & sets[other])
+            if both >= similarity * (len(shingles) + len(sets[other]) - both) - 1e-9:
+                union.join(doc_id, other)
+        for s in shingles:
+            holders.setdefault(s, []).append(doc_id)
+    lowest = {}
+    for doc_id in sorted(sets):
+        lowest.setdefault(union.root(doc_id), doc_id)
+    return {doc_id: lowest[union.root(doc_id)] for doc_id in sets}

@@ -51,6 +51,16 @@ def test_simhash(table):
     assert got == Counter((d, *w) for (d, _), w in zip(rows, brute.simhash_components(rows), strict=True))
 
 
+def test_near_groups(spark, docs):
+    rows = [r for r in pairs(docs) if r[0] is not None]
+    words = [f"w{i}" for i in range(400)]
+    near = [(10**6 + i, " ".join(words[:5 * i] + [f"new{i}"] + words[5 * i + 1:])) for i in range(60)]
+    far = [(2 * 10**6 + i, " ".join(words[:150] + [f"own{i}w{j}" for j in range(150)])) for i in range(60)]
+    table = docs.where("doc_id IS NOT NULL").select("doc_id", "text").union(spark.createDataFrame(near + far, "doc_id bigint, text string"))
+    got = {r["doc_id"]: r["component_id"] for r in near_duplicates.near_groups(table).collect()}
+    assert got == brute.near_components(rows + near + far)
+
+
 def test_keep_one(odd):
     kept = near_duplicates.keep_one(odd, size=3)
     assert kept.columns == odd.columns
