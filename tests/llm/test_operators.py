@@ -61,6 +61,43 @@ def test_near_groups(spark, docs):
     assert got == brute.near_components(rows + near + far)
 
 
+def test_near_groups_star_of_copies(spark):
+    """Copies at 0.82 to their original and 0.69 to one another: only the links to the original join them."""
+    words = [f"w{i}" for i in range(604)]
+    rows = [(0, " ".join(words))]
+    for i in range(1, 2001):
+        text = list(words)
+        for j in range(12):
+            text[10 + 49 * j + (i * (j + 3) + i // 40) % 40] = f"copy{i}x{j}"
+        rows.append((i, " ".join(text)))
+    table = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(8)
+    assert {r["component_id"] for r in near_duplicates.near_groups(table).collect()} == {0}
+
+
+def test_near_groups_in_a_crowd_with_one_passage(spark):
+    """Pairs at 0.98 among 1500 texts that all share three quarters of their shingles."""
+    passage = [f"w{i}" for i in range(304)]
+    rows = []
+    for i in range(1500):
+        own = [f"own{i // 2}x{j}" for j in range(100)]
+        rows.append((i, " ".join(passage + own[:-4] + ([f"last{i}"] if i % 2 else own[-4:]))))
+    table = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(8)
+    assert {r["doc_id"]: r["component_id"] for r in near_duplicates.near_groups(table).collect()} == {i: i // 2 * 2 for i in range(1500)}
+
+
+@pytest.mark.parametrize(("block_nodes", "block_shingles"), [(3, 1 << 20), (1024, 500)])
+def test_near_links_in_small_blocks(spark, block_nodes, block_shingles):
+    rows = [(i, " ".join(f"w{j}" if j != 7 * i else f"new{i}" for j in range(200 + 400 * (i % 2)))) for i in range(40)]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string")
+    kinds = near_duplicates.sketches(table, 5).groupBy("node").agg(
+        F.min("doc_id").alias("low"), *(F.first(c).alias(c) for c in ("n", "print", "lows")))
+    low = {r["node"]: r["low"] for r in kinds.collect()}
+    groups, want = brute.Union(), brute.near_components(rows)
+    for r in near_duplicates.near_links(table, kinds, 5, 0.8, block_nodes, block_shingles).collect():
+        groups.join(low[r["a"]], low[r["b"]])
+    assert {i: groups.root(i) for i in low.values()} == {i: want[i] for i in low.values()}
+
+
 def test_keep_one(odd):
     kept = near_duplicates.keep_one(odd, size=3)
     assert kept.columns == odd.columns
