@@ -105,6 +105,15 @@ def test_keep_one(odd):
     assert ids == [(False, 1), (False, 4), (False, 6), (False, 7), (False, 8), (False, 9), (True, 0)]
 
 
+def test_keep_one_goes_by_rows_not_ids(spark):
+    word = lambda k: " ".join(f"{k}w{i}" for i in range(60))
+    rows = [(None, word(f"null{i}"), "a") for i in range(50)] + [(None, word("null0"), "b"), (None, word("first"), "a")]
+    rows += [(1, word("first"), "a"), (2, word("second"), "a"), (2, word("third"), "a"), (3, word("third"), "a"), (3, word("third"), "a")]
+    kept = near_duplicates.keep_one(spark.createDataFrame(rows, "doc_id bigint, text string, source string")).collect()
+    assert Counter(r["text"] for r in kept) == Counter({r[1] for r in rows})
+    assert {(r["doc_id"], r["text"]) for r in kept if r["doc_id"]} == {(1, word("first")), (2, word("second")), (2, word("third"))}
+
+
 def test_mixing(table):
     rows = [tuple(r) for r in table.select("doc_id", "text", "source").collect()]
     sizes = defaultdict(int)

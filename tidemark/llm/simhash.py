@@ -180,9 +180,3 @@ def simhash_groups(docs: DataFrame, size: int = 3, radius: int = 2, tables: int
         "component_id",
         "class_size",
     )
-
-
-def one_row_per_id(docs: DataFrame) -> DataFrame:
-    """Of the rows that share a doc_id the one with the smallest hash; each task first cuts its own rows to one."""
-    order = Window.partitionBy("doc_id").orderBy(F.xxhash64(*docs.columns))
-    return docs.withColumn("_row", F.row_number().over(order)).where("_row = 1").drop("_row")
