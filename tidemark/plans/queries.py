@@ -354,14 +354,12 @@ def user_history_cosine(spark, sf_dir):
 
 @registered
 def document_term_cosine(spark, sf_dir):
-    """The 20 nearest terms, of the whole vocabulary, to each of the terms people ask for."""
-    counts = stage(src.document_counts(spark, sf_dir), "document-counts")
-    near = matrix.positive_pairs(src.asked_pairs(counts, src.asked_terms(counts)))
-    sides = near.select("term_a", "term_b", "weight").unionByName(near.select(F.col("term_b").alias("term_a"), F.col("term_a").alias("term_b"), "weight"))
-    ranked = sides.join(src.asked_terms(counts).select(F.col("term").alias("term_a")), "term_a", "left_semi").withColumn(
-        "rank", F.row_number().over(Window.partitionBy("term_a").orderBy(F.desc("weight"), "term_b"))
-    )
-    return ranked.where("rank <= 20")
+    """All pairs of terms of the whole vocabulary with a positive cosine, from both sides; rank 1 is the nearest to term_a."""
+    weights = matrix.tfidf(src.document_counts(spark, sf_dir)).select("term", F.col("doc").alias("feature"), "weight")
+    near = matrix.positive_pairs(matrix.row_cosine(weights))
+    ends = [F.struct(F.col(a).alias("term_a"), F.col(b).alias("term_b"), "weight") for a, b in (("term_a", "term_b"), ("term_b", "term_a"))]
+    sides = near.select(F.inline(F.array(*ends)))
+    return sides.withColumn("rank", F.row_number().over(Window.partitionBy("term_a").orderBy(F.desc("weight"), "term_b")))
 
 
 @registered
