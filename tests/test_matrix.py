@@ -7,8 +7,6 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tidemark.operators import matrix, mining, rules, topics
-from tidemark.plans import inputs as src
-from tidemark.plans import queries
 from tidemark.sources import matrices
 
 
@@ -144,15 +142,3 @@ def test_rule_file(spark, tmp_path):
     frame = spark.createDataFrame(rows, "query_a string, filter_b string, support_a double, confidence double, count double, type int")
     matrices.write_rules(frame, 0, str(tmp_path / "r"))
     assert [tuple(r) for r in spark.read.csv(str(tmp_path / "r")).collect()] == [("a", "f", "3.0", "0.12", "2.0")]
-
-
-def test_document_term_cosine_has_rare_terms_and_all_partners(spark, tmp_path):
-    docs = [(i, f"common{'x' * (i % 2)} word{chr(97 + i)} " + " ".join(f"rare{chr(97 + i)}{chr(97 + j)}" for j in range(25))) for i in range(12)]
-    spark.createDataFrame(docs, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    weights = matrix.tfidf(src.document_counts(spark, str(tmp_path))).select("term", "doc", "weight").collect()
-    want = brute_cosine([tuple(r) for r in weights])
-    got = queries.document_term_cosine(spark, str(tmp_path)).collect()
-    assert len(got) == 2 * len(want)
-    for r in got:
-        assert abs(r["weight"] - want[min(r["term_a"], r["term_b"]), max(r["term_a"], r["term_b"])]) <= 0.005 + 1e-9
-    assert max(r["rank"] for r in got) > 20

@@ -372,9 +372,16 @@ common AS (SELECT term FROM counts GROUP BY term HAVING count(*) > 0.1 * (SELECT
 fw_len AS (SELECT term, sqrt(sum(weight * weight)) AS len FROM fw GROUP BY term HAVING sum(weight * weight) > 0),
 fw_dot AS (SELECT a.term AS x, b.term AS y, sum(a.weight * b.weight) AS dot FROM fw a JOIN fw b ON a.feature = b.feature AND a.term <> b.term WHERE a.term IN (SELECT term FROM common) GROUP BY ALL),
 fcs AS (SELECT x, y, dot / (p.len * q.len) AS cosine FROM fw_dot JOIN fw_len p ON x = p.term JOIN fw_len q ON y = q.term)"""
-SQL["document_term_cosine"] = f"""WITH {FREQUENT},
-near AS (SELECT x AS term_a, y AS term_b, {_half_even('cosine')} AS weight FROM fcs WHERE cosine > 0)
-SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY term_a ORDER BY weight DESC, term_b) AS INTEGER) AS rank FROM near) WHERE rank <= 20"""
+SQL["document_term_cosine"] = f"""WITH {COUNTS}, {_tfidf('counts', 'fw')},
+fw_len AS (SELECT term, sqrt(sum(weight * weight)) AS len FROM fw GROUP BY term HAVING sum(weight * weight) > 0),
+unit AS MATERIALIZED (SELECT term, feature, weight / len AS weight FROM fw JOIN fw_len USING (term) WHERE weight <> 0),
+marks AS (SELECT term, list((feature, round(weight, 9)) ORDER BY feature) AS mark FROM unit GROUP BY term),
+classes AS MATERIALIZED (SELECT term, min(term) OVER (PARTITION BY mark) AS first FROM marks),
+firsts AS (SELECT u.* FROM unit u JOIN classes c ON u.term = c.term AND c.term = c.first),
+dots AS (SELECT a.term AS term_a, b.term AS term_b, sum(a.weight * b.weight) AS cosine
+         FROM firsts a JOIN firsts b ON a.feature = b.feature AND a.term < b.term GROUP BY ALL)
+SELECT first AS term_a, term AS term_b, 1.0::DOUBLE AS weight, true AS same FROM classes WHERE term <> first
+UNION ALL SELECT term_a, term_b, {_half_even('cosine')} AS weight, false FROM dots WHERE round(cosine, 9) >= 0.8"""
 SQL["corpus_word_counts"] = f"""WITH {TOKENS},
 words AS (SELECT w FROM toks UNION ALL SELECT '' FROM documents WHERE len(regexp_extract_all(lower(text), '{_TOKEN}')) = 0)
 SELECT w AS word, count(*) AS n FROM words WHERE NOT contains(w, '_') GROUP BY ALL"""

@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars, text, urls
+from tidemark.functions.scalars import round2
 from tidemark.operators import (
-    crawlers, geo, linkage, matrix, mining, rules, search, sessions, topics, tree,
+    crawlers, geo, linkage, matrix, mining, rules, search, sessions, similarity, topics, tree,
 )
 from tidemark.plans import inputs as src
 from tidemark.session import prepare, spread, stage
@@ -354,12 +355,10 @@ def user_history_cosine(spark, sf_dir):
 
 @registered
 def document_term_cosine(spark, sf_dir):
-    """All pairs of terms of the whole vocabulary with a positive cosine, from both sides; rank 1 is the nearest to term_a."""
+    """Terms of the whole vocabulary with a cosine of 0.8 at least; terms of one direction are named with the first of them."""
     weights = matrix.tfidf(src.document_counts(spark, sf_dir)).select("term", F.col("doc").alias("feature"), "weight")
-    near = matrix.positive_pairs(matrix.row_cosine(weights))
-    ends = [F.struct(F.col(a).alias("term_a"), F.col(b).alias("term_b"), "weight") for a, b in (("term_a", "term_b"), ("term_b", "term_a"))]
-    sides = near.select(F.inline(F.array(*ends)))
-    return sides.withColumn("rank", F.row_number().over(Window.partitionBy("term_a").orderBy(F.desc("weight"), "term_b")))
+    near = similarity.similar_rows(weights, 0.8)
+    return near.withColumn("weight", round2(F.col("weight")))
 
 
 @registered
