@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.llm.rows import fresh, with_row_number
 from tidemark.operators.matrix import dense_ids
 from tidemark.session import stage
 
@@ -18,6 +19,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (1, 2, 3)
 CAP = 3
 STEPS = 60  # most Newton steps; they end when every source is near
+ASK = 4  # steps between two questions whether all sources are done; further steps leave those alone
 NEAR = 1e-6  # of the target
 BUCKETS = 1024  # runs of the drawing order whose sizes are summed apart
 PASSES = 5  # times that what a source still lacks is filled with further documents
@@ -72,8 +74,8 @@ def tilts(histogram: DataFrame, targets: DataFrame, cap: int = CAP) -> DataFrame
         F.lit(-745.0).alias("low"), F.lit(745.0).alias("high"),
     ).withColumn("done", (F.col("tilt") == float("inf")) | (F.col("target") <= 0) | (F.col("mean") == 0))
     state = stage(state, "tilts")
-    for _ in range(STEPS):
-        if state.where("not done").isEmpty():
+    for step in range(STEPS):
+        if step % ASK == 0 and state.where("not done").isEmpty():
             break
         x = F.col("size") / F.col("mean")
         free = F.exp(F.least(F.col("tilt") * x, F.lit(700.0)))
@@ -100,24 +102,30 @@ def tilts(histogram: DataFrame, targets: DataFrame, cap: int = CAP) -> DataFrame
     return state.select("id", "tilt", "mean")
 
 
-def _fill(drawn: DataFrame, lacks: DataFrame, last: bool) -> DataFrame:
-    """(row) of the documents that come first in the drawing order of their source and together fill what it lacks.
+def _fill(pool: DataFrame, lacks: DataFrame, last: bool) -> DataFrame:
+    """(row, id, size, draw, taken) of the rows of `pool` that may still be of use; staged.
 
-    Sizes are summed over `BUCKETS` runs of the order first, so that only the run in which a source gets
+    Taken are the documents that come first in the drawing order of their source and together fill what it
+    lacks. Sizes are summed over `BUCKETS` runs of the order first, so that only the run in which a source gets
     full is looked at row by row. A row that would overfill is left; the last time it is taken if that comes
-    nearer to the target.
+    nearer to the target. Rows of twice what is lacking are of no use any more, as lacks only shrink.
     """
-    near = drawn.join(lacks, "id").where("size < 2 * lack" if last else "size <= lack")
+    near = pool.join(lacks, "id").where("size < 2 * lack")
     near = near.withColumn("run", F.least(F.floor(F.col("draw") * BUCKETS), F.lit(4 * BUCKETS)))
-    runs = near.groupBy("id", "run").agg(F.sum("size").alias("words"))
+    fits = F.lit(True) if last else F.col("size") <= F.col("lack")
+    near = near.withColumn("fits", fits)
+    runs = near.where("fits").groupBy("id", "run").agg(F.sum("size").alias("words"))
     upto = Window.partitionBy("id").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
     runs = runs.withColumn("before", F.coalesce(F.sum("words").over(upto), F.lit(0)))
-    placed = near.join(runs, ["id", "run"]).where("before < lack")
-    sure = placed.where("before + words <= lack").select("row")
+    placed = near.join(runs, ["id", "run"], "left")
+    edge = F.coalesce(F.col("fits") & (F.col("before") < F.col("lack")) & (F.col("before") + F.col("words") > F.col("lack")), F.lit(False))
     order = Window.partitionBy("id", "run").orderBy("draw", "row").rowsBetween(Window.unboundedPreceding, 0)
-    edge = placed.where("before + words > lack").withColumn("upto", F.col("before") + F.sum("size").over(order))
-    fits = "upto - lack <= lack - (upto - size)" if last else "upto <= lack"
-    return sure.unionByName(edge.where(fits).select("row"))
+    cut = placed.where(edge).withColumn("upto", F.col("before") + F.sum("size").over(order))
+    nearest = F.expr("upto - lack <= lack - (upto - size)" if last else "upto <= lack")
+    whole = F.col("fits") & (F.col("before") + F.col("words") <= F.col("lack"))
+    columns = ["row", "id", "size", "draw"]
+    rest = placed.where(~edge).select(*columns, F.coalesce(whole, F.lit(False)).alias("taken"))
+    return stage(rest.unionByName(cut.select(*columns, nearest.alias("taken"))), "fill")
 
 
 def mixed(
@@ -135,9 +143,16 @@ def mixed(
     Null and blank texts have size 0 and 0 copies taken count as 0 words. A null source is a source of its
     own, the last. Repeated rows are documents each. Other columns of docs are not read.
     """
+    key = fresh(docs, "row")
+    plain = with_row_number(docs, key).select(F.col(key).alias("row"), "doc_id", "source", "text")
+    return mixed_rows(plain, weights, cap, seed)
+
+
+def mixed_rows(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, seed: int = 42) -> DataFrame:
+    """`mixed` of rows with a `row` number that is the same at every reading."""
     rows = stage(
         docs.select(
-            F.monotonically_increasing_id().alias("row"), F.col("doc_id"), F.col("source").cast("string").alias("source"),
+            "row", F.col("doc_id"), F.col("source").cast("string").alias("source"),
             word_count(F.col("text")).alias("size"),
         ),
         "sizes",
@@ -168,19 +183,16 @@ def mixed(
         .select("row", "doc_id", "id", "size", "source_size", "target", "rate", "whole", "draw"),
         "rates",
     )
+    pool = rated.where("size > 0 and whole < %d" % cap).select("row", "id", "size", "draw")
+    lacks = stage(rated.groupBy("id").agg((F.max("target") - F.sum(F.col("whole") * F.col("size"))).alias("lack")), "lacks")
     extra = None
     for turn in range(PASSES):
-        left = rated.where("size > 0 and whole < %d" % cap)
-        taken = F.col("whole") * F.col("size")
-        if extra is not None:
-            left = left.join(extra, "row", "left_anti")
-            given = rated.join(extra.withColumn("more", F.lit(1)), "row", "left")
-            taken = (F.col("whole") + F.coalesce("more", F.lit(0))) * F.col("size")
-        else:
-            given = rated
-        lacks = given.groupBy("id").agg((F.max("target") - F.sum(taken)).alias("lack"))
-        found = stage(_fill(left.select("row", "id", "size", "draw"), lacks, turn == PASSES - 1), "extra")
-        extra = found if extra is None else extra.unionByName(found)
+        seen = _fill(pool, lacks, turn == PASSES - 1)
+        found, pool = seen.where("taken"), seen.where("not taken").drop("taken")
+        if turn < PASSES - 1:
+            given = found.groupBy("id").agg(F.sum("size").alias("given"))
+            lacks = stage(lacks.join(given, "id", "left").select("id", (F.col("lack") - F.coalesce("given", F.lit(0))).alias("lack")), "lacks")
+        extra = found.select("row") if extra is None else extra.unionByName(found.select("row"))
     copies = (F.col("whole") + F.coalesce("more", F.lit(0))).cast("bigint")
     return rated.join(extra.withColumn("more", F.lit(1)), "row", "left").withColumn("copies", copies).select(
         "row", "doc_id", "size", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken")
@@ -190,11 +202,14 @@ def mixed(
 def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
     """The rows of docs in as many copies as the mix takes, with their columns.
 
-    The row number that joins copies to texts is that of the scan of docs, which must be a table read from
-    files: every reading numbers its rows alike. Documents without words are kept once.
+    Copies meet texts by the row's number in the files, so the tables may be read in any number of tasks.
+    Documents without words are kept once. Nulls, empty texts and repeated rows as in `mixed`; no rows in, no
+    rows out. Columns of any name stay.
     """
-    copies = mixed(docs, weights, cap).where("copies > 0 or size = 0").select(
-        F.col("row").alias("_row"), F.greatest("copies", (F.col("size") == 0).cast("bigint")).alias("_copies")
+    row, times, copy = fresh(docs, "_row"), fresh(docs, "_copies"), fresh(docs, "_copy")
+    numbered = with_row_number(docs, row)
+    copies = mixed_rows(numbered.select(F.col(row).alias("row"), "doc_id", "source", "text"), weights, cap).where("copies > 0 or size = 0").select(
+        F.col("row").alias(row), F.greatest("copies", (F.col("size") == 0).cast("bigint")).alias(times)
     )
-    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
-    return numbered.join(copies.hint("merge"), "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)
+    each = F.explode(F.sequence(F.lit(1), F.col(times).cast("int")))
+    return numbered.join(copies.hint("merge"), row).withColumn(copy, each).select(*docs.columns)

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.batches import bounded_batches
 from tidemark.llm.joins import ids_side
+from tidemark.llm.rows import fresh, with_row_number
 from tidemark.session import stage
 
 ORDER = 5
@@ -303,10 +304,17 @@ def judged(docs: DataFrame, trusted_ids: DataFrame, quantile: float = QUANTILE,
     perplexity like any other, and always kept. Repeated rows are judged each; repeated ids in
     `trusted_ids` count once. Other columns of docs are not read.
     """
+    key = fresh(docs, "row")
+    plain = with_row_number(docs, key).select(F.col(key).alias("row"), "doc_id", "lang", "text")
+    return judged_rows(plain, trusted_ids, quantile, order, shard_grams)
+
+
+def judged_rows(docs: DataFrame, trusted_ids: DataFrame, quantile: float = QUANTILE, order: int = ORDER, shard_grams: int = SHARD_GRAMS) -> DataFrame:
+    """`judged` of rows with a `row` number that is the same at every reading."""
     trusted = trusted_ids.select(F.col("doc_id").alias("_id")).where("_id is not null").distinct()
     fold = F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(2))
     docs = docs.select(
-        F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("bigint").alias("doc_id"),
+        "row", F.col("doc_id").cast("bigint").alias("doc_id"),
         F.coalesce(F.concat(F.lit("l:"), F.col("lang").cast("string")), F.lit("")).alias("lang"),
         F.col("text").cast("string").alias("text"),
     )
@@ -334,9 +342,11 @@ def judged(docs: DataFrame, trusted_ids: DataFrame, quantile: float = QUANTILE,
 def kept_documents(docs: DataFrame, trusted_ids: DataFrame, quantile: float = QUANTILE) -> DataFrame:
     """The rows of docs that the classifier keeps, with all their columns.
 
-    The row number that joins verdicts to texts is that of the scan of docs, which must be a table read from
-    files: every reading numbers its rows alike.
+    Verdicts meet texts by the row's number in the files, so the tables may be read in any number of tasks. No
+    rows in, no rows out; nulls, empty texts, repeated rows and ids as in `judged`. Columns of any name stay.
     """
-    rejected = stage(judged(docs, trusted_ids, quantile).where("not kept").select(F.col("row").alias("_row")), "rejected")
-    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
-    return numbered.join(ids_side(rejected), "_row", "left_anti").drop("_row")
+    row = fresh(docs, "_row")
+    numbered = with_row_number(docs, row)
+    plain = numbered.select(F.col(row).alias("row"), "doc_id", "lang", "text")
+    rejected = stage(judged_rows(plain, trusted_ids, quantile).where("not kept").select(F.col("row").alias(row)), "rejected")
+    return numbered.join(ids_side(rejected), row, "left_anti").select(*docs.columns)
