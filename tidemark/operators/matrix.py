@@ -6,13 +6,12 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.mllib.linalg import DenseMatrix, Vectors
-from pyspark.mllib.linalg.distributed import IndexedRow, IndexedRowMatrix
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import round2
 from tidemark.functions.text import content_tokens, stem
+from tidemark.operators import lowrank
 from tidemark.session import stage
 
 
@@ -240,33 +239,21 @@ def dense_ids(values: DataFrame, column: str) -> DataFrame:
 def svd_embedding(long: DataFrame, k: int) -> DataFrame:
     """Rows U * diag(s) of a long matrix (term, doc, weight) as (term, feature, weight).
 
-    The decomposition is MLlib's, which holds V (columns x k numbers) on the driver; columns are the
-    catalogue's datasets. For a catalogue whose V does not fit, the caller takes ``row_cosine`` on the
-    weights, which needs no decomposition. The term id travels with its row. What rounding leaves of a zero
-    is dropped, so a term outside the first ``k`` directions has no entries.
+    Directions with a singular value at or below 1e-9 of the first are dropped. Both the rows' and the columns'
+    vectors are tables (see `lowrank`). The term id travels with its row. What rounding leaves of a zero is
+    dropped, so a term outside the first ``k`` directions has no entries.
     """
-    spark = long.sparkSession
     entries = stage(
-        long.select(F.col("term").cast("string").alias("term"), F.col("doc").cast("string").alias("doc"), "weight"),
+        long.select(F.col("term").cast("string").alias("term"), F.col("doc").cast("string").alias("doc"), F.col("weight").cast("double").alias("weight")),
         "svd-entries",
     )
-    columns = stage(dense_ids(entries, "doc").withColumnRenamed("id", "c"), "svd-columns")
-    n_columns = columns.count()
-    terms = stage(dense_ids(entries, "term").withColumnRenamed("id", "r"), "svd-terms")
+    columns = stage(dense_ids(entries, "doc").withColumnRenamed("id", "j"), "svd-columns")
+    terms = stage(dense_ids(entries, "term").withColumnRenamed("id", "i"), "svd-terms")
     cells = stage(
-        entries.join(columns, "doc").join(terms, "term")
-        .groupBy("r").agg(F.array_sort(F.collect_list(F.struct("c", "weight"))).alias("cells")),
-        "svd-rows",
+        entries.join(columns, "doc").join(terms, "term").groupBy("i", "j").agg(F.sum("weight").alias("w")), "svd-cells"
     )
-    rows = cells.rdd.map(
-        lambda x: IndexedRow(x["r"], Vectors.sparse(n_columns, [(c["c"], c["weight"]) for c in x["cells"]]))
-    )
-    svd = IndexedRowMatrix(rows).computeSVD(min(k, n_columns), computeU=True, rCond=1e-9)
-    s = svd.s.toArray()
-    scaled = svd.U.multiply(DenseMatrix(len(s), len(s), np.diag(s).ravel(order="F")))
-    embedded = spark.createDataFrame(
-        scaled.rows.map(lambda x: (x.index, x.vector.toArray().tolist())), "r bigint, v array<double>"
-    )
-    return embedded.join(terms, "r").select(
+    embedded, s = lowrank.scaled_left_vectors(cells, columns.select(F.col("j").alias("id")), k)
+    first = float(s[0]) if len(s) else 0.0
+    return embedded.join(terms, embedded["id"] == terms["i"]).select(
         "term", F.posexplode("v").alias("feature", "weight")
-    ).where(F.abs("weight") > ZERO * float(s[0]))
+    ).where(F.abs("weight") > ZERO * first)
