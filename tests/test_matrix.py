@@ -1,12 +1,14 @@
 """Matrices, similarity, rules and topics against direct computation."""
 
+import itertools
 import math
 import random
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import functions as F
 
-from tidemark.operators import matrix, mining, rules, topics
+from tidemark.operators import itemsets, matrix, mining, rules, topics
 from tidemark.sources import matrices
 
 
@@ -86,9 +88,23 @@ def test_user_terms(spark):
 
 
 def test_combinations(spark):
-    row = spark.createDataFrame([(["a", "b", "c"],)], "k array<string>")
-    pick = lambda k: row.select(mining.keyword_combinations(F.col("k"), k)).first()[0]
-    assert pick(2) == ["a,b", "a,c", "b,c"] and pick(3) == ["a,b,c"] and pick(4) == []
+    frame = spark.createDataFrame([("s", k) for k in "cabb"] + [("t", "a"), (None, "a"), ("t", None)], "session_id string, keyword string")
+    pick = lambda k: sorted(r["itemset"] for r in itemsets.keyword_combinations(frame, k).where("session_id = 's'").collect())
+    assert pick(1) == ["a", "b", "c"] and pick(2) == ["a,b", "a,c", "b,c"] and pick(3) == ["a,b,c"] and pick(4) == []
+
+
+def test_frequent_sets_against_all_sets(spark, monkeypatch):
+    """Sessions of many keywords, one keyword in all of them, one session longer than a block."""
+    monkeypatch.setattr(itemsets, "BLOCK", 8)
+    rng = random.Random(9)
+    bags = {f"s{i}": {"all", *rng.sample([f"k{j:02}" for j in range(14)], rng.randint(0, 6))} for i in range(60)}
+    bags["long"] = {f"k{j:02}" for j in range(40)}
+    frame = spark.createDataFrame([(s, k) for s, bag in bags.items() for k in bag], "session_id string, keyword string")
+    for size, support in ((1, 5), (2, 4), (3, 4), (4, 2), (3, 1)):
+        want = Counter(c for bag in bags.values() for c in itertools.combinations(sorted(bag), size))
+        got = {tuple(r["items"]): r["sessions"] for r in itemsets.frequent_sets(frame, size, support).collect()}
+        assert got == {c: n for c, n in want.items() if n >= support}
+    assert itemsets.frequent_sets(frame.where("false"), 2, 1).collect() == []
 
 
 def test_rules_keep_one_direction(spark):

@@ -153,28 +153,6 @@ def user_term_matrix(
     )
 
 
-def keyword_combinations(keywords: Column, k: int) -> Column:
-    """All k-element combinations of a session's keyword array, as comma strings in array order.
-
-    Built inside the row: each round extends every partial combination by the later elements.
-    """
-    start = F.transform(keywords, lambda x, i: F.struct(x.alias("text"), i.alias("at")))
-    grown = start
-    for _ in range(k - 1):
-        grown = F.flatten(
-            F.transform(
-                grown,
-                lambda c: F.transform(
-                    F.filter(start, lambda s: s["at"] > c["at"]),
-                    lambda s: F.struct(
-                        F.concat(c["text"], F.lit(","), s["text"]).alias("text"), s["at"].alias("at")
-                    ),
-                ),
-            )
-        )
-    return F.transform(grown, lambda c: c["text"])
-
-
 def dataset_keywords(clicks: DataFrame) -> DataFrame:
     """Keywords of every dataset with their click counts (stays exploded; a hot dataset pre-aggregates)."""
     return clicks.groupBy("dataset", "keyword").agg(F.count(F.lit(1)).alias("n"))

@@ -283,6 +283,11 @@ SELECT term_a, term_b, round(cosine, 6) AS weight FROM cs WHERE cosine <> 0"""
 SQL["keyword_combinations"] = f"""WITH {BUYS}
 SELECT a.keyword || ',' || b.keyword || ',' || c.keyword AS itemset, count(*) AS sessions
 FROM sk a JOIN sk b ON a.session_id = b.session_id AND a.keyword < b.keyword JOIN sk c ON b.session_id = c.session_id AND b.keyword < c.keyword GROUP BY ALL"""
+SQL["frequent_brand_sets"] = """WITH
+words AS (SELECT DISTINCT l_orderkey AS o, unnest([p_brand, p_type]) AS w FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey)
+SELECT a.w || ',' || b.w || ',' || c.w AS itemset, count(*) AS sessions
+FROM words a JOIN words b ON a.o = b.o AND a.w < b.w JOIN words c ON b.o = c.o AND b.w < c.w
+GROUP BY ALL HAVING count(*) >= 3"""
 SQL["click_tfidf"] = f"""WITH {BUYS},
 sized AS (SELECT l_orderkey AS doc, count(*) AS size FROM buys GROUP BY ALL),
 df AS (SELECT keyword, count(DISTINCT l_orderkey) AS df FROM buys GROUP BY ALL)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import scalars, text, urls
 from tidemark.functions.scalars import round2
 from tidemark.operators import (
-    crawlers, geo, linkage, matrix, mining, rules, search, sessions, similarity, topics, tree,
+    crawlers, geo, itemsets, linkage, matrix, mining, rules, search, sessions, similarity, topics, tree,
 )
 from tidemark.plans import inputs as src
 from tidemark.session import prepare, spread, stage
@@ -311,10 +311,16 @@ def clicks_with_metadata(spark, sf_dir):
 
 @registered
 def keyword_combinations(spark, sf_dir):
-    bags = src.session_keywords(spark, sf_dir).groupBy("session_id").agg(F.array_sort(F.collect_list("keyword")).alias("k"))
-    return bags.select("session_id", F.explode(mining.keyword_combinations(F.col("k"), 3)).alias("itemset")).groupBy(
-        "itemset"
-    ).agg(F.count(F.lit(1)).alias("sessions"))
+    combinations = itemsets.keyword_combinations(src.session_keywords(spark, sf_dir), 3)
+    return combinations.groupBy("itemset").agg(F.count(F.lit(1)).alias("sessions"))
+
+
+@registered
+def frequent_brand_sets(spark, sf_dir):
+    """Sets of three brand and type keywords that at least 3 orders hold."""
+    bought = src.purchases(spark, sf_dir)
+    keywords = bought.select(F.col("l_orderkey").alias("session_id"), F.explode(F.array("p_brand", "p_type")).alias("keyword"))
+    return itemsets.frequent_sets(keywords, 3, 3).select(F.array_join("items", ",").alias("itemset"), "sessions")
 
 
 @registered
