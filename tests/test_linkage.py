@@ -1,6 +1,8 @@
 """Fusion, search, completion, metadata files and address ranges."""
 
+import functools
 import itertools
+import random
 
 from pyspark.sql import functions as F
 
@@ -76,6 +78,46 @@ def test_completion_finds_everything(spark):
     assert {(r["prefix"], r["term"]) for r in got} == want
 
 
+def test_completion_of_random_words(spark):
+    """Words of all lengths, inputs made of them by up to three edits."""
+    rng = random.Random(4)
+    words = list({"".join(rng.choice("abcde") for _ in range(rng.randint(0, 12))) for _ in range(400)})
+    typed = set()
+    for word in rng.sample(words, 120):
+        text = list(word[:rng.randint(1, 12)])
+        for _ in range(rng.randint(0, 3)):
+            at = rng.randint(0, len(text))
+            text[at:at + rng.randint(0, 1)] = rng.choice(["", "a", "e"])
+        typed.add("".join(text))
+    frame = spark.createDataFrame([(t, len(t) % 3) for t in words], "term string, n int")
+    got = search.complete(spark.createDataFrame([(t,) for t in typed], "prefix string"), frame, 10_000).collect()
+    want = set()
+    for p, t in itertools.product(typed, words):
+        if 0 < len(p) < 3 and t.startswith(p):
+            want.add((p, t))
+        if len(p) >= 3 and t[:1] == p[0] and any(edits(t[:n], p) <= 2 for n in range(max(len(p) - 2, 1), len(p) + 3)):
+            want.add((p, t))
+    assert {(r["prefix"], r["term"]) for r in got} == want
+    best = search.complete(spark.createDataFrame([("abc",)], "prefix string"), frame, 2).collect()
+    assert [r["term"] for r in sorted(best, key=lambda r: r["rank"])] == sorted((t for t in words if t[:1] == "a"), key=lambda t: (-(len(t) % 3), t))[:2]
+
+
+def test_completion_among_a_million_terms_of_one_letter(spark):
+    letters = F.array(*[F.lit(c) for c in "abcdefghijklmnopqrstuvwxyz"])
+    pick = [F.get(letters, F.pmod(F.xxhash64(F.lit(i), "id"), F.lit(26)).cast("int")) for i in range(9)]
+    terms = spark.range(1_000_000).select(F.concat(F.lit("q"), *pick).alias("term"), (F.col("id") % 97).alias("n")).distinct()
+    typed = ["qzebras", "quartzit", "qwert"]
+    frame = spark.createDataFrame([(t, len(t)) for t in typed], "prefix string, size int")
+    candidates = search.completion_candidates(frame, search.completion_index(terms))
+    met = {r["prefix"]: r["n"] for r in candidates.groupBy("prefix").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert all(n < 150_000 for n in met.values())
+    got = {(r["prefix"], r["term"]) for r in search.complete(frame, terms, 1_000_000).collect()}
+    for p in typed:
+        near = [F.levenshtein(F.left("term", F.lit(n)), F.lit(p), 2) >= 0 for n in range(len(p) - 2, len(p) + 3)]
+        want = {r["term"] for r in terms.where(functools.reduce(lambda a, b: a | b, near)).select("term").collect()}
+        assert {t for q, t in got if q == p} == want and want
+
+
 def test_search_needs_all_words_of_a_part(spark):
     docs = spark.createDataFrame([(1, "sea ice melts"), (2, "sea winds"), (3, "gravity of ice and sea ice")], "doc int, text string")
     groups = spark.createDataFrame([("q", 0, "Sea Ice"), ("q", 1, "wind"), ("z", 0, "nothing here")], "input string, part int, phrase string")

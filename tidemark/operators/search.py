@@ -73,29 +73,56 @@ def suggestions(session_keywords: DataFrame) -> DataFrame:
 
 # Fixed values of fuzzy completion: edits allowed, exact leading characters, shortest fuzzy input.
 MAX_EDITS, EXACT_PREFIX, MIN_FUZZY_LENGTH = 2, 1, 3
+KEY_LENGTH = 5  # characters after the exact prefix that keys are cut from
 
 
-def _pieces(rest: Column) -> Column:
-    """The text after the exact prefix cut in three, as array<struct<piece_no,at,piece>>."""
-    third = F.floor(F.length(rest) / 3).cast("int")
+def _without_one(text: Column) -> Column:
+    """The text without each of its characters in turn."""
+    at = F.sequence(F.lit(1), F.length(text))
+    rest = lambda i: F.concat(F.substring(text, F.lit(1), i - 1), F.substring(text, i + 1, F.length(text)))
+    return F.when(F.length(text) > 0, F.transform(at, rest)).otherwise(F.array().cast("array<string>"))
 
-    def piece(no: int) -> Column:
-        at = third * no
-        size = third if no < 2 else F.length(rest) - 2 * third
-        return F.struct(
-            F.lit(no).alias("piece_no"), at.alias("at"), F.substring(rest, at + 1, size).alias("piece")
-        )
 
-    return F.array(*[piece(no) for no in range(MAX_EDITS + 1)])
+def _neighbourhood(texts: Column) -> Column:
+    """What is left of any of the texts after up to `MAX_EDITS` deletions, one to `KEY_LENGTH` characters long."""
+    found, last = texts, texts
+    for _ in range(MAX_EDITS):
+        last = F.array_distinct(F.flatten(F.transform(last, _without_one)))
+        found = F.concat(found, last)
+    return F.filter(F.array_distinct(found), lambda x: F.length(x).between(1, KEY_LENGTH))
 
 
-def complete(prefixes: DataFrame, terms: DataFrame, k: int = 10) -> DataFrame:
+def completion_index(terms: DataFrame) -> DataFrame:
+    """(first, key, term, n) of terms (term, n): some 55 keys a term, best written once and read back.
+
+    The keys are what is left of the term's beginnings (after its first character) without up to two of their
+    characters.
+    """
+    rest = F.substring("term", F.lit(EXACT_PREFIX + 1), F.lit(KEY_LENGTH + MAX_EDITS))
+    starts = F.array_distinct(F.transform(F.sequence(F.lit(1), F.lit(KEY_LENGTH + MAX_EDITS)), lambda j: F.left(rest, j)))
+    return terms.where(F.length("term") >= EXACT_PREFIX).select(
+        F.left("term", F.lit(EXACT_PREFIX)).alias("first"), F.explode(_neighbourhood(starts)).alias("key"), "term", "n"
+    )
+
+
+def completion_candidates(asked: DataFrame, index: DataFrame) -> DataFrame:
+    """(prefix, size, term, n): the terms that share a key with an input (prefix, size)."""
+    start = F.array(F.substring("prefix", F.lit(EXACT_PREFIX + 1), F.lit(KEY_LENGTH)))
+    keys = asked.select(
+        "prefix", "size", F.left("prefix", F.lit(EXACT_PREFIX)).alias("first"), F.explode(_neighbourhood(start)).alias("key")
+    )
+    return keys.join(index, ["first", "key"]).select("prefix", "size", "term", "n").distinct()
+
+
+def complete(prefixes: DataFrame, terms: DataFrame, k: int = 10, index: DataFrame | None = None) -> DataFrame:
     """(prefix, rank, term): the k most used terms that start like each prefix, two edits allowed.
 
-    The first character must agree; inputs under three characters match exactly. Two edits leave at
-    least one third of the input untouched and shift it by at most two places, so terms and inputs meet
-    in an equi-join on such a piece (with the first character and the input length), and only those
-    candidates are checked by edit distance. No pair of the two tables is formed otherwise.
+    The first character must agree; inputs under three characters match exactly. Two texts at most two
+    edits apart have a common rest after up to two deletions in each, and so have their beginnings. So longer
+    inputs meet terms in an equi-join on such rests of their first characters (`completion_index` of the
+    terms, worked out here unless given), and those candidates are checked by edit distance. An input of three
+    characters is within two edits of every term with its first character: of those only the k most used
+    are met. No pair of the two tables is formed otherwise.
     """
     asked = prefixes.select(F.lower("prefix").alias("prefix")).distinct().withColumn(
         "size", F.length("prefix")
@@ -106,28 +133,18 @@ def complete(prefixes: DataFrame, terms: DataFrame, k: int = 10) -> DataFrame:
     ).withColumn("prefix", F.substring("term", F.lit(1), F.col("size")))
     exact_hits = exact.join(short, ["prefix", "size"]).select("prefix", "term", "n")
 
-    fuzzy = asked.where(F.col("size") >= MIN_FUZZY_LENGTH).select(
-        "prefix", "size", F.left("prefix", F.lit(EXACT_PREFIX)).alias("first"),
-        F.inline(_pieces(F.substring("prefix", F.lit(EXACT_PREFIX + 1), F.col("size")))),
-    )
-    shapes = fuzzy.select("size", "piece_no", "at", F.length("piece").alias("piece_size")).distinct()
-    shifts = F.explode(F.sequence(F.lit(-MAX_EDITS), F.lit(MAX_EDITS))).alias("shift")
-    cut = (
-        shapes.select("size", "piece_no", "at", "piece_size", shifts)
-        .where(F.col("at") + F.col("shift") >= 0)
-        .groupBy().agg(F.collect_set(F.struct("size", "piece_no", "piece_size", (F.col("at") + F.col("shift")).alias("from"))).alias("cuts"))
-        .scalar()
-    )
-    windows = terms.select("term", "n", F.left("term", F.lit(EXACT_PREFIX)).alias("first"), F.inline(cut))
-    spots = windows.select(
-        "term", "n", "first", "size", "piece_no",
-        F.substring("term", F.col("from") + EXACT_PREFIX + 1, F.col("piece_size")).alias("piece"),
-    ).distinct()
-    candidates = fuzzy.join(spots, ["size", "piece_no", "first", "piece"]).select("prefix", "size", "term", "n").distinct()
+    by_use = Window.partitionBy("first").orderBy(F.desc("n"), "term")
+    used = terms.where(F.length("term") >= EXACT_PREFIX).withColumn("first", F.left("term", F.lit(EXACT_PREFIX)))
+    used = used.withColumn("_rank", F.row_number().over(by_use)).where(F.col("_rank") <= k)
+    all_near = asked.where(F.col("size") == EXACT_PREFIX + MAX_EDITS).withColumn("first", F.left("prefix", F.lit(EXACT_PREFIX)))
+    near_hits = all_near.join(used, "first").select("prefix", "term", "n")
+
+    index = completion_index(terms) if index is None else index
+    candidates = completion_candidates(asked.where(F.col("size") > EXACT_PREFIX + MAX_EDITS), index)
     close = F.exists(
         F.sequence(F.greatest(F.col("size") - MAX_EDITS, F.lit(1)), F.col("size") + MAX_EDITS),
         lambda length: F.levenshtein(F.left("term", length), F.col("prefix"), MAX_EDITS) >= 0,
     )
-    hits = exact_hits.unionByName(candidates.where(close).select("prefix", "term", "n"))
+    hits = exact_hits.unionByName(near_hits).unionByName(candidates.where(close).select("prefix", "term", "n"))
     w = Window.partitionBy("prefix").orderBy(F.desc("n"), "term")
     return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("prefix", "rank", "term")
