@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.text import normalise
+from tidemark.functions.text import content_tokens, normalise, stem
 from tidemark.functions.urls import dataset_id, event_class, request_path
 from tidemark.operators import crawlers, matrix, mining, sessions
 from tidemark.session import spread, stage
@@ -225,9 +225,14 @@ def document_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matrix.stemmed_counts(docs)
 
 
-def asked_terms(counts: DataFrame) -> DataFrame:
-    """The searches of the portal's users: the terms that over a tenth of all documents hold."""
-    return matrix.frequent_terms(counts, min_share=0.1).select("term").distinct()
+def asked_terms(spark: SparkSession, sf_dir: str, counts: DataFrame) -> DataFrame:
+    """The searches of the portal's users: the longest word of each benchmark passage that some document has.
+
+    Words as long as one another are taken in their order; how many documents have a word doesn't matter.
+    """
+    words = table(spark, sf_dir, "benchmark").select("item_id", F.explode(content_tokens(F.col("text"))).alias("token"))
+    longest = words.groupBy("item_id").agg(F.min(F.struct(-F.length("token"), "token"))["token"].alias("token"))
+    return longest.select(stem(F.col("token")).alias("term")).distinct().join(counts.select("term").distinct(), "term", "left_semi")
 
 
 def asked_pairs(counts: DataFrame, terms: DataFrame) -> DataFrame:

@@ -371,11 +371,13 @@ counts AS MATERIALIZED (SELECT s AS term, doc, count(*) AS tf FROM content JOIN
 SQL["token_stems"] = f"WITH {TOKENS}, {_porter('toks', 'st')} SELECT w AS token, s AS stem FROM st"
 SQL["document_terms"] = f"WITH {COUNTS} SELECT term, doc, tf FROM counts"
 SQL["document_tfidf"] = f"WITH {COUNTS}, {_tfidf('counts', 'tw')} SELECT term, feature AS doc, tf, round(weight, 6) AS weight FROM tw"
-FREQUENT = f"""{COUNTS},
-common AS (SELECT term FROM counts GROUP BY term HAVING count(*) > 0.1 * (SELECT count(DISTINCT doc) FROM counts)),
+PASSAGE_WORDS = f"""{COUNTS},
+btoks AS (SELECT item_id, unnest(regexp_extract_all(lower(text), '{_TOKEN}')) AS w FROM benchmark),
+bwords AS (SELECT DISTINCT ON (item_id) w FROM btoks WHERE w NOT IN ({_STOP}) ORDER BY item_id, length(w) DESC, w), {_porter('bwords', 'bst')},
+asked_words AS (SELECT DISTINCT s AS term FROM bst WHERE s IN (SELECT term FROM counts)),
 {_tfidf('counts', 'fw')},
 fw_len AS (SELECT term, sqrt(sum(weight * weight)) AS len FROM fw GROUP BY term HAVING sum(weight * weight) > 0),
-fw_dot AS (SELECT a.term AS x, b.term AS y, sum(a.weight * b.weight) AS dot FROM fw a JOIN fw b ON a.feature = b.feature AND a.term <> b.term WHERE a.term IN (SELECT term FROM common) GROUP BY ALL),
+fw_dot AS (SELECT a.term AS x, b.term AS y, sum(a.weight * b.weight) AS dot FROM fw a JOIN fw b ON a.feature = b.feature AND a.term <> b.term WHERE a.term IN (SELECT term FROM asked_words) GROUP BY ALL),
 fcs AS (SELECT x, y, dot / (p.len * q.len) AS cosine FROM fw_dot JOIN fw_len p ON x = p.term JOIN fw_len q ON y = q.term)"""
 SQL["document_term_cosine"] = f"""WITH {COUNTS}, {_tfidf('counts', 'fw')},
 fw_len AS (SELECT term, sqrt(sum(weight * weight)) AS len FROM fw GROUP BY term HAVING sum(weight * weight) > 0),
@@ -525,11 +527,11 @@ doc_hits AS (SELECT p.input, doc, round(sum(sc), 8) AS score FROM parts_hit p JO
 ranked_hits AS (SELECT *, row_number() OVER (PARTITION BY input ORDER BY score DESC, doc) AS k, max(score) OVER (PARTITION BY input) AS best FROM doc_hits)"""
 
 
-SQL["document_search"] = f"""WITH {FREQUENT},
+SQL["document_search"] = f"""WITH {PASSAGE_WORDS},
 vocab AS (SELECT DISTINCT term AS w FROM counts), {_porter('vocab', 'v')},
 term_pairs AS (SELECT DISTINCT least(x, y) AS term_a, greatest(x, y) AS term_b, {_half_even('cosine')} AS weight, 'GCMDMetadata' AS model FROM fcs WHERE cosine > 0),
 onto AS (SELECT '' AS concept_a, '' AS concept_b, 0.0::DOUBLE AS weight WHERE false),
-asked AS (SELECT w AS input, CASE WHEN w IN ({_STOP}) THEN '' ELSE s END AS known FROM v WHERE w IN (SELECT term FROM common)), {_related('asked')},
+asked AS (SELECT w AS input, CASE WHEN w IN ({_STOP}) THEN '' ELSE s END AS known FROM v WHERE w IN (SELECT term FROM asked_words)), {_related('asked')},
 phrases AS (SELECT input, 0 AS part, input AS phrase FROM asked UNION ALL SELECT input, k, term FROM top WHERE k <= 3),
 qterms AS (SELECT p.input, p.part, v.s FROM phrases p JOIN v ON p.phrase = v.w WHERE p.phrase NOT IN ({_STOP})), {_search('qterms')}
 SELECT input, CAST(k AS INTEGER) AS rank, doc, score, {_half_even('score / best * 100')} AS relevance FROM ranked_hits WHERE k <= 500"""

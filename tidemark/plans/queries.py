@@ -579,7 +579,7 @@ def autocomplete(spark, sf_dir):
 @registered
 def document_search(spark, sf_dir):
     counts = stage(src.document_counts(spark, sf_dir), "document-counts")
-    terms = stage(src.asked_terms(counts), "asked-terms")
+    terms = stage(src.asked_terms(spark, sf_dir, counts), "asked-terms")
     pairs = matrix.positive_pairs(src.asked_pairs(counts, terms)).withColumn("model", F.lit("GCMDMetadata"))
     asked = terms.select(F.col("term").alias("input"))
     no_concepts = spark.createDataFrame([], "concept_a string, concept_b string, weight double")
