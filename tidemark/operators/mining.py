@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.urls import filter_info, search_info, search_word
+from tidemark.operators.ancestry import searches_above
 from tidemark.operators.sessions import SESSION
 from tidemark.operators.tree import view_nodes
 from tidemark.session import stage
@@ -31,22 +32,18 @@ def click_through(nodes: DataFrame) -> DataFrame:
 def keyword_pairs(nodes: DataFrame) -> DataFrame:
     """Pairs of searches that led to one downloaded view, weighted 1/(k+1) by the nearer one's rank.
 
-    The searches above a downloaded view come with its node, nearest first. Both sides are exploded, so
-    pairs stream.
+    The searches above the views are rows (`ancestry`), paired by view; no list of them is built. Nodes are staged,
+    since the paths read them more than once.
     """
-    downloaded = view_nodes(nodes).where(F.col("downloaded") & (F.size("search_path") > 1))
-    texts = downloaded.withColumn(
-        "_texts", F.transform("search_path", lambda u: F.array_join(search_info(u), "|"))
-    )
-    near = texts.select(*SESSION, "request", "_texts", F.posexplode("_texts").alias("k", "keyword_b"))
-    far = near.select(
-        *SESSION, F.col("request").alias("view_url"), "k", "keyword_b",
-        F.posexplode(
-            F.slice("_texts", F.col("k") + 2, F.greatest(F.size("_texts") - F.col("k") - 1, F.lit(0)))
-        ).alias("j", "keyword_a"),
-    )
-    return far.where(F.col("keyword_a") != F.col("keyword_b")).select(
-        *SESSION, "view_url", "keyword_a", "keyword_b", (1.0 / (F.col("k") + 1)).alias("weight")
+    nodes = stage(nodes.select(*SESSION, "seq", "parent_seq", "key", "request", "downloaded"), "tree-nodes")
+    views = view_nodes(nodes).where("downloaded").select(*SESSION, "seq", F.col("request").alias("view_url"))
+    text = F.array_join(search_info(F.col("search_url")), "|")
+    above = stage(searches_above(nodes, views).select(*SESSION, "seq", "k", text.alias("text")), "searches-above")
+    near = above.withColumnsRenamed({"k": "near", "text": "keyword_b"})
+    far = above.withColumnsRenamed({"k": "far", "text": "keyword_a"})
+    pairs = near.join(far, [*SESSION, "seq"]).where((F.col("near") < F.col("far")) & (F.col("keyword_a") != F.col("keyword_b")))
+    return pairs.join(views, [*SESSION, "seq"]).select(
+        *SESSION, "view_url", "keyword_a", "keyword_b", (1.0 / (F.col("near") + 1)).alias("weight")
     )
 
 

@@ -16,14 +16,14 @@ KEYS = ("datasetlist", "dataset", "ftp")
 NODE_SCHEMA = (
     "month string, ip string, session_id string, seq int, epoch bigint, key string, request string, "
     "dataset_id string, parent_seq int, parent_key string, n_children int, downloaded boolean, "
-    "search_url string, search_path array<string>"
+    "search_url string"
 )
 
 _ARROW = pa.schema([
     ("month", pa.string()), ("ip", pa.string()), ("session_id", pa.string()), ("seq", pa.int32()),
     ("epoch", pa.int64()), ("key", pa.string()), ("request", pa.string()), ("dataset_id", pa.string()),
     ("parent_seq", pa.int32()), ("parent_key", pa.string()), ("n_children", pa.int32()),
-    ("downloaded", pa.bool_()), ("search_url", pa.string()), ("search_path", pa.list_(pa.string())),
+    ("downloaded", pa.bool_()), ("search_url", pa.string()),
 ])
 
 
@@ -33,26 +33,16 @@ FLUSH_ROWS = 10_000
 def _node(row: dict, parent: dict | None) -> dict:
     above = None
     if parent is not None:
-        above = parent if parent["key"] == "datasetlist" else parent["above"]
+        above = parent["request"] if parent["key"] == "datasetlist" else parent["search_url"]
         parent["n_children"] += 1
         parent["downloaded"] |= row["key"] == "ftp"
     return {
         **row, "parent_seq": parent["seq"] if parent else 0,
         "parent_key": parent["key"] if parent else "root",
-        "n_children": 0, "downloaded": False, "above": above,
-        "search_url": above["request"] if above else None, "search_path": None,
+        "n_children": 0, "downloaded": False, "search_url": above,
     }
 
 
-def _search_path(node: dict) -> list[str]:
-    """The searches above a node, nearest first."""
-    path, above = [], node["above"]
-    while above is not None:
-        path.append(above["request"])
-        above = above["above"]
-    return path
-
-
 def referer_tree(rows: list[dict]) -> list[dict]:
     """Nodes of one session whose parents are found by referer.
 
@@ -75,9 +65,6 @@ def referer_tree(rows: list[dict]) -> list[dict]:
         by_request[node["request"]] = node
         if key == "dataset":
             view = node
-    for node in nodes:
-        if node["key"] == "dataset" and node["downloaded"]:
-            node["search_path"] = _search_path(node)
     return nodes
 
 
@@ -86,7 +73,7 @@ def _first_fit_nodes(rows: DataFrame) -> DataFrame:
 
     First fit leaves one open place per kind: a search or dataset page goes under the latest search page,
     a transfer under the first dataset page. So parents and counts of children are windows over the
-    session, none of which gathers rows; only the one view that takes transfers gets its search path.
+    session, none of which gathers rows.
     """
     whole = Window.partitionBy(*SESSION)
     w = whole.orderBy("seq")
@@ -109,20 +96,12 @@ def _first_fit_nodes(rows: DataFrame) -> DataFrame:
         .when(takes, F.col("_transfers")).otherwise(0)
     )
     parent = F.when(is_ftp, F.col("_view")).otherwise(F.coalesce("_search.seq", F.lit(0)))
-    nodes = placed.select(
+    return placed.select(
         *SESSION, "seq", "epoch", "key", "request", "dataset_id", parent.cast("int").alias("parent_seq"),
         F.when(is_ftp, "dataset").when(parent > 0, "datasetlist").otherwise("root").alias("parent_key"),
         children.cast("int").alias("n_children"),
         (takes & (F.col("_transfers") > 0)).alias("downloaded"),
         F.when(is_ftp, F.col("_above")).otherwise(F.col("_search.request")).alias("search_url"),
-        takes.alias("_takes"), (is_list & (F.col("seq") < F.col("_view")) & (F.col("_transfers") > 0)).alias("_path"),
-    )
-    searches = F.array_sort(F.collect_list(F.when(F.col("_path"), F.struct("seq", "request"))))
-    paths = nodes.where("_path").groupBy(*SESSION).agg(
-        F.reverse(F.transform(searches, lambda s: s["request"])).alias("search_path")
-    )
-    return nodes.join(paths.withColumn("downloaded", F.lit(True)), [*SESSION, "downloaded"], "left").select(
-        *[c for c in nodes.columns if not c.startswith("_")], "search_path"
     )
 
 
@@ -151,8 +130,7 @@ def session_tree(
     Where a node hangs depends on which earlier nodes were kept, so sessions are streamed one at a time,
     whole unless a ``limit`` is given. Numbering the requests has already brought every session together
     in time order; the sort states that order and costs no second shuffle. Each node carries the nearest
-    search above it (``search_url``), and views with a transfer all of them (``search_path``, nearest
-    first), which is what the later steps ask for. Memory and output are linear in the session.
+    search above it (``search_url``); `ancestry` finds the others. Memory and output are linear in the session.
     """
     rows = session_requests(log, limit).sortWithinPartitions(*SESSION, "ts", "line_id")
     path = F.when(F.col("log_type") == "http", request_path(F.col("request")))

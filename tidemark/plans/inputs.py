@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.text import content_tokens, normalise, stem
 from tidemark.functions.urls import dataset_id, event_class, request_path
-from tidemark.operators import crawlers, matrix, mining, sessions
+from tidemark.operators import crawlers, matrix, mining, sessions, tree
 from tidemark.session import spread, stage
 from tidemark.sources import logs
 from tidemark.sources.matrices import parse_triples
@@ -109,23 +109,31 @@ def chained_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = F.when(F.col("log_type") == "http", request_path(F.col("request")))
     w = Window.partitionBy(*sessions.SESSION).orderBy("seq")
     so_far = w.rowsBetween(Window.unboundedPreceding, -1)
-    search = F.when(F.col("key") == "datasetlist", F.struct("seq", "request"))
     nodes = rows.select(
         *sessions.SESSION, "seq", event_class(F.col("log_type"), F.col("request")).alias("key"),
         F.lower(F.coalesce(path, "request")).alias("request"), dataset_id(path).alias("dataset_id"),
-    ).where("key <> 'other'").withColumn(
-        "search_path", F.reverse(F.transform(F.collect_list(search).over(so_far), lambda s: s["request"]))
-    ).withColumn("n_views", F.count_if(F.col("key") == "dataset").over(so_far))
-    placed = nodes.where(
-        (F.col("key") == "datasetlist")
-        | ((F.col("key") == "dataset") & (F.size("search_path") > 0))
-        | ((F.col("key") == "ftp") & (F.col("n_views") > 0))
-    )
+    ).where("key <> 'other'")
+    for kind, name in (("datasetlist", "_search"), ("dataset", "_view")):
+        nodes = nodes.withColumn(name, F.last(F.when(F.col("key") == kind, F.struct("seq", "request")), ignorenulls=True).over(so_far))
+    is_ftp, no_search = F.col("key") == "ftp", F.col("_search").isNull()
+    placed = nodes.where((F.col("key") == "datasetlist") | F.when(is_ftp, F.col("_view").isNotNull()).otherwise(~no_search))
     below = F.lead("key").over(Window.partitionBy(*sessions.SESSION, F.col("key") == "datasetlist").orderBy("seq"))
-    return placed.withColumn("search_url", F.get("search_path", F.lit(0))).withColumn(
-        "parent_key",
-        F.when(F.col("key") == "ftp", "dataset").when(F.size("search_path") > 0, "datasetlist").otherwise("root"),
-    ).withColumn("downloaded", (F.col("key") == "dataset") & F.coalesce(below == "ftp", F.lit(False))).drop("n_views")
+    return placed.select(
+        *sessions.SESSION, "seq", "key", "request", "dataset_id", F.col("_search.request").alias("search_url"),
+        F.when(is_ftp, F.col("_view.seq")).otherwise(F.coalesce("_search.seq", F.lit(0))).alias("parent_seq"),
+        F.when(is_ftp, "dataset").when(no_search, "root").otherwise("datasetlist").alias("parent_key"),
+        ((F.col("key") == "dataset") & F.coalesce(below == "ftp", F.lit(False))).alias("downloaded"),
+    )
+
+
+def browsed_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The referer tree of visitors who come to each page from the search page before it."""
+    log = gap_sessions(spark, sf_dir)
+    path = F.when(F.col("log_type") == "http", request_path(F.col("request")))
+    search = F.when(event_class(F.col("log_type"), F.col("request")) == "datasetlist", F.concat(F.lit(SITE), F.lower(path)))
+    before = Window.partitionBy(*sessions.SESSION).orderBy("ts", "line_id").rowsBetween(Window.unboundedPreceding, -1)
+    referer = F.coalesce(F.last(search, ignorenulls=True).over(before), F.lit("-"))
+    return tree.session_tree(log.withColumn("referer", referer), SITE)
 
 
 # --- purchases as sessions -------------------------------------------------------------------------

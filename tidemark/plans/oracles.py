@@ -634,7 +634,30 @@ SQL["tree_leaves"] = f"""WITH RECURSIVE {TREE}
 SELECT 'view' AS kind, session_id, CAST(seq AS INTEGER) AS seq, key FROM tree WHERE key = 'dataset'
 UNION ALL SELECT 'leaf', session_id, CAST(seq AS INTEGER), key FROM tree WHERE n_children = 0
 UNION ALL SELECT 'download', session_id, CAST(seq AS INTEGER), key FROM tree WHERE n_children = 0 AND key = 'ftp'"""
+_BROWSED = TREE.replace(
+    f"coalesce(replace(lower(referer), '{SITE}', ''), '') AS ref",
+    "coalesce(last_value(CASE WHEN event_type IN ('signup', 'click') THEN path END IGNORE NULLS) OVER "
+    "(PARTITION BY month, ip, session_id ORDER BY ts, line_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '-') AS ref",
+) + f""",
+pages AS (SELECT DISTINCT page, event_type AS kind, word AS w, {_INFO} AS info FROM tree_rows WHERE key = 'datasetlist')"""
+SQL["tree_keyword_pairs"] = f"""WITH RECURSIVE {_BROWSED},
+taken AS (
+  SELECT f.month, f.ip, f.session_id, f.x.seq AS view_seq, f.x.page AS view_url, unnest(f.x.above) AS page, generate_subscripts(f.x.above, 1) - 1 AS k
+  FROM flat f JOIN kids k ON k.month = f.month AND k.ip = f.ip AND k.session_id = f.session_id AND k.seq = f.x.seq
+  WHERE f.x.key = 'dataset' AND k.got),
+named AS (SELECT t.*, replace(p.info, ',', '|') AS info FROM taken t JOIN pages p USING (page))
+SELECT a.month, a.session_id, a.view_url, b.info AS keyword_a, a.info AS keyword_b, round(1.0 / (a.k + 1), 8) AS weight
+FROM named a JOIN named b ON a.month = b.month AND a.ip = b.ip AND a.session_id = b.session_id AND a.view_seq = b.view_seq AND a.k < b.k
+WHERE a.info <> b.info"""
+SQL["tree_query_filter_pairs"] = f"WITH RECURSIVE {_BROWSED}," + """
+last_search AS (
+  SELECT f.month, f.ip, f.session_id, f.x.page AS view_url, f.x.seq AS view_seq, p.page AS search_url, p.w, p.kind
+  FROM flat f JOIN pages p ON p.page = f.x.above[1] WHERE f.x.key = 'dataset'),
+""" + SQL["query_filter_pairs"][SQL["query_filter_pairs"].index("filtered AS"):]
 _WORD_OF = "['ocean wind','sea surfac temperatur','salin','graviti','sea ic','ocean wave'][list_position(['ocean%20winds','sea%20surface%20temperature','salinity','gravity','sea%20ice','ocean_wave'], split_part(request, '?search=', 2))]"
+SQL["tree_dataset_keywords"] = f"""WITH RECURSIVE {_BROWSED}
+SELECT dataset_id AS dataset, {_WORD_OF} AS keyword, count(*) AS n FROM tree
+WHERE key = 'dataset' AND parent_key = 'datasetlist' AND contains(request, '?search=') GROUP BY ALL"""
 SQL["referer_click_through"] = f"""WITH RECURSIVE {TREE}
 SELECT month, session_id, {_WORD_OF} AS keyword, dataset_id AS dataset, downloaded FROM tree
 WHERE key = 'dataset' AND parent_key = 'datasetlist' AND contains(request, '?search=')"""

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import scalars, text, urls
 from tidemark.functions.scalars import round2
 from tidemark.operators import (
-    crawlers, geo, itemsets, linkage, matrix, mining, rules, search, sessions, similarity, topics, tree,
+    ancestry, crawlers, geo, itemsets, linkage, matrix, mining, rules, search, sessions, similarity, topics, tree,
 )
 from tidemark.plans import inputs as src
 from tidemark.session import prepare, spread, stage
@@ -207,8 +207,12 @@ def session_requests(spark, sf_dir):
 
 @registered
 def session_tree(spark, sf_dir):
-    nodes = tree.session_tree(src.gap_sessions(spark, sf_dir), src.SITE)
-    return nodes.select(
+    nodes = stage(tree.session_tree(src.gap_sessions(spark, sf_dir), src.SITE), "tree-nodes")
+    views = tree.view_nodes(nodes).where("downloaded")
+    paths = views.select(*sessions.SESSION, "seq").join(
+        ancestry.search_paths(nodes, views), [*sessions.SESSION, "seq"], "left"
+    ).withColumn("search_path", F.coalesce("search_path", F.array()))
+    return nodes.join(paths, [*sessions.SESSION, "seq"], "left").select(
         "month", "session_id", "seq", "key", "request", "dataset_id", "parent_seq", "parent_key", "n_children",
         "downloaded", "search_url", _text("search_path"),
     )
@@ -292,6 +296,26 @@ def query_filter_pairs(spark, sf_dir):
     return rows.select("month", "session_id", "search_url", "view_url", "query_a", "filter_b", "type", "weight")
 
 
+@registered
+def tree_keyword_pairs(spark, sf_dir):
+    """Keyword pairs on the referer tree itself."""
+    rows = mining.keyword_pairs(src.browsed_nodes(spark, sf_dir))
+    return rows.select("month", "session_id", "view_url", "keyword_a", "keyword_b", F.round("weight", 8).alias("weight"))
+
+
+@registered
+def tree_query_filter_pairs(spark, sf_dir):
+    """Query-filter pairs on the referer tree itself."""
+    rows = mining.query_filter_pairs(src.browsed_nodes(spark, sf_dir))
+    return rows.select("month", "session_id", "search_url", "view_url", "query_a", "filter_b", "type", "weight")
+
+
+@registered
+def tree_dataset_keywords(spark, sf_dir):
+    """Keywords of datasets from the click-throughs of the referer tree."""
+    return mining.dataset_keywords(mining.click_through(src.browsed_nodes(spark, sf_dir)))
+
+
 @registered
 def dataset_keywords(spark, sf_dir):
     clicks = mining.click_through(src.chained_nodes(spark, sf_dir))
