@@ -691,3 +691,12 @@ named AS (SELECT CAST(p_partkey AS VARCHAR) AS term, p_brand FROM kept)
 SELECT a.term AS term_a, b.term AS term_b, 1.0::DOUBLE AS weight FROM named a JOIN named b ON a.p_brand = b.p_brand AND a.term < b.term"""
 SQL["topic_word_order"] = """SELECT CAST(t AS INTEGER) AS topic, CAST(r AS INTEGER) AS rank, true AS known, true AS once, true AS falling
 FROM range(8) a(t), range(1, 11) b(r) WHERE (SELECT count(*) FROM part) > 0"""
+SQL["versioned_events"] = """WITH
+kept AS (
+  SELECT event_id, user_id, event_type,
+         strftime(CASE WHEN event_type = 'click' THEN ts + INTERVAL 1 DAY ELSE ts END, '%Y-%m-%d') AS day
+  FROM events WHERE event_type <> 'error')
+SELECT * FROM kept WHERE day <> (SELECT min(day) FROM kept) OR event_type = 'purchase'"""
+SQL["prefixed_orders"] = "SELECT o_orderkey, o_custkey, o_orderstatus FROM orders WHERE o_orderstatus IN ('F', 'O', 'P')"
+SQL["stored_term_pairs"] = """WITH p AS (SELECT p_brand AS term_a, p_type AS term_b, count(*)::DOUBLE AS weight FROM part GROUP BY ALL)
+SELECT term_a, term_b, weight, 'count' AS model FROM p UNION ALL SELECT term_a, term_b, 2 * weight, 'twice' FROM p"""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -13,8 +14,8 @@ from tidemark.operators import (
     ancestry, crawlers, geo, itemsets, linkage, matrix, mining, rules, search, sessions, similarity, topics, tree,
 )
 from tidemark.plans import inputs as src
-from tidemark.session import prepare, spread, stage
-from tidemark.sources import logs, matrices, metadata
+from tidemark.session import ensure_checkpoint_dir, prepare, spread, stage
+from tidemark.sources import logs, matrices, metadata, tables, versions
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -678,6 +679,51 @@ def metadata_split(spark, sf_dir):
     )
 
 
+def _fresh_folder(spark, label):
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{label}-{uuid.uuid4().hex}"
+
+
+@registered
+def versioned_events(spark, sf_dir):
+    """Events by day: errors deleted, clicks moved a day on by key, the first day replaced by its purchases."""
+    path = _fresh_folder(spark, "versioned-events")
+    day = F.date_format("ts", "yyyy-MM-dd").alias("day")
+    events = src.table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", day)
+    versions.replace_parts(events, path, "day")
+    versions.delete_rows(spark, path, "day", F.col("event_type") == "error")
+    later = F.date_format(F.date_add(F.to_date("day"), 1), "yyyy-MM-dd")
+    versions.upsert_rows(events.where("event_type = 'click'").withColumn("day", later), path, "day", ["event_id"])
+    now = versions.read_version(spark, path)
+    first = now.agg(F.min("day").alias("day")).first()["day"]
+    versions.replace_parts(now.where("event_type = 'purchase'"), path, "day", [first])
+    return versions.read_version(spark, path)
+
+
+@registered
+def prefixed_orders(spark, sf_dir):
+    """Orders kept as one table a status, read back as one by their common prefix."""
+    orders = src.table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+    prefix = f"orders_{uuid.uuid4().hex}_"
+    for status in ("F", "O", "P"):
+        orders.where(F.col("o_orderstatus") == status).createOrReplaceTempView(f"{prefix}{status.lower()}")
+    return tables.read_prefixed(spark, prefix)
+
+
+@registered
+def stored_term_pairs(spark, sf_dir):
+    """Pairs of two models written, one model replaced, read back from the stored table."""
+    path = _fresh_folder(spark, "term-pairs")
+    parts = src.table(spark, sf_dir, "part")
+    pairs = parts.groupBy(F.col("p_brand").alias("term_a"), F.col("p_type").alias("term_b")).agg(
+        F.count(F.lit(1)).cast("double").alias("weight")
+    )
+    both = pairs.withColumn("model", F.lit("count")).unionByName(pairs.withColumn("model", F.lit("twice")))
+    tables.write_term_pairs(both, path)
+    tables.write_term_pairs(pairs.withColumn("weight", 2 * F.col("weight")).withColumn("model", F.lit("twice")), path, ["twice"])
+    return spark.read.parquet(path).select("term_a", "term_b", "weight", "model")
+
+
 @registered
 def click_json(spark, sf_dir):
     clicks = mining.click_through(src.chained_nodes(spark, sf_dir))
