@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import round2
 from tidemark.functions.text import content_tokens, stem_all
-from tidemark.operators.matrix import stemmed_counts
+from tidemark.operators.matrix import dense_ids, stemmed_counts
+from tidemark.session import stage
 
 K1, B = 1.2, 0.75
+BLOCK_DOCS = 256  # documents of a block of the ranked search
+MARGIN = 1e-6  # above what rounding to eight places and the order of a sum can change
 
 
 def postings(texts: DataFrame) -> DataFrame:
@@ -25,31 +28,100 @@ def query_terms(groups: DataFrame) -> DataFrame:
     )
 
 
-def search_metadata(groups: DataFrame, index: DataFrame, k: int = 500) -> DataFrame:
-    """(input, rank, doc, score, relevance): documents that contain all stems of some part of the query.
+def impact_postings(index: DataFrame, terms: DataFrame | None = None, block_docs: int = BLOCK_DOCS) -> DataFrame:
+    """(term, block, doc, impact) of a postings table: the BM25 share of each posting and its document's block.
 
-    A part scores the BM25 sum of its stems and a document the sum of its matching parts; relevance is
-    the percentage of the query's best score. ``index`` is a postings table, best written once and read
-    back. Only postings of asked-for stems survive the first join, and document lengths join after it.
+    Documents are numbered by length, so a block holds ``block_docs`` of like length and the highest impact of a
+    stem in it is close to the others. With ``terms`` only their postings are kept; without, the table serves any
+    query and is best written once. Rows without a document are left out.
     """
-    terms = query_terms(groups)
-    totals = index.groupBy("doc").agg(F.sum("tf").alias("length"))
-    n_docs = totals.agg(F.count(F.lit(1))).scalar()
-    mean_length = totals.agg(F.avg("length")).scalar()
-    asked = index.join(terms.select("term").distinct(), "term", "left_semi")
-    spread = asked.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    idf = F.log(1 + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    shape = F.col("tf") + K1 * (1 - B + B * F.col("length") / mean_length)
-    scored = asked.join(totals, "doc").join(spread, "term").select(
-        "term", "doc", (idf * F.col("tf") * (K1 + 1) / shape).alias("part_score")
+    totals = stage(index.where("doc is not null").groupBy("doc").agg(F.sum("tf").alias("length")), "document-lengths")
+    sizes = totals.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean")).first()
+    numbered = dense_ids(totals.select(F.struct("length", "doc").alias("place")), "place")
+    placed = numbered.select("place.doc", "place.length", F.floor(F.col("id") / block_docs).alias("block"))
+    kept = index if terms is None else index.join(terms.select("term").distinct(), "term", "left_semi")
+    spread = kept.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    idf = F.log(1 + (sizes["n"] - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    shape = F.col("tf") + K1 * (1 - B + B * F.col("length") / sizes["mean"])
+    return kept.join(placed, "doc").join(spread, "term").select(
+        "term", "block", "doc", (idf * F.col("tf") * (K1 + 1) / shape).alias("impact")
     )
-    parts = scored.join(terms, "term").groupBy("input", "part", "n_terms", "doc").agg(
-        F.count(F.lit(1)).alias("matched"), F.sum("part_score").alias("part_score")
+
+
+def block_bounds(terms: DataFrame, postings: DataFrame) -> DataFrame:
+    """(input, block, bound, may): what a document of the block can score at most and how many may score at all.
+
+    A part counts where the block has all its stems, with the sum of their highest impacts there. One row a stem
+    and block meets the query, not its postings.
+    """
+    peaks = postings.groupBy("term", "block").agg(F.max("impact").alias("peak"), F.count(F.lit(1)).alias("n"))
+    parts = terms.join(peaks, "term").groupBy("input", "part", "n_terms", "block").agg(
+        F.count(F.lit(1)).alias("matched"), F.sum("peak").alias("bound"), F.min("n").alias("may")
+    ).where(F.col("matched") == F.col("n_terms"))
+    return parts.groupBy("input", "block").agg(F.sum("bound").alias("bound"), F.sum("may").alias("may"))
+
+
+def first_cells(bounds: DataFrame, k: int) -> DataFrame:
+    """(input, block): the blocks of highest bound that may hold 2 k hits together, at most k of them."""
+    best = Window.partitionBy("input").orderBy(F.desc("bound"), "block")
+    top = bounds.withColumn("_rank", F.row_number().over(best)).where(F.col("_rank") <= k)
+    before = F.coalesce(F.sum("may").over(best.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return top.withColumn("_before", before).where(F.col("_before") < 2 * k).select("input", "block")
+
+
+def cell_hits(cells: DataFrame, terms: DataFrame, postings: DataFrame) -> DataFrame:
+    """(input, doc, score) of the documents in the cells (input, block) that have all stems of some part.
+
+    Postings are met by stem and block, so a frequent stem is spread over its blocks.
+    """
+    met = cells.join(terms, "input").join(postings, ["term", "block"])
+    parts = met.groupBy("input", "part", "n_terms", "doc").agg(
+        F.count(F.lit(1)).alias("matched"), F.sum("impact").alias("part_score")
     ).where(F.col("matched") == F.col("n_terms"))
     # Equal scores must tie whatever order their terms were summed in, so they are rounded first.
-    hits = parts.groupBy("input", "doc").agg(F.round(F.sum("part_score"), 8).alias("score"))
+    return parts.groupBy("input", "doc").agg(F.round(F.sum("part_score"), 8).alias("score"))
+
+
+def remaining_cells(bounds: DataFrame, done: DataFrame, hits: DataFrame, k: int) -> DataFrame:
+    """(input, block): the cells not done yet whose bound reaches the k-th score among the hits found so far.
+
+    An input with fewer than k hits so far keeps all its cells. Bounds equal to the k-th score stay, since a tie
+    goes to the smaller document; `MARGIN` covers rounding.
+    """
+    best = Window.partitionBy("input").orderBy(F.desc("score"), "doc")
+    kth = hits.withColumn("_rank", F.row_number().over(best)).where(F.col("_rank") <= k).groupBy("input").agg(
+        F.min("score").alias("_least"), F.count(F.lit(1)).alias("_found")
+    ).where(F.col("_found") == k)
+    open_cells = bounds.join(done, ["input", "block"], "left_anti").join(kth, "input", "left")
+    return open_cells.where(F.col("_least").isNull() | (F.col("bound") + MARGIN >= F.col("_least"))).select("input", "block")
+
+
+def ranked_hits(terms: DataFrame, postings: DataFrame, k: int = 500) -> DataFrame:
+    """(input, rank, doc, score): the k best documents of query terms over `impact_postings`; exact.
+
+    The blocks of highest bound are scored first. What they yield gives each input a k-th score, and of the other
+    blocks only those that can reach it are scored.
+    """
+    terms = stage(terms.select("input", "part", "term", "n_terms"), "query-terms")
+    bounds = stage(block_bounds(terms, postings), "block-bounds")
+    first = stage(first_cells(bounds, k), "first-cells")
+    hits = stage(cell_hits(first, terms, postings), "first-hits")
+    hits = hits.unionByName(cell_hits(remaining_cells(bounds, first, hits, k), terms, postings))
     rank = F.row_number().over(Window.partitionBy("input").orderBy(F.desc("score"), "doc"))
-    top = hits.withColumn("rank", rank).where(F.col("rank") <= k)
+    return hits.withColumn("rank", rank).where(F.col("rank") <= k).select("input", "rank", "doc", "score")
+
+
+def search_metadata(groups: DataFrame, index: DataFrame, k: int = 500, block_docs: int = BLOCK_DOCS) -> DataFrame:
+    """(input, rank, doc, score, relevance): documents that contain all stems of some part of the query.
+
+    A part scores the BM25 sum of its stems and a document the sum of its matching parts; relevance is
+    the percentage of the query's best score. ``index`` is a postings table, best written once and read
+    back, or `impact_postings` of one. Blocks of documents that cannot reach the first ``k`` are not scored.
+    """
+    terms = query_terms(groups)
+    if "impact" not in index.columns:
+        index = stage(impact_postings(index, terms, block_docs), "impact-postings")
+    top = ranked_hits(terms, index, k)
     best = F.max("score").over(Window.partitionBy("input"))
     return top.select(
         "input", "rank", "doc", "score", round2(F.col("score") / best * 100).alias("relevance")
