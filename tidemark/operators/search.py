@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -96,6 +98,26 @@ def remaining_cells(bounds: DataFrame, done: DataFrame, hits: DataFrame, k: int)
     return open_cells.where(F.col("_least").isNull() | (F.col("bound") + MARGIN >= F.col("_least"))).select("input", "block")
 
 
+def scoring_rounds(terms: DataFrame, postings: DataFrame, k: int) -> list[tuple[DataFrame, DataFrame]]:
+    """Three rounds of (cells, hits), each with the k-th score of those before it.
+
+    First the blocks of highest bound that may hold 2 k hits, then what is left among the k blocks of highest bound
+    (for one stem their peaks are scores, so the k-th score is final after it), then what is left of all. Cells and
+    hits of a round are written, as the next ones read them.
+    """
+    bounds = stage(block_bounds(terms, postings), "block-bounds")
+    best = Window.partitionBy("input").orderBy(F.desc("bound"), "block")
+    high = bounds.withColumn("_rank", F.row_number().over(best)).where(F.col("_rank") <= k).drop("_rank")
+    cells = stage(first_cells(bounds, k), "first-cells")
+    rounds = [(cells, stage(cell_hits(cells, terms, postings), "first-hits"))]
+    for among in (high, bounds):
+        done = reduce(DataFrame.unionByName, [c for c, _ in rounds])
+        hits = reduce(DataFrame.unionByName, [h for _, h in rounds])
+        cells = stage(remaining_cells(among, done, hits, k), "cells-left")
+        rounds.append((cells, stage(cell_hits(cells, terms, postings), "more-hits")))
+    return rounds
+
+
 def ranked_hits(terms: DataFrame, postings: DataFrame, k: int = 500) -> DataFrame:
     """(input, rank, doc, score): the k best documents of query terms over `impact_postings`; exact.
 
@@ -103,10 +125,7 @@ def ranked_hits(terms: DataFrame, postings: DataFrame, k: int = 500) -> DataFram
     blocks only those that can reach it are scored.
     """
     terms = stage(terms.select("input", "part", "term", "n_terms"), "query-terms")
-    bounds = stage(block_bounds(terms, postings), "block-bounds")
-    first = stage(first_cells(bounds, k), "first-cells")
-    hits = stage(cell_hits(first, terms, postings), "first-hits")
-    hits = hits.unionByName(cell_hits(remaining_cells(bounds, first, hits, k), terms, postings))
+    hits = reduce(DataFrame.unionByName, [h for _, h in scoring_rounds(terms, postings, k)])
     rank = F.row_number().over(Window.partitionBy("input").orderBy(F.desc("score"), "doc"))
     return hits.withColumn("rank", rank).where(F.col("rank") <= k).select("input", "rank", "doc", "score")
 
