@@ -135,6 +135,30 @@ def test_matrix_files(spark, tmp_path):
     assert [(r["feature"], r["weight"]) for r in matrices.read_matrix(spark, str(tmp_path / "gap.csv")).collect()] == [(0, 1.0), (2, 3.0)]
 
 
+LONG = "term string, feature string, weight double"
+
+
+def test_matrix_file_of_many_columns(spark, tmp_path):
+    """100,000 columns, rows of three cells, of none of the named columns, and of every column; read back whole."""
+    n = 100_000
+    features = spark.range(n).select(F.format_string("d%06d", "id").alias("feature"))
+    some = [("a", "d000000", 1.0), ("a", "d050000", 2.0), ("a", "d050000", 0.5), ("a", f"d{n - 1:06d}", -3.0), ("b", "other", 4.0), ("b", "d000001", None), (None, "d000001", 1.0), ("a", None, 1.0)]
+    long = spark.createDataFrame(some, LONG).union(features.select(F.lit("full"), "feature", F.lit(1.0)))
+    matrices.write_matrix_file(long, str(tmp_path / "wide"), features)
+    lines = [line for part in sorted((tmp_path / "wide").glob("part-*")) for line in part.read_text().splitlines()]
+    assert [line[:14] for line in lines] == ["Num,d000000,d0", "Num,f0,f1,f2,f", "a,1.0,0.0,0.0,", "b,0.0,0.0,0.0,", "full,1.0,1.0,1"]
+    assert {line.count(",") for line in lines} == {n}
+    got = matrices.read_matrix(spark, str(tmp_path / "wide"), 2)
+    assert sorted((r["feature"], r["weight"]) for r in got.where("term = 'a'").collect()) == [(0, 1.0), (50_000, 2.5), (n - 1, -3.0)]
+    assert got.where("term = 'b'").count() == 0 and got.where("term = 'full'").count() == n
+
+
+def test_matrix_file_of_odd_rows(spark):
+    assert matrices.matrix_file_lines(spark.createDataFrame([], LONG)).count() == 0
+    odd = spark.createDataFrame([("x, y", "p,q", 1.0), ("", "z\n", 2.0), ("x, y", "z\n", 1e20)], LONG)
+    assert sorted(r["line"] for r in matrices.matrix_file_lines(odd).collect()) == [",0.0,2.0", "Num,f0,f1", "Num,p q,z ", "x  y,1.0,1.0E20"]
+
+
 def test_asked_rows_meet_all_rows(spark):
     rng = random.Random(3)
     data = [(f"t{i}", f"d{j}", float(rng.randint(1, 5))) for i in range(12) for j in range(6) if rng.random() < 0.5]

@@ -314,6 +314,25 @@ SQL["transposed_matrix"] = f"WITH {BRANDS} SELECT feature AS term, term AS doc,
 SQL["term_brand_matrix"] = "SELECT replace(p_name, 'large', 'larg') AS term, " + ", ".join(
     f"CAST(count(*) FILTER (WHERE p_type = '{t}') AS DOUBLE) AS {t}" for t in ("ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD")
 ) + " FROM part GROUP BY ALL"
+def _matrix_file(cells: str, features: str) -> str:
+    """CTE ``lines`` of a dense file of ``cells`` (term, feature, weight) over ``features`` (feature)."""
+    return f"""
+cols AS (SELECT feature, row_number() OVER (ORDER BY feature) - 1 AS id FROM (SELECT DISTINCT feature FROM {features})),
+grid AS (SELECT t.term, c.id, coalesce(x.weight, 0.0::DOUBLE) AS weight FROM (SELECT DISTINCT term FROM {cells}) t CROSS JOIN cols c LEFT JOIN {cells} x ON x.term = t.term AND x.feature = c.feature),
+lines AS (
+  SELECT 0 AS section, NULL::VARCHAR AS term, 'Num,' || string_agg(feature, ',' ORDER BY id) AS line FROM cols
+  UNION ALL SELECT 1, NULL, 'Num,' || string_agg('f' || id, ',' ORDER BY id) FROM cols
+  UNION ALL SELECT 2, term, term || ',' || string_agg(CAST(weight AS VARCHAR), ',' ORDER BY id) FROM grid GROUP BY term)"""
+
+
+SQL["user_term_file"] = f"""WITH {USER_TERMS}, cells AS (SELECT keyword AS term, CAST(ip AS VARCHAR) AS feature, 1.0::DOUBLE AS weight FROM kept),
+{_matrix_file('cells', 'cells')}
+SELECT CAST(section AS INTEGER) AS section, term, line FROM lines WHERE line IS NOT NULL"""
+SQL["part_supplier_file"] = f"""WITH
+cells AS (SELECT CAST(l_partkey AS VARCHAR) AS term, CAST(l_suppkey AS VARCHAR) AS feature, count(*)::DOUBLE AS weight FROM lineitem GROUP BY ALL),
+names AS (SELECT CAST(s_suppkey AS VARCHAR) AS feature FROM supplier),
+{_matrix_file('cells', 'names')}
+SELECT CAST(section AS INTEGER) AS section, term, md5(line) AS line_md5, CAST(length(line) AS INTEGER) AS size FROM lines"""
 SQL["embedding_cosine"] = f"""WITH
 vals AS (SELECT CAST(vec_id AS VARCHAR) AS term, unnest(embedding)::DOUBLE AS weight, generate_subscripts(embedding, 1) AS feature FROM embeddings),
 {_cosine('vals', 'cs')}

@@ -433,6 +433,23 @@ def term_brand_matrix(spark, sf_dir):
     return matrices.wide_matrix(long, kinds)
 
 
+@registered
+def user_term_file(spark, sf_dir):
+    terms = mining.user_term_matrix(src.session_keywords(spark, sf_dir))
+    return matrices.matrix_file_lines(terms)
+
+
+@registered
+def part_supplier_file(spark, sf_dir):
+    """Parts supplied by suppliers, two million cells of a thousand columns at sf0.1, as the lines of a matrix file."""
+    lines = src.table(spark, sf_dir, "lineitem")
+    long = lines.groupBy(F.col("l_partkey").cast("string").alias("term"), F.col("l_suppkey").cast("string").alias("feature")).agg(
+        F.count(F.lit(1)).cast("double").alias("weight")
+    )
+    suppliers = src.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("feature"))
+    return matrices.matrix_file_lines(long, suppliers).select("section", "term", F.md5("line").alias("line_md5"), F.length("line").alias("size"))
+
+
 @registered
 def transposed_matrix(spark, sf_dir):
     return matrix.transpose(src.brand_weights(spark, sf_dir)).select("term", "doc", "tf", F.round("weight", 6).alias("weight"))

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import round2
 from tidemark.functions.text import normalise
+from tidemark.operators.matrix import dense_ids
+from tidemark.session import stage
 
 # Weight of a subclass link and of any other link of the ontology.
 SUBCLASS_WEIGHT = 0.75
@@ -48,6 +50,54 @@ def write_matrix(long: DataFrame, features: list[str], path: str) -> None:
     )
 
 
+def _one_cell(text: Column) -> Column:
+    """A name as one cell of the file: commas and line ends become blanks."""
+    return F.translate(text, ",\r\n", "   ")
+
+
+def matrix_file_lines(long: DataFrame, features: DataFrame | None = None) -> DataFrame:
+    """(section, term, line): a long matrix (term, feature, weight) as lines of a file with two header rows.
+
+    Section 0 is the header of feature names, 1 the header ``f0,f1,…``, 2 one line a term; ``Num`` heads the first
+    column. Columns follow the features in the order of their texts, those of ``features`` (a column ``feature``) if given,
+    else those of the matrix. A term's line is put together from its own cells: between them stand as many zeros as
+    the ids leave out, so nothing is pivoted and the driver holds one count. Weights of a cell named twice add up;
+    cells without a term or feature are left out, a weight that is null is a zero. Without features there are no lines.
+    """
+    cells = stage(
+        long.where("term is not null and feature is not null").groupBy(
+            F.col("term").cast("string").alias("term"), F.col("feature").cast("string").alias("feature")
+        ).agg(F.coalesce(F.sum("weight"), F.lit(0.0)).cast("double").alias("weight")),
+        "matrix-cells",
+    )
+    named = cells if features is None else features.select(F.col("feature").cast("string").alias("feature")).where("feature is not null")
+    columns = stage(dense_ids(named, "feature"), "matrix-columns")
+    n = columns.count()
+    entry = F.struct("id", "weight")
+    rows = cells.join(columns, "feature").groupBy("term").agg(F.array_sort(F.collect_list(entry)).alias("cells"))
+    rows = cells.select("term").distinct().join(rows, "term", "left").withColumn("cells", F.coalesce("cells", F.array().cast("array<struct<id:bigint,weight:double>>")))
+    zeros = lambda count: F.repeat(F.lit(",0.0"), count.cast("int"))
+    before = lambda i: F.coalesce(F.get("cells", i - 1)["id"], F.lit(-1))
+    written = F.transform("cells", lambda c, i: F.concat(zeros(c["id"] - before(i) - 1), F.lit(","), c["weight"].cast("string")))
+    last = F.coalesce(F.get("cells", F.size("cells") - 1)["id"], F.lit(-1))
+    body = rows.select(
+        F.lit(2).alias("section"), "term", F.concat(_one_cell(F.col("term")), F.array_join(written, ""), zeros(n - 1 - last)).alias("line")
+    )
+    heads = columns.groupBy().agg(F.array_sort(F.collect_list(F.struct("id", "feature"))).alias("names")).where(F.size("names") > 0)
+    names = F.transform("names", lambda x: _one_cell(x["feature"]))
+    numbers = F.transform("names", lambda x: F.concat(F.lit("f"), x["id"].cast("string")))
+    header = heads.select(F.explode(F.array(
+        F.struct(F.lit(0).alias("section"), F.concat(F.lit("Num,"), F.array_join(names, ",")).alias("line")),
+        F.struct(F.lit(1).alias("section"), F.concat(F.lit("Num,"), F.array_join(numbers, ",")).alias("line")),
+    )).alias("h")).select("h.section", F.lit(None).cast("string").alias("term"), "h.line")
+    return header.unionByName(body) if n else header
+
+
+def write_matrix_file(long: DataFrame, path: str, features: DataFrame | None = None) -> None:
+    """Write `matrix_file_lines` as text: the part files in the order of their names are the file."""
+    matrix_file_lines(long, features).orderBy("section", "term").select("line").write.mode("overwrite").text(path)
+
+
 def parse_triples(rows: DataFrame) -> DataFrame:
     """(subject, predicate, object) to (concept_a, concept_b, weight); A is the object side."""
     low = rows.select(*[F.lower(F.col(c)).alias(c) for c in ("subject", "predicate", "object")])
