@@ -441,7 +441,7 @@ def user_term_file(spark, sf_dir):
 
 @registered
 def part_supplier_file(spark, sf_dir):
-    """Parts supplied by suppliers, two million cells of a thousand columns at sf0.1, as the lines of a matrix file."""
+    """How often each supplier sold each part, as the lines of a matrix file with a column for every supplier."""
     lines = src.table(spark, sf_dir, "lineitem")
     long = lines.groupBy(F.col("l_partkey").cast("string").alias("term"), F.col("l_suppkey").cast("string").alias("feature")).agg(
         F.count(F.lit(1)).cast("double").alias("weight")
