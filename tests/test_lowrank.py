@@ -58,6 +58,15 @@ def test_nothing(spark):
     assert matrix.svd_embedding(empty, 3).collect() == []
 
 
+@pytest.mark.parametrize("columns", [5, 40])
+def test_zeros_only(spark, columns):
+    """Every term in every document: all weights are zero. 40 columns are more than the basis, 5 are not."""
+    counts = spark.createDataFrame([(f"t{i}", f"d{j}", 1 + (i + j) % 3) for i in range(6) for j in range(columns)], "term string, doc string, tf bigint")
+    weights = matrix.tfidf(counts)
+    assert weights.where("weight <> 0").count() == 0
+    assert matrix.row_cosine(matrix.svd_embedding(weights, 5)).collect() == []
+
+
 def test_triangle_of_many_tasks(spark):
     rng = np.random.default_rng(4)
     values = rng.normal(size=(500, 6))
