@@ -6,8 +6,10 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
+from tidemark.functions.scalars import round2
 from tidemark.operators import itemsets, matrix, mining, rules, topics
 from tidemark.sources import matrices
 
@@ -39,6 +41,42 @@ def test_cosine_with_hot_row_and_hot_feature(spark):
         assert all(abs(got[k] - want[k]) < 1e-9 for k in want)
 
 
+def test_cosine_leaves_a_task_in_pieces(spark, monkeypatch):
+    """Pairs of a cell are not held at once, sparse or dense, and pairs at or under a number stay in the task."""
+    rng = random.Random(5)
+    for n_features, per_row in ((6, 6), (400, 3)):
+        data = [(f"t{i:02d}", f, rng.uniform(-1, 1)) for i in range(50) for f in rng.sample(range(n_features), per_row)]
+        want = brute_cosine(data)
+        packed = {}
+        for t, f, w in data:
+            packed.setdefault(t, []).append((f, w / math.sqrt(sum(x * x for s, _, x in data if s == t))))
+        for blocks in (1, 2):
+            cell = pa.RecordBatch.from_pylist([
+                {"x": 0, "y": blocks - 1, "_block": i % blocks, "term": t, "features": [f for f, _ in r], "weights": [w for _, w in r]}
+                for i, (t, r) in enumerate(packed.items())
+            ])
+            monkeypatch.setattr(matrix, "TILE", 64)
+            pieces = list(matrix._cell_pairs(iter([cell]), 0.0))
+            assert len(pieces) > 1 and max(p.num_rows for p in pieces) <= 64
+            got = {(r["term_a"], r["term_b"]): r["dot"] for p in pieces for r in p.to_pylist()}
+            names = sorted(packed)
+            met = {(a, b) for a, b in want if blocks == 1 or (names.index(a) + names.index(b)) % 2}
+            assert got.keys() == {k for k in met if want[k] > 0} and all(abs(got[k] - want[k]) < 1e-9 for k in got)
+    long = spark.createDataFrame(data, "term string, feature int, weight double")
+    for blocks, slices in ((2, 1), (2, 3)):
+        found = {(r["term_a"], r["term_b"]) for r in matrix.row_cosine(long, blocks, slices, above=0.1).collect()}
+        assert found == {k for k, v in want.items() if v > 0.1}
+
+
+def test_rounding_near_ties(spark):
+    rng = random.Random(8)
+    values = [rng.uniform(-2, 2) for _ in range(3000)] + [k / 200 + d for k in range(-300, 300) for d in (0, 4e-11, -4e-11, 6e-11, 3e-9, -3e-9, 1e-8, 2e-8)]
+    values += [0.0, -0.0, -0.001, float("nan"), float("inf"), 1e15 + 0.25, None]
+    rows = spark.createDataFrame([(v,) for v in values], "v double")
+    got = rows.select(round2(F.col("v")).alias("fast"), F.bround(F.round("v", 10), 2).alias("plain")).collect()
+    assert all(repr(r["fast"]) == repr(r["plain"]) for r in got)
+
+
 def test_tfidf_weighs_documents(spark):
     rows = spark.createDataFrame([("a", 1), ("a", 1), ("b", 1), ("a", 2)], "term string, doc int")
     got = {(r["term"], r["doc"]): r["weight"] for r in matrix.tfidf(matrix.term_counts(rows)).collect()}
