@@ -97,11 +97,34 @@ def test_oddities(spark):
         similarity.similar_rows(spark.createDataFrame([], SCHEMA), 0.0)
 
 
+def brute_links(data):
+    """{row: (links, hundredths)}: all positive cosines, copies expanded."""
+    pairs = {k: v for k, v in brute(data, -1.0).items() if v > 1e-12}
+    out = {t: [0, 0] for t, f, w in data if t is not None and f is not None and w}
+    for (a, b), cosine in pairs.items():
+        for t in (a, b):
+            out[t][0] += 1
+            out[t][1] += round(round(cosine, 10) * 100)
+    return out
+
+
+@pytest.mark.parametrize("blocks", [{}, {"block_rows": 40, "block_entries": 200}])
+def test_linked_rows(spark, monkeypatch, blocks):
+    """No positive cosine is lost, in one block or in many, however small the pieces are."""
+    if blocks:
+        monkeypatch.setattr(similarity, "row_links", lambda rows: matrix.row_links(rows, **blocks))
+    data = crowded(random.Random(11)) + [("alone", "z", 1.0), (None, "f1", 1.0), ("zero", "f1", 0.0)]
+    got = {r["term"]: (r["links"], r["hundredths"], r["first"]) for r in similarity.linked_rows(spark.createDataFrame(data, SCHEMA).repartition(5)).collect()}
+    want = brute_links(data)
+    assert got.keys() == want.keys() and got["alone"] == (0, 0, "alone") and got["d007"][2] == "d000"
+    assert all(got[t][0] == n and abs(got[t][1] - h) <= 1 for t, (n, h) in want.items())
+
+
 def test_document_term_cosine_takes_the_whole_vocabulary(spark, tmp_path):
     docs = [(i, f"common{'x' * (i % 2)} word{chr(97 + i)} " + " ".join(f"rare{chr(97 + i)}{chr(97 + j)}" for j in range(25))) for i in range(12)]
     spark.createDataFrame(docs, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
     weights = matrix.tfidf(src.document_counts(spark, str(tmp_path))).select("term", "doc", "weight").collect()
-    want = brute([tuple(r) for r in weights], 0.8)
-    got = expanded(queries.document_term_cosine(spark, str(tmp_path)).collect())
-    assert set(got) == set(want) and all(abs(got[k] - want[k]) <= 0.005 + 1e-9 for k in want)
-    assert len({term for pair in want for term in pair}) > 250  # nearly all have one document; stems may fall together
+    want = brute_links([tuple(r) for r in weights])
+    got = {r["term"]: (r["links"], r["hundredths"]) for r in queries.document_term_cosine(spark, str(tmp_path)).collect()}
+    assert got == {t: tuple(v) for t, v in want.items()}
+    assert len(want) > 250  # nearly all have one document; stems may fall together
