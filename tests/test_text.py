@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars, text
+from tidemark.plans import inputs as src
 
 # Published Porter examples.
 STEMS = {
@@ -55,3 +56,9 @@ def test_rounding(spark):
 def test_seconds(spark):
     row = spark.sql("select timestamp'2024-01-01 00:00:00.9' a, timestamp'2024-01-01 00:00:02.1' b")
     assert row.select(scalars.seconds_between(F.col("a"), F.col("b"))).first()[0] == 1
+
+
+def test_words_are_counted_without_a_shuffle_of_words(spark, sf_dir):
+    """Texts are dealt by document once; counting and stemming their words needs no further exchange."""
+    plan = src.document_counts(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1 and "hashpartitioning(doc#" in plan
