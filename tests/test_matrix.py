@@ -197,6 +197,15 @@ def test_matrix_file_of_odd_rows(spark):
     assert sorted(r["line"] for r in matrices.matrix_file_lines(odd).collect()) == [",0.0,2.0", "Num,f0,f1", "Num,p q,z ", "x  y,1.0,1.0E20"]
 
 
+def test_matrix_lines_are_dealt_by_the_cells_of_the_file(spark, monkeypatch):
+    monkeypatch.setattr(matrices, "TASK_CELLS", 400)
+    features = spark.range(100).select(F.format_string("d%03d", "id").alias("feature"))
+    long = spark.range(200).select(F.format_string("t%03d", "id").alias("term"), F.format_string("d%03d", F.col("id") % 100).alias("feature"), F.lit(1.0).alias("weight"))
+    lines = matrices.matrix_file_lines(long, features).where("section = 2").select("line", F.spark_partition_id().alias("task")).collect()
+    assert len(lines) == 200 and {r["line"].count(",") for r in lines} == {100}
+    assert max(Counter(r["task"] for r in lines).values()) <= 16
+
+
 def test_asked_rows_meet_all_rows(spark):
     rng = random.Random(3)
     data = [(f"t{i}", f"d{j}", float(rng.randint(1, 5))) for i in range(12) for j in range(6) if rng.random() < 0.5]
