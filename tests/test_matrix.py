@@ -145,6 +145,22 @@ def test_frequent_sets_against_all_sets(spark, monkeypatch):
     assert itemsets.frequent_sets(frame.where("false"), 2, 1).collect() == []
 
 
+def test_sets_of_short_sessions_are_counted_from_rows(spark, monkeypatch):
+    """Short and long sessions together; with short ones only no list of a set is written."""
+    rng, labels, written = random.Random(4), [], itemsets.stage
+    monkeypatch.setattr(itemsets, "stage", lambda table, label: (labels.append(label), written(table, label))[1])
+    bags = {f"s{i}": set(rng.sample([f"k{j:02}" for j in range(12)], rng.randint(1, 9))) for i in range(80)}
+    frame = spark.createDataFrame([(s, k) for s, bag in bags.items() for k in bag], "session_id string, keyword string")
+    for row_sets, lists in ((20, True), (4096, False)):
+        monkeypatch.setattr(itemsets, "ROW_SETS", row_sets)
+        for size, support in ((2, 3), (3, 3), (3, 1)):
+            labels.clear()
+            want = Counter(c for bag in bags.values() for c in itertools.combinations(sorted(bag), size))
+            got = {tuple(r["items"]): r["sessions"] for r in itemsets.frequent_sets(frame, size, support).collect()}
+            assert got == {c: n for c, n in want.items() if n >= support}
+            assert any(label.startswith("sets-of") for label in labels) is lists
+
+
 def test_rules_keep_one_direction(spark):
     rows = [("a", "b", 1.0, 0)] * 3 + [("b", "a", 1.0, 0)] + [("a", "c", 1.0, 0)] + [("a", "b", 1.0, 1)]
     out = rules.association_rules(spark.createDataFrame(rows, "query_a string, filter_b string, weight double, type int"))
