@@ -128,3 +128,18 @@ def test_document_term_cosine_takes_the_whole_vocabulary(spark, tmp_path):
     got = {r["term"]: (r["links"], r["hundredths"]) for r in queries.document_term_cosine(spark, str(tmp_path)).collect()}
     assert got == {t: tuple(v) for t, v in want.items()}
     assert len(want) > 250  # nearly all have one document; stems may fall together
+
+
+def test_svd_group_cosine_names_copies_once(spark, tmp_path):
+    """A row a part, not a pair of parts: 7 brands, the 5 of largest norm stay."""
+    parts = [(i, f"Brand#{11 + 10 * (i % 7)}") for i in range(700)]
+    spark.createDataFrame(parts, "p_partkey bigint, p_brand string").write.parquet(f"{tmp_path}/part.parquet")
+    got = {r["term"]: (r["first"], r["links"], r["hundredths"]) for r in queries.svd_group_cosine(spark, str(tmp_path)).collect()}
+    firsts = {g: min(str(i) for i, _ in parts if i % 7 == g) for g in range(7)}
+    assert got == {str(i): (firsts[i % 7], 99, 9900) for i, _ in parts if i % 7 >= 2}
+
+
+def test_noise_is_no_link(spark):
+    data = [("a", "x", 1.0), ("b", "y", 1.0), ("b", "x", 1e-12), ("c", "y", 1.0), ("c", "z", 1.0)]
+    got = {r["term"]: (r["links"], r["hundredths"]) for r in similarity.linked_rows(spark.createDataFrame(data, SCHEMA), 1e-9).collect()}
+    assert got == {"a": (0, 0), "b": (1, 71), "c": (1, 71)}
