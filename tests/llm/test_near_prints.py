@@ -3,8 +3,10 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from tidemark.llm import near_duplicates as near
+from tidemark.llm import simhash
 
 
 def pair(draw, words, edits):
@@ -45,3 +47,25 @@ def test_columns_named_like_the_stage_s_own(spark):
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, _row string, _mark string, _kept string, _Kept_Mark int, _end int")
     kept = near.keep_one(docs)
     assert kept.columns == docs.columns and sorted(tuple(r) for r in kept.collect()) == [rows[0], rows[2]]
+
+
+def test_near_texts_meet_by_simhash(spark):
+    """With no smallest shingle in common, near texts still meet by their fingerprints, and only near ones are linked."""
+    draw = random.Random(8)
+    words = [f"w{draw.randrange(10 ** 9)}" for _ in range(900)]
+    rows = [(i, " ".join(words[:450] + [f"new{i}"] + words[450:])) for i in range(4)]
+    rows += [(9 + i, "a b c d e f g " * 60 + " ".join(f"w{draw.randrange(10 ** 9)}" for _ in range(8))) for i in range(2)]  # one SimHash, unlike sets
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    sketched = near.stage(near.sketches(docs, 5), "test-sketches")
+    kinds = sketched.groupBy("node").agg(F.min("doc_id").alias("low"), *(F.first(c).alias(c) for c in ("n", "print", "lows")))
+    apart = kinds.withColumn("lows", F.transform("lows", lambda x, i: F.xxhash64("node", i)))
+    met = {r["low"]: (r["node"], r["lows"]) for r in near.met_by_simhash(sketched, apart).collect()}
+    same = {r["doc_id"]: r["component_id"] for r in simhash.simhash_groups(docs).collect()}
+    assert {a for a in met for b in met if a < b and met[a][1][0] == met[b][1][0]} == {a for a in same for b in same if a < b and same[a] == same[b]}
+    assert same[10] == 9 and len(set(same.values())) < 4
+    links = {(r["a"], r["b"]) for r in near.near_links(docs, near.met_by_simhash(sketched, apart), 5, 0.8).collect()}
+    ids = {node: low for low, (node, _) in met.items()}
+    joined = {frozenset((ids[a], ids[b])) for a, b in links}
+    assert joined and all(max(pair) < 9 for pair in joined)
+    groups = {r["doc_id"]: r["component_id"] for r in near.near_groups(docs).collect()}
+    assert groups == {0: 0, 1: 0, 2: 0, 3: 0, 9: 9, 10: 10}

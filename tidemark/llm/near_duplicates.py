@@ -1,4 +1,7 @@
-"""Near-duplicates of a stated similarity: texts meet under their smallest shingles and are verified on whole sets.
+"""Near-duplicates of a stated similarity: texts meet by SimHash and under their smallest shingles, and are verified on whole sets.
+
+First texts meet in the groups of `simhash`: fingerprints of three-word shingles linked within two bits. What SimHash
+leaves apart, for its ball is narrower than the stated similarity, meets under smallest shingles.
 
 A text has eight smallest shingle hashes, one in each of eight orders. Two texts share the smallest of an order with
 the chance of their Jaccard similarity, so at 0.8 they meet in one of the eight with a chance of 0.999997. Texts with no
@@ -24,11 +27,12 @@ from pyspark.sql import functions as F
 from tidemark.llm.batches import bounded_batches
 from tidemark.llm.graph import components
 from tidemark.llm.joins import ids_side
-from tidemark.llm.simhash import BITS, _mixed, _ones, shingle_hashes
+from tidemark.llm.simhash import BITS, _mixed, _ones, ball_links, prints_of, shingle_hashes
 from tidemark.session import stage
 
+RUN, RADIUS = 3, 2  # of SimHash: words of a shingle, and bits that linked fingerprints may differ in
 PARTS = 8
-PASSES = ((0,), (1,), tuple(range(2, PARTS)))  # parts that are verified at once; what is linked by then is left out later
+PASSES = ((0,), (1,), tuple(range(2, PARTS + 1)))  # parts that are verified at once; what is linked by then is left out later
 WORDS = 4  # of 64 bits each in a fingerprint
 TIES = 0.04  # more bits that small sets may differ in, whose votes tie
 BLOCK_NODES = 1024
@@ -86,22 +90,24 @@ def row_mark(docs: DataFrame) -> Column:
 
 
 def sketches(docs: DataFrame, size: int, mark: Column | None = None) -> DataFrame:
-    """(doc_id, mark, node, n, print, lows) of every row; equal nodes mean equal sets of shingles."""
+    """(doc_id, mark, node, n, simhash, print, lows) of every row; equal nodes mean equal sets of shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            node, n, prints, lows = sketches_of(batch.column(1).to_pylist(), size)
+            texts = batch.column(1).to_pylist()
+            node, n, prints, lows = sketches_of(texts, size)
+            simhash = prints_of(texts, RUN, 1)[:, 0]
             lists = [
                 pa.ListArray.from_arrays(pa.array(np.arange(len(node) + 1, dtype=np.int32) * each.shape[1]), pa.array(each.ravel()))
                 for each in (prints, lows)
             ]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.array(node), pa.array(n), *lists],
-                ["doc_id", "mark", "node", "n", "print", "lows"],
+                [batch.column(0), batch.column(2), pa.array(node), pa.array(n), pa.array(simhash), *lists],
+                ["doc_id", "mark", "node", "n", "simhash", "print", "lows"],
             )
 
     marked = _narrow(docs, (F.lit(0).cast("bigint") if mark is None else mark).alias("mark"))
-    return marked.mapInArrow(run, "doc_id bigint, mark bigint, node bigint, n bigint, print array<bigint>, lows array<bigint>")
+    return marked.mapInArrow(run, "doc_id bigint, mark bigint, node bigint, n bigint, simhash bigint, print array<bigint>, lows array<bigint>")
 
 
 def shingles(docs: DataFrame, size: int) -> DataFrame:
@@ -186,7 +192,7 @@ class _Members:
         self.part, self.same = cell["part"][0].as_py(), cell["x"][0].as_py() == cell["y"][0].as_py()
         self.nodes, self.n, self.block = (cell[c].to_numpy() for c in ("node", "n", "block"))
         self.prints = cell["print"].combine_chunks().flatten().to_numpy().reshape(-1, WORDS).view(np.uint64)
-        self.lows = cell["lows"].combine_chunks().flatten().to_numpy().reshape(-1, PARTS)[:, :self.part]
+        self.lows = cell["lows"].combine_chunks().flatten().to_numpy().reshape(len(self.nodes), -1)[:, :self.part]
         self.similarity, self.far = similarity, far
 
     def may_be_near(self, i: int, of: np.ndarray) -> np.ndarray:
@@ -284,6 +290,18 @@ def _texts_of(docs: DataFrame, kinds: DataFrame, nodes: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").join(ids_side(ids), F.col("doc_id").eqNullSafe(F.col("_end"))).select("doc_id", "text")
 
 
+def met_by_simhash(rows: DataFrame, kinds: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """The kinds with one more part, the first: the SimHash group of the node. Groups are joined within `radius` bits."""
+    held = stage(rows.select("node", F.lit(0).alias("table"), F.col("simhash").alias("fp")).distinct(), "simhash")
+    heads = stage(held.groupBy("table", "fp").agg(F.min("node").alias("head")), "simhash-heads")
+    same = held.join(heads, ["table", "fp"]).where("node != head").select(F.col("node").alias("a"), F.col("head").alias("b"))
+    near = ball_links(heads.select("table", "fp"), radius)
+    near = near.join(heads.select(F.col("fp").alias("a"), F.col("head").alias("x")), "a").join(heads.select(F.col("fp").alias("b"), F.col("head").alias("y")), "b")
+    groups = components(same.unionByName(near.select(F.col("x").alias("a"), F.col("y").alias("b"))), "a", "b")
+    met = kinds.join(groups.withColumnRenamed("root", "_group"), "node", "left")
+    return stage(met.withColumn("lows", F.concat(F.array(F.coalesce("_group", "node")), "lows")).drop("_group"), "met-kinds")
+
+
 def near_links(
     docs: DataFrame, kinds: DataFrame, size: int, similarity: float, block_nodes: int = BLOCK_NODES, block_shingles: int = BLOCK_SHINGLES
 ) -> DataFrame:
@@ -319,7 +337,7 @@ def near_roots(docs: DataFrame, size: int, similarity: float, mark: Column | Non
     kinds = stage(
         rows.groupBy("node").agg(F.min("doc_id").alias("low"), *(F.first(c).alias(c) for c in ("n", "print", "lows"))), "kinds"
     )
-    roots = components(near_links(docs, kinds, size, similarity), "a", "b")
+    roots = components(near_links(docs, met_by_simhash(rows, kinds), size, similarity), "a", "b")
     return rows, stage(
         kinds.select("node", "low").join(roots, "node", "left").select("node", "low", F.coalesce("root", "node").alias("root")), "placed"
     )
