@@ -6,6 +6,8 @@ from collections import defaultdict
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from tidemark.operators import matrix, similarity
 from tidemark.plans import inputs as src
 from tidemark.plans import queries
@@ -143,3 +145,10 @@ def test_noise_is_no_link(spark):
     data = [("a", "x", 1.0), ("b", "y", 1.0), ("b", "x", 1e-12), ("c", "y", 1.0), ("c", "z", 1.0)]
     got = {r["term"]: (r["links"], r["hundredths"]) for r in similarity.linked_rows(spark.createDataFrame(data, SCHEMA), 1e-9).collect()}
     assert got == {"a": (0, 0), "b": (1, 71), "c": (1, 71)}
+
+
+def test_tasks_of_registered_queries_are_bounded(spark):
+    """The text hashes of two million rows are no eight large tasks: a task reads some 8 MB, however many rows there are."""
+    queries.REGISTRY["keyword_suggestions"](spark, "/root/testdata/sf0.001")
+    rows = spark.range(2_000_000).select(F.sha2(F.col("id").cast("string"), 256).alias("x")).distinct()
+    assert rows.rdd.getNumPartitions() >= 12
