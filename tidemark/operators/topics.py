@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.ml.clustering import LDA
-from pyspark.ml.feature import CountVectorizer
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import underscore_tokens
 from tidemark.operators.matrix import dense_ids
-from tidemark.session import ensure_checkpoint_dir
+from tidemark.session import stage
 
 
 def topic_tokens(*fields: str) -> Column:
@@ -18,32 +18,56 @@ def topic_tokens(*fields: str) -> Column:
     return F.concat(*[F.coalesce(F.split(F.col(f), " "), empty) for f in fields])
 
 
+def word_bags(documents: DataFrame) -> DataFrame:
+    """(bag, copies, word, n): the words of every distinct bag of (doc, tokens), how often the bag has them, and its documents."""
+    bags = documents.select(F.array_sort(F.filter("tokens", lambda t: t.isNotNull())).alias("tokens")).where(F.size("tokens") > 0)
+    bags = bags.groupBy("tokens").agg(F.count(F.lit(1)).alias("copies"))
+    bags = stage(bags.select(F.monotonically_increasing_id().alias("bag"), "copies", "tokens"), "topic-bags")
+    # A copy of the bag's hash travels with its words: random starts follow from what a bag holds, not from where it lies.
+    words = bags.select("bag", "copies", F.xxhash64("tokens").alias("mark"), F.explode("tokens").alias("word"))
+    return words.groupBy("bag", "copies", "mark", "word").agg(F.count(F.lit(1)).alias("n"))
+
+
 def lda_topics(
-    documents: DataFrame, k: int = 8, concentration: float = 2.0, iterations: int = 50,
-    seed: int = 0, words: int = 10, checkpoint_interval: int = 10,
+    documents: DataFrame, k: int = 8, concentration: float = 2.0, iterations: int = 50, seed: int = 0, words: int = 10,
 ) -> DataFrame:
     """(topic, rank, word, weight) of an EM topic model over (doc, tokens).
 
-    The vocabulary is kept whole. EM cuts its lineage at the shared checkpoint folder.
+    Expectation maximisation of smoothed counts (both concentrations less one are added) over bags of words. Documents of
+    equal words start alike and stay alike, so each distinct bag is worked out once and counts as often as it has documents.
+    A round is two sums of the shares of topics, by word and by bag, joined back to the cells; the vocabulary is a table
+    and is kept whole, the driver holds none of it. Random starts are hashes of bag, word and seed, so reruns agree
+    whatever the partitions.
     """
-    spark = documents.sparkSession
-    ensure_checkpoint_dir(spark)
-    counts = CountVectorizer(inputCol="tokens", outputCol="features", vocabSize=(1 << 31) - 1, minDF=1.0)
-    vectorizer = counts.fit(documents)
-    model = LDA(
-        k=k, docConcentration=[concentration], topicConcentration=concentration, maxIter=iterations,
-        seed=seed, optimizer="em", checkpointInterval=checkpoint_interval,
-    ).fit(vectorizer.transform(documents).select("features"))
-    vocabulary = vectorizer.vocabulary
-    described = model.describeTopics(words).select(
-        "topic", F.posexplode(F.arrays_zip("termIndices", "termWeights")).alias("rank", "entry")
-    )
-    picked = [r["index"] for r in described.select(F.col("entry.termIndices").alias("index")).distinct().collect()]
-    names = spark.createDataFrame([(i, vocabulary[i]) for i in picked], "index int, word string")
-    return described.select(
-        "topic", (F.col("rank") + 1).alias("rank"), F.col("entry.termIndices").alias("index"),
-        F.col("entry.termWeights").alias("weight"),
-    ).join(F.broadcast(names), "index").select("topic", "rank", "word", "weight")
+    if concentration <= 1:
+        raise ValueError("EM needs a concentration above 1")
+    topics, prior = range(k), F.lit(concentration - 1)
+    start = [(F.pmod(F.xxhash64("mark", "word", F.lit(seed), F.lit(t)), F.lit(1 << 20)) + 1).cast("double") for t in topics]
+
+    def shares(rows: DataFrame, raw: list[Column]) -> DataFrame:
+        rows = rows.select("bag", "copies", "word", "n", *[r.alias(f"g{t}") for t, r in enumerate(raw)])
+        whole = reduce(Column.__add__, [F.col(f"g{t}") for t in topics])
+        return stage(rows.select("bag", "copies", "word", "n", *[(F.col(f"g{t}") / whole).alias(f"g{t}") for t in topics]), "topic-shares")
+
+    def by_word(cells: DataFrame) -> DataFrame:
+        return cells.groupBy("word").agg(*[F.sum(F.col("copies") * F.col("n") * F.col(f"g{t}")).alias(f"w{t}") for t in topics])
+
+    def totals(of_words: DataFrame) -> DataFrame:
+        return of_words.agg(F.count(F.lit(1)).alias("vocabulary"), *[F.sum(f"w{t}").alias(f"s{t}") for t in topics])
+
+    cells = shares(word_bags(documents), start)
+    for _ in range(iterations):
+        of_words = by_word(cells)
+        of_bags = cells.groupBy("bag").agg(*[F.sum(F.col("n") * F.col(f"g{t}")).alias(f"b{t}") for t in topics])
+        met = cells.select("bag", "copies", "word", "n").join(of_words, "word").join(of_bags, "bag").crossJoin(F.broadcast(totals(of_words)))
+        cells = shares(met, [
+            (F.col(f"w{t}") + prior) * (F.col(f"b{t}") + prior) / (F.col(f"s{t}") + F.col("vocabulary") * prior) for t in topics
+        ])
+    of_words = by_word(cells)
+    weights = [F.struct(F.lit(t).alias("topic"), (F.col(f"w{t}") / F.col(f"s{t}")).alias("weight")) for t in topics]
+    told = of_words.crossJoin(F.broadcast(totals(of_words))).select("word", F.inline(F.array(*weights)))
+    rank = F.row_number().over(Window.partitionBy("topic").orderBy(F.desc("weight"), "word"))
+    return told.withColumn("rank", rank).where(F.col("rank") <= words).select("topic", "rank", "word", "weight")
 
 
 def corpus_tokens(abstract: Column, *name_lists: Column) -> Column:
