@@ -1,12 +1,15 @@
 """The fingerprint that rules pairs out, against the Jaccard similarity of their whole sets."""
 
 import random
+from pathlib import Path
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tidemark.llm import near_duplicates as near
 from tidemark.llm import simhash
+from tidemark.session import stage, stage_result
 
 
 def pair(draw, words, edits):
@@ -69,3 +72,38 @@ def test_near_texts_meet_by_simhash(spark):
     assert joined and all(max(pair) < 9 for pair in joined)
     groups = {r["doc_id"]: r["component_id"] for r in near.near_groups(docs).collect()}
     assert groups == {0: 0, 1: 0, 2: 0, 3: 0, 9: 9, 10: 10}
+
+
+def test_what_a_cell_joins_is_a_star():
+    own, group = np.array([0, 0, 1, 2, 3, 3]), np.array([2, 2, 2, 2, 3, 3])
+    a, b = near.star(own, group, np.array([7, 5, 9, 2, 1, 8]))
+    assert sorted(zip(a.tolist(), b.tolist(), strict=True)) == [(2, 5), (2, 9)]
+
+
+def test_tables_on_the_way_go_when_the_result_is_written(spark, tmp_path):
+    base = " ".join(f"w{i}" for i in range(60))
+    rows = [(i, f"{base} x{i % 3}" if i < 6 else f"only {i} of a kind") for i in range(9)]
+    context, before = spark.sparkContext, spark.sparkContext.getCheckpointDir()
+    context.setCheckpointDir(str(tmp_path))
+    try:
+        kept = near.keep_one(spark.createDataFrame(rows, "doc_id bigint, text string"))
+        folder = Path(context.getCheckpointDir().removeprefix("file:"))
+        assert {p.name.rsplit("-", 1)[0] for p in folder.iterdir()} == {"best"}
+        assert sorted(r.doc_id for r in kept.collect()) == [0, 6, 7, 8]
+    finally:
+        context.setCheckpointDir(str(tmp_path / "rest") if before is None else before)
+
+
+def test_a_failed_result_deletes_nothing_and_ends_the_record(spark):
+    made = []
+
+    def broken():
+        made.append(stage(spark.range(3).toDF("x"), "part"))
+        raise ValueError("no result")
+
+    with pytest.raises(ValueError, match="no result"):
+        stage_result(spark, broken, "never")
+    assert made[0].count() == 3
+    outer = stage(spark.range(2).toDF("x"), "outer")
+    assert stage_result(spark, lambda: outer.join(stage(outer, "inner"), "x"), "joined").count() == 2
+    assert outer.count() == 2

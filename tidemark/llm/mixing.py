@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.rows import fresh, with_row_number
 from tidemark.operators.matrix import dense_ids
-from tidemark.session import stage
+from tidemark.session import stage, stage_result
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (1, 2, 3)
@@ -208,8 +208,9 @@ def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: in
     """
     row, times, copy = fresh(docs, "_row"), fresh(docs, "_copies"), fresh(docs, "_copy")
     numbered = with_row_number(docs, row)
-    copies = mixed_rows(numbered.select(F.col(row).alias("row"), "doc_id", "source", "text"), weights, cap).where("copies > 0 or size = 0").select(
+    plain = numbered.select(F.col(row).alias("row"), "doc_id", "source", "text")
+    copies = stage_result(docs.sparkSession, lambda: mixed_rows(plain, weights, cap).where("copies > 0 or size = 0").select(
         F.col("row").alias(row), F.greatest("copies", (F.col("size") == 0).cast("bigint")).alias(times)
-    )
+    ), "copies")
     each = F.explode(F.sequence(F.lit(1), F.col(times).cast("int")))
     return numbered.join(copies.hint("merge"), row).withColumn(copy, each).select(*docs.columns)

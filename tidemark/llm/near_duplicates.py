@@ -28,7 +28,7 @@ from tidemark.llm.batches import bounded_batches
 from tidemark.llm.graph import components
 from tidemark.llm.joins import ids_side
 from tidemark.llm.simhash import BITS, _mixed, _ones, ball_links, prints_of, shingle_hashes
-from tidemark.session import stage
+from tidemark.session import stage, stage_result
 
 RUN, RADIUS = 3, 2  # of SimHash: words of a shingle, and bits that linked fingerprints may differ in
 PARTS = 8
@@ -229,18 +229,32 @@ def contenders(members: DataFrame, similarity: float, more: str = "") -> DataFra
     return _dealt(members).mapInArrow(run, MEMBER + more)
 
 
+def star(own: np.ndarray, group: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links that join `own` groups of nodes into the larger `group`: from the smallest node of each to the smallest of all."""
+    order = np.argsort(nodes, kind="stable")
+    ends = order[np.unique(own[order], return_index=True)[1]]
+    ends = ends[np.argsort(nodes[ends], kind="stable")]
+    first, which = np.unique(group[ends], return_index=True, return_inverse=True)[1:]
+    a, b = nodes[ends[first]][which], nodes[ends]
+    return a[a != b], b[a != b]
+
+
 def linked(members: DataFrame, similarity: float) -> DataFrame:
-    """(a, b) links that join the members (with their root and hashes) of every cell as all near pairs of it would."""
+    """(a, b) links that join the members (with their root and hashes) of every cell as all near pairs of it would.
+
+    What a cell joins is a star, so that `components` needs few rounds.
+    """
     far = far_bits(similarity)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for cell in _cells_in(batches):
             found = _Members(cell, similarity, far)
             group = np.unique(cell["root"].to_numpy(), return_inverse=True)[1]
+            own = group.copy()
             lists = cell["hashes"].combine_chunks()
             held, codes = np.unique(lists.flatten().to_numpy(), return_inverse=True)
             bounds = np.concatenate([[0], np.cumsum(found.n)])
-            mark, links = np.zeros(len(held), bool), []
+            mark = np.zeros(len(held), bool)
             for i in range(len(group) - 1):
                 later = np.arange(i + 1, len(group))
                 partners = found.may_be_near(i, later[group[later] != group[i]])
@@ -251,12 +265,10 @@ def linked(members: DataFrame, similarity: float) -> DataFrame:
                 mark[codes[bounds[i]:bounds[i + 1]]] = False
                 near = partners[both >= similarity * (found.n[i] + found.n[partners] - both) - 1e-9]
                 if len(near):
-                    joined = np.unique(group[near], return_index=True)
-                    links += [(found.nodes[i], found.nodes[near[k]]) for k in joined[1]]
-                    group[np.isin(group, joined[0])] = group[i]
-            if links:
-                a, b = np.array(links, np.int64).T
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+                    group[np.isin(group, group[near])] = group[i]
+            a, b = star(own, group, found.nodes)
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
     return _dealt(members).mapInArrow(run, "a bigint, b bigint")
 
@@ -319,8 +331,9 @@ def near_links(
     for parts in PASSES:
         members = tried.where(F.col("part").isin(*parts)).withColumn("root", F.col("node"))
         if found:
-            roots = components(reduce(DataFrame.unionByName, found), "a", "b").withColumnRenamed("root", "_root")
-            members = members.join(roots, "node", "left").withColumn("root", F.coalesce("_root", "node")).drop("_root")
+            roots = components(reduce(DataFrame.unionByName, found), "a", "b")
+            found = [roots.select(F.col("node").alias("a"), F.col("root").alias("b"))]  # stands for all links so far
+            members = members.join(roots.withColumnRenamed("root", "_root"), "node", "left").withColumn("root", F.coalesce("_root", "node")).drop("_root")
             members = contenders(members.select(*tried.columns, "root"), similarity, ", root bigint")
         found.append(stage(linked(members.join(sets, "node"), similarity), "near"))
     return reduce(DataFrame.unionByName, found)
@@ -367,11 +380,15 @@ def keep_one(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFra
     Among the group's rows of that id the one with the smallest hash of its columns stays. Rows with a null
     doc_id are kept only when nothing else is in their group. Ids may repeat: what counts is the row.
     """
-    rows, placed = near_roots(docs, size, similarity, row_mark(docs))
-    first = rows.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "mark")).alias("first"))
-    best = first.join(placed, "node").groupBy("root").agg(F.min("first").alias("first"))
     kept_id, kept_mark, mark, turn = _free_names(docs, "_kept", "_kept_mark", "_mark", "_row")
-    best = stage(best.select(F.col("first.doc_id").alias(kept_id), F.col("first.mark").alias(kept_mark)), "best")
+
+    def chosen() -> DataFrame:
+        rows, placed = near_roots(docs, size, similarity, row_mark(docs))
+        first = rows.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "mark")).alias("first"))
+        best = first.join(placed, "node").groupBy("root").agg(F.min("first").alias("first"))
+        return best.select(F.col("first.doc_id").alias(kept_id), F.col("first.mark").alias(kept_mark))
+
+    best = stage_result(docs.sparkSession, chosen, "best")
     marked = docs.withColumn(mark, row_mark(docs))
     kept = marked.join(ids_side(best), F.col("doc_id").eqNullSafe(F.col(kept_id)) & (F.col(mark) == F.col(kept_mark)))
     same = Window.partitionBy("doc_id", mark).orderBy(mark)

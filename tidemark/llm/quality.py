@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.batches import bounded_batches
 from tidemark.llm.joins import ids_side
 from tidemark.llm.rows import fresh, with_row_number
-from tidemark.session import stage
+from tidemark.session import stage, stage_result
 
 ORDER = 5
 SYMBOL_BITS = 8
@@ -348,5 +348,7 @@ def kept_documents(docs: DataFrame, trusted_ids: DataFrame, quantile: float = QU
     row = fresh(docs, "_row")
     numbered = with_row_number(docs, row)
     plain = numbered.select(F.col(row).alias("row"), "doc_id", "lang", "text")
-    rejected = stage(judged_rows(plain, trusted_ids, quantile).where("not kept").select(F.col("row").alias(row)), "rejected")
+    rejected = stage_result(
+        docs.sparkSession, lambda: judged_rows(plain, trusted_ids, quantile).where("not kept").select(F.col("row").alias(row)), "rejected"
+    )
     return numbered.join(ids_side(rejected), row, "left_anti").select(*docs.columns)
