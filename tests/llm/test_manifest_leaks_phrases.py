@@ -3,9 +3,11 @@
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from tidemark.llm import collocations, decontamination, merkle
@@ -254,6 +256,28 @@ def test_collocations_with_small_chunks_and_full_bitmaps(spark, monkeypatch):
     assert got == brute_phrases(rows, 10, 100)
 
 
+@pytest.mark.parametrize(("grams", "sizes"), [(collocations.pair_grams, (2,)), (collocations.long_grams, (3, 4))])
+def test_a_chunk_is_counted_in_little_memory(grams, sizes, monkeypatch):
+    """Columns of grams are made for a batch at a time: an executor's workers share its memory."""
+    monkeypatch.setattr(collocations, "SENT", 1000)
+    ids = np.random.default_rng(5).integers(0, 90, 200_000)
+    tracemalloc.start()
+    counted, rows = Counter(), []
+    for batch in collocations.counted_grams(ids, grams, np.full(1 << 12, 255, np.uint8)):
+        rows.append(batch.num_rows)
+        most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 80 * len(ids) and max(rows) == 1000  # a row of the batch alone has 40 bytes
+    for batch in collocations.counted_grams(ids, grams, np.full(1 << 12, 255, np.uint8)):
+        for *words, n in zip(*[column.to_pylist() for column in batch.columns], strict=True):
+            counted[tuple(words)] += n
+    want = Counter()
+    for size in sizes:
+        runs = np.lib.stride_tricks.sliding_window_view(ids, size)
+        want.update((*run, *[0] * (4 - size)) for run in runs[(runs != 0).all(axis=1)].tolist())
+    assert counted == want
+
+
 def test_collocations_of_nothing(spark, odd):
     assert collocations.collocations(odd.where("false")).collect() == []
     assert collocations.collocations(odd.where("lang = 'xx'")).collect() == []

@@ -28,11 +28,12 @@ LEAST = 30
 SCALE = 2_000_000
 COVER = (80, 100)  # a longer candidate with this share of the occurrences drops the shorter
 BEST = 2000
-CHUNK = 1 << 22  # words that a task counts at once
+CHUNK = 1 << 20  # words that a task counts at once
+SENT = 1 << 16  # rows of a batch that leaves a task: both of its sides hold it whole
 MOST_BITS = 1 << 28  # of a bitmap, 32 MB; a fuller one lets more through
 BITS_EACH = 16
 PART = 15  # log2 of the bits that one aggregated bitmap holds
-ROWS, BYTES = 500, 64 << 20  # of a batch
+ROWS, BYTES = 500, 8 << 20  # of a batch that enters a task
 
 
 def words_of(text: Column) -> Column:
@@ -114,46 +115,52 @@ def bitmap_of(keys: DataFrame, rows: int) -> np.ndarray:
     return bitmap.ravel()
 
 
-def _counted(columns: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
-    """Distinct rows of the columns in the order of a mixed key, and how often each occurs.
+def _counted(ids: np.ndarray, at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """One place of each distinct run of `size` words among those that begin `at`, in the order of a mixed key, and how often it occurs.
 
-    Rows that share a key without being equal only split a row's count, which the sum over all tasks mends.
+    Runs that share a key without being equal only split a run's count, which the sum over all tasks mends.
     """
-    key = columns[0]
-    for column in columns[1:]:
-        key = _mixed(key, column).view(np.int64)
-    order = np.argsort(key)
-    columns = [c[order] for c in columns]
-    new = np.zeros(len(order), bool)
-    if len(order):
-        new[0] = True
-    for c in columns:
-        new[1:] |= c[1:] != c[:-1]
+    key = ids[at]
+    for k in range(1, size):
+        key = _mixed(key, ids[at + k]).view(np.int64)
+    at = at[np.argsort(key)]
+    new = np.zeros(len(at), bool)
+    new[:1] = True
+    for k in range(size):
+        word = ids[at + k]
+        new[1:] |= word[1:] != word[:-1]
     starts = np.flatnonzero(new)
-    return [c[starts] for c in columns], np.diff(np.append(starts, len(order)))
+    return at[starts], np.diff(np.append(starts, len(at)))
 
 
-def pair_grams(ids: np.ndarray, frequent_words) -> Iterator[list[np.ndarray]]:
-    """The pairs of neighbouring words that may both be frequent; `ids` has 0 at each end of a piece."""
+def pair_grams(ids: np.ndarray, frequent_words: np.ndarray) -> Iterator[tuple[np.ndarray, int]]:
+    """Where the pairs of neighbouring words that may both be frequent begin, and their size; `ids` has 0 at each end of a piece."""
     may = (ids != 0) & _holds(frequent_words, ids)
-    at = np.flatnonzero(may[:-1] & may[1:])
-    yield [ids[at], ids[at + 1], np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)]
+    yield np.flatnonzero(may[:-1] & may[1:]), 2
 
 
-def long_grams(ids: np.ndarray, frequent_pairs) -> Iterator[list[np.ndarray]]:
-    """The runs of three and four words all of whose pairs may be frequent."""
+def long_grams(ids: np.ndarray, frequent_pairs: np.ndarray) -> Iterator[tuple[np.ndarray, int]]:
+    """Where the runs of three and of four words all of whose pairs may be frequent begin, and their size."""
     linked = (ids[:-1] != 0) & (ids[1:] != 0)
     linked[linked] = _holds(frequent_pairs, _mixed(ids[:-1][linked], ids[1:][linked]).view(np.int64))
     three = linked[:-1] & linked[1:]
-    at = np.flatnonzero(three)
-    yield [ids[at], ids[at + 1], ids[at + 2], np.zeros(len(at), np.int64)]
-    at = np.flatnonzero(three[:-1] & three[1:])
-    yield [ids[at], ids[at + 1], ids[at + 2], ids[at + 3]]
+    yield np.flatnonzero(three), 3
+    yield np.flatnonzero(three[:-1] & three[1:]), 4
 
 
 GRAM = ["w1", "w2", "w3", "w4"]
 
 
+def counted_grams(ids: np.ndarray, grams, bitmap: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """(w1..w4, n) of the grams found in a chunk, 0 after the last word, in batches of `SENT` rows."""
+    for found, size in grams(ids, bitmap):
+        at, n = _counted(ids, found, size)
+        for low in range(0, len(at), SENT):
+            part = at[low:low + SENT]
+            words = [ids[part + k] for k in range(size)] + [np.zeros(len(part), np.int64)] * (LONGEST - size)
+            yield pa.RecordBatch.from_arrays([pa.array(w) for w in [*words, n[low:low + SENT]]], [*GRAM, "n"])
+
+
 def gram_counts(docs: DataFrame, seed: int, grams, bitmap: np.ndarray, least: int) -> DataFrame:
     """(w1..w4, n) of the grams that occur `least` times, 0 after the last word; staged.
 
@@ -167,18 +174,14 @@ def gram_counts(docs: DataFrame, seed: int, grams, bitmap: np.ndarray, least: in
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            for found in grams(np.concatenate(held or [np.zeros(1, np.int64)]), sent.value):
-                columns, n = _counted(found)
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns] + [pa.array(n)], [*GRAM, "n"])
-
         for batch in batches:
             held.append(batch.column(0).flatten().to_numpy())
             size += len(held[-1])
             if size >= CHUNK:
-                yield from flush()
-                held, size = [], 0
-        yield from flush()
+                whole, held, size = np.concatenate(held), [], 0
+                yield from counted_grams(whole, grams, sent.value)
+        if held:
+            yield from counted_grams(np.concatenate(held), grams, sent.value)
 
     counted = ids.mapInArrow(count, ", ".join(f"{g} bigint" for g in GRAM) + ", n bigint")
     with small_batches(spark):
