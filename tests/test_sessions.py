@@ -4,11 +4,13 @@ import random
 import time
 from datetime import datetime, timedelta
 
+import pyarrow as pa
 from hypothesis import given
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tidemark.operators import crawlers, mining, sessions, tree
+from tidemark.plans import queries
 
 SITE = "http://s"
 START = datetime(2024, 1, 1)
@@ -162,6 +164,41 @@ def test_tree_drops(spark):
     ]
 
 
+def test_trees_of_sessions_that_lie_across_batches():
+    """Batches of a few rows, as Spark sends them, grow the trees of the plain rule; columns that only pass stay whole."""
+    draw, rows = random.Random(4), []
+    for number in range(60):
+        for seq in range(draw.randint(1, 25)):
+            key = draw.choice(tree.KEYS) if seq else "datasetlist"
+            rows.append({"month": "m", "ip": "i", "session_id": f"i@{number}", "seq": seq + 1, "epoch": seq, "key": key, "request": f"/{key}{draw.randint(0, 3)}",
+                         "dataset_id": f"d{seq}", "referer": draw.choice(["-", "/datasetlist1", "/dataset2", ""]), "_starts": seq == 0})
+    sent = pa.Table.from_pylist(rows, pa.schema([
+        ("month", "string"), ("ip", "string"), ("session_id", "string"), ("seq", "int32"), ("epoch", "int64"), ("key", "string"),
+        ("request", "string"), ("dataset_id", "string"), ("referer", "string"), ("_starts", "bool"),
+    ]))
+    got = [node for batch in tree._grow(sent.to_batches(max_chunksize=7)) for node in batch.to_pylist()]
+    sessions_of = {}
+    for row in rows:
+        sessions_of.setdefault(row["session_id"], []).append({k: v for k, v in row.items() if k != "_starts"})
+    assert got == [node for session in sessions_of.values() for node in tree.referer_tree(session)] and len(got) > 200
+    assert list(tree._grow([])) == []
+
+
+def test_rows_before_the_first_search_are_not_sent(spark):
+    one = log(spark, [(0, VIEW, "-"), (1, "/f", None), (2, LIST, "-"), (3, VIEW, SITE + LIST)]).withColumn("session_id", F.lit("s"))
+    nodes = tree.session_tree(one, SITE)
+    assert shape(nodes) == [(3, "datasetlist", 0), (4, "dataset", 3)]
+    assert "_searches" in nodes._jdf.queryExecution().optimizedPlan().toString().split("MapInArrow")[1]
+
+
+def test_sessions_of_documents_are_worked_out_once(spark, sf_dir, monkeypatch):
+    """The documents read the sessions three times: for the tree, the requests and the keywords."""
+    staged, written = [], queries.stage
+    monkeypatch.setattr(queries, "stage", lambda table, label: staged.append(label) or written(table, label))
+    assert queries.session_documents(spark, sf_dir).count() == queries.gap_sessions(spark, sf_dir).select("ip", "month", "session_id").distinct().count()
+    assert staged == ["sessions", "session-documents"]
+
+
 def test_first_fit(spark):
     rows = [(0, LIST, "-"), (1, LIST + "&x", "-"), (2, VIEW, "-"), (3, "/f", None), (4, "/g", None)]
     assert shape(grown(spark, rows, "first_fit")) == [

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,14 +20,6 @@ NODE_SCHEMA = (
     "search_url string"
 )
 
-_ARROW = pa.schema([
-    ("month", pa.string()), ("ip", pa.string()), ("session_id", pa.string()), ("seq", pa.int32()),
-    ("epoch", pa.int64()), ("key", pa.string()), ("request", pa.string()), ("dataset_id", pa.string()),
-    ("parent_seq", pa.int32()), ("parent_key", pa.string()), ("n_children", pa.int32()),
-    ("downloaded", pa.bool_()), ("search_url", pa.string()),
-])
-
-
 FLUSH_ROWS = 10_000
 
 
@@ -105,21 +98,44 @@ def _first_fit_nodes(rows: DataFrame) -> DataFrame:
     )
 
 
+PASSED = ("month", "ip", "session_id", "seq", "epoch", "key", "request", "dataset_id")
+GROWN = (
+    ("parent_seq", pa.int32()), ("parent_key", pa.string()), ("n_children", pa.int32()), ("downloaded", pa.bool_()),
+    ("search_url", pa.string()),
+)
+READ = ("seq", "key", "request", "referer")
+
+
+def _trees(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Nodes of whole sessions. Only what the tree is built from becomes Python values; other columns are taken as they are."""
+    if not held:
+        return
+    whole = pa.Table.from_batches(held).combine_chunks()
+    starts, rows = whole.column("_starts").to_pylist(), zip(*[whole.column(c).to_pylist() for c in READ])
+    nodes, session = [], []
+    for at, (seq, key, request, referer) in enumerate(rows):
+        if starts[at]:
+            nodes.extend(referer_tree(session))
+            session = []
+        session.append({"at": at, "seq": seq, "key": key, "request": request, "referer": referer})
+    nodes.extend(referer_tree(session))
+    kept = whole.select(PASSED).take(pa.array([n["at"] for n in nodes], pa.int64()))
+    for name, kind in GROWN:
+        kept = kept.append_column(name, pa.array([n[name] for n in nodes], kind))
+    yield from kept.combine_chunks().to_batches(max_chunksize=FLUSH_ROWS)
+
+
 def _grow(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    session, held, ready = None, [], []
+    held = []  # the last session may go on in the next batch
     for batch in batches:
-        for row in batch.to_pylist():
-            key = (row["month"], row["ip"], row["session_id"])
-            if key != session:
-                ready.extend(referer_tree(held))
-                session, held = key, []
-            held.append(row)
-            while len(ready) >= FLUSH_ROWS:
-                yield pa.RecordBatch.from_pylist(ready[:FLUSH_ROWS], schema=_ARROW)
-                ready = ready[FLUSH_ROWS:]
-    ready.extend(referer_tree(held))
-    for low in range(0, len(ready), FLUSH_ROWS):
-        yield pa.RecordBatch.from_pylist(ready[low:low + FLUSH_ROWS], schema=_ARROW)
+        starts = np.flatnonzero(batch.column("_starts").to_numpy(zero_copy_only=False))
+        if len(starts):
+            last = int(starts[-1])
+            yield from _trees([*held, batch.slice(0, last)])
+            held = [batch.slice(last)]
+        else:
+            held.append(batch)
+    yield from _trees(held)
 
 
 def session_tree(
@@ -129,10 +145,13 @@ def session_tree(
 
     Where a node hangs depends on which earlier nodes were kept, so sessions are streamed one at a time,
     whole unless a ``limit`` is given. Numbering the requests has already brought every session together
-    in time order; the sort states that order and costs no second shuffle. Each node carries the nearest
-    search above it (``search_url``); `ancestry` finds the others. Memory and output are linear in the session.
+    in time order; the sort states that order and costs no second shuffle. Rows before a session's first
+    search page can't be nodes and aren't sent to Python. Each node carries the nearest search above it
+    (``search_url``); `ancestry` finds the others. Memory and output are linear in the session.
     """
-    rows = session_requests(log, limit).sortWithinPartitions(*SESSION, "ts", "line_id")
+    so_far = Window.partitionBy(*SESSION).orderBy("ts", "line_id").rowsBetween(Window.unboundedPreceding, 0)
+    searches = F.count_if(event_class(F.col("log_type"), F.col("request")) == "datasetlist").over(so_far)
+    rows = session_requests(log, limit).withColumn("_searches", searches).sortWithinPartitions(*SESSION, "ts", "line_id")
     path = F.when(F.col("log_type") == "http", request_path(F.col("request")))
     ordered = rows.select(
         *SESSION,
@@ -141,11 +160,12 @@ def session_tree(
         event_class(F.col("log_type"), F.col("request")).alias("key"),
         F.lower(F.coalesce(path, "request")).alias("request"),
         dataset_id(path).alias("dataset_id"),
-        site_referer(F.col("referer"), site).alias("referer"),
+        site_referer(F.col("referer"), site).alias("referer"), "_searches",
     ).where(F.col("key").isin(*KEYS))
     if mode == "first_fit":
         return _first_fit_nodes(ordered)
-    return ordered.mapInArrow(_grow, NODE_SCHEMA)
+    started = ordered.where("_searches > 0").withColumn("_starts", (F.col("_searches") == 1) & (F.col("key") == "datasetlist"))
+    return started.drop("_searches").mapInArrow(_grow, NODE_SCHEMA)
 
 
 def view_nodes(nodes: DataFrame) -> DataFrame:
