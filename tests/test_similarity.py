@@ -132,15 +132,31 @@ def test_document_term_cosine_takes_the_whole_vocabulary(spark, tmp_path):
     assert len(want) > 250  # nearly all have one document; stems may fall together
 
 
-def test_svd_group_cosine_names_copies_once(spark, tmp_path):
-    """A row a part, not a pair of parts: 7 brands, the 5 of largest norm stay."""
+def _parts_of_seven_brands(spark, folder):
     parts = [(i, f"Brand#{11 + 10 * (i % 7)}") for i in range(700)]
-    spark.createDataFrame(parts, "p_partkey bigint, p_brand string").write.parquet(f"{tmp_path}/part.parquet")
-    got = {r["term"]: (r["first"], r["links"], r["hundredths"]) for r in queries.svd_group_cosine(spark, str(tmp_path)).collect()}
+    spark.createDataFrame(parts, "p_partkey bigint, p_brand string").write.parquet(f"{folder}/part.parquet")
+    return parts
+
+
+def test_svd_group_names_copies_once(spark, tmp_path):
+    """A row a part, not a pair of parts: 7 brands, the 5 of largest norm stay."""
+    parts = _parts_of_seven_brands(spark, tmp_path)
+    rows = src.table(spark, str(tmp_path), "part").selectExpr("p_partkey as term", "p_brand as doc", "double(substring(p_brand, 7, 2)) as weight")
+    linked = similarity.linked_rows(matrix.svd_embedding(rows, 5), matrix.ZERO)
+    got = {r["term"]: (r["first"], r["links"], r["hundredths"]) for r in linked.collect()}
     firsts = {g: min(str(i) for i, _ in parts if i % 7 == g) for g in range(7)}
     assert got == {str(i): (firsts[i % 7], 99, 9900) for i, _ in parts if i % 7 >= 2}
 
 
+def test_svd_group_cosine_has_every_pair(spark, tmp_path):
+    """Each of the 5 brands of largest norm has all its pairs of parts, whatever copies they are."""
+    parts = _parts_of_seven_brands(spark, tmp_path)
+    got = sorted(tuple(r) for r in queries.svd_group_cosine(spark, str(tmp_path)).collect())
+    names = {g: sorted(str(i) for i, _ in parts if i % 7 == g) for g in range(2, 7)}
+    assert got == sorted((a, b, 1.0) for each in names.values() for i, a in enumerate(each) for b in each[i + 1:])
+    assert len(got) == 5 * 100 * 99 // 2
+
+
 def test_noise_is_no_link(spark):
     data = [("a", "x", 1.0), ("b", "y", 1.0), ("b", "x", 1e-12), ("c", "y", 1.0), ("c", "z", 1.0)]
     got = {r["term"]: (r["links"], r["hundredths"]) for r in similarity.linked_rows(spark.createDataFrame(data, SCHEMA), 1e-9).collect()}
