@@ -245,3 +245,22 @@ def test_rule_file(spark, tmp_path):
     frame = spark.createDataFrame(rows, "query_a string, filter_b string, support_a double, confidence double, count double, type int")
     matrices.write_rules(frame, 0, str(tmp_path / "r"))
     assert [tuple(r) for r in spark.read.csv(str(tmp_path / "r")).collect()] == [("a", "f", "3.0", "0.12", "2.0")]
+
+
+def test_asked_rows_are_sent_and_the_matrix_is_not_shuffled(spark, monkeypatch):
+    """The cells meet the asked rows where they are, in one round or several; rows and features without a name are no match."""
+    rng = random.Random(9)
+    data = [(f"t{i:02}", f"f{j}", float(rng.randint(1, 5))) for i in range(40) for j in rng.sample(range(15), 4)]
+    odd = [(None, "f1", 3.0), ("t05", None, 2.0), ("zero", "f1", 0.0)]
+    table = spark.createDataFrame(data + odd, "term string, feature string, weight double")
+    asked = spark.createDataFrame([("t05",), ("t07",), ("t07",), ("zero",), ("other",), (None,)], "term string")
+    whole = brute_cosine([*data, ("t05", "none", 2.0)])
+    want = {k: w for k, w in whole.items() if {"t05", "t07"} & set(k)}
+    for most in (2_000_000, 3):
+        monkeypatch.setattr(matrix, "ASKED_ENTRIES", most)
+        rows = matrix.cosine_with(table, asked)
+        got = {(r["term_a"], r["term_b"]): r["weight"] for r in rows.collect()}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    monkeypatch.setattr(matrix, "ASKED_ENTRIES", 2_000_000)
+    plan = matrix.cosine_with(table, asked)._jdf.queryExecution().optimizedPlan().toString()
+    assert "rightHint=(strategy=broadcast)" in plan or "leftHint=(strategy=broadcast)" in plan

@@ -124,7 +124,7 @@ def ranked_hits(terms: DataFrame, postings: DataFrame, k: int = 500) -> DataFram
     The blocks of highest bound are scored first. What they yield gives each input a k-th score, and of the other
     blocks only those that can reach it are scored.
     """
-    terms = stage(terms.select("input", "part", "term", "n_terms"), "query-terms")
+    terms = terms.select("input", "part", "term", "n_terms")
     hits = reduce(DataFrame.unionByName, [h for _, h in scoring_rounds(terms, postings, k)])
     rank = F.row_number().over(Window.partitionBy("input").orderBy(F.desc("score"), "doc"))
     return hits.withColumn("rank", rank).where(F.col("rank") <= k).select("input", "rank", "doc", "score")
@@ -137,7 +137,7 @@ def search_metadata(groups: DataFrame, index: DataFrame, k: int = 500, block_doc
     the percentage of the query's best score. ``index`` is a postings table, best written once and read
     back, or `impact_postings` of one. Blocks of documents that cannot reach the first ``k`` are not scored.
     """
-    terms = query_terms(groups)
+    terms = stage(query_terms(groups), "query-terms")  # few beside the postings, which are then not shuffled to be met
     if "impact" not in index.columns:
         index = stage(impact_postings(index, terms, block_docs), "impact-postings")
     top = ranked_hits(terms, index, k)
