@@ -4,6 +4,8 @@ import math
 import random
 from collections import defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from pyspark.sql import functions as F
@@ -11,6 +13,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import matrix, similarity
 from tidemark.plans import inputs as src
 from tidemark.plans import queries
+from tidemark.session import stage
 
 SCHEMA = "term string, feature string, weight double"
 
@@ -168,3 +171,60 @@ def test_tasks_of_registered_queries_are_bounded(spark):
     queries.REGISTRY["keyword_suggestions"](spark, "/root/testdata/sf0.001")
     rows = spark.range(2_000_000).select(F.sha2(F.col("id").cast("string"), 256).alias("x")).distinct()
     assert rows.rdd.getNumPartitions() >= 12
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 4, 7])
+def test_blocks_meet_once_and_are_not_shuffled(spark, n):
+    packed = spark.createDataFrame([(i, bytes([i])) for i in range(n)], "block int, data binary")
+    met = matrix.met_rows(packed, n)
+    assert sorted((min(r["x"], r["y"]), max(r["x"], r["y"])) for r in met.collect()) == [(i, j) for i in range(n) for j in range(i, n)]
+    assert all(r["held"]["data"][0] == r["x"] and r["passing"]["data"][0] == r["y"] for r in met.collect())
+    assert "Exchange" not in met._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("tile", [64, 1 << 20])
+def test_hits_of_blocks(monkeypatch, tile):
+    """Rows with few and with many products, a feature only one block has, pieces of any size."""
+    monkeypatch.setattr(matrix, "TILE", tile)
+    rng = np.random.default_rng(1)
+    sides = []
+    for shift in (0, 5):
+        dense = rng.uniform(-1, 1, (50, 200)) * (rng.uniform(size=(50, 200)) < 0.004)
+        dense[:3, 10:60] = 0.5
+        row, code = np.nonzero(dense)
+        names = pa.array([f"r{i}" for i in range(50)])
+        sides.append((dense, matrix._Block(names, np.bincount(row, minlength=50), pa.array(np.arange(200) + shift), code, dense[row, code])))
+    (a, left), (b, right) = sides
+    want = a[:, 5:] @ b[:, :-5].T
+    got = {}
+    for i, j, dots in matrix._hits(left, right, 0.0):
+        assert len(i) <= max(tile, 50)
+        got |= dict(zip(zip(i.tolist(), j.tolist(), strict=True), dots, strict=True))
+    assert got.keys() == {(int(i), int(j)) for i, j in zip(*np.nonzero(want > 0), strict=True)}
+    assert all(abs(want[k] - v) < 1e-12 for k, v in got.items())
+
+
+def test_linked_rows_in_rounds(spark, monkeypatch):
+    """A matrix of many blocks is dealt in rounds; links are the same."""
+    monkeypatch.setattr(matrix, "ROUND_CELLS", 300)
+    monkeypatch.setattr(matrix, "STREAMS", 2)
+    monkeypatch.setattr(similarity, "row_links", lambda rows: matrix.row_links(rows, block_rows=25))
+    data = crowded(random.Random(8))
+    got = {r["term"]: (r["links"], r["hundredths"]) for r in similarity.linked_rows(spark.createDataFrame(data, SCHEMA)).collect()}
+    want = brute_links(data)
+    assert got.keys() == want.keys() and all(got[t][0] == n and abs(got[t][1] - h) <= 1 for t, (n, h) in want.items())
+
+
+def _shuffle_files(spark):
+    files = spark._jsc.sc().env().blockManager().diskBlockManager().getAllFiles()
+    return {files.apply(i).getName() for i in range(files.size()) if files.apply(i).getName().startswith("shuffle")}
+
+
+def test_a_written_table_leaves_no_shuffle(spark):
+    table = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count()
+    before = _shuffle_files(spark)
+    assert stage(table, "counts").count() == 7
+    assert {r["count"] for r in table.collect()} == {142, 143}  # what was written can be worked out again
+    assert stage(table.join(table.withColumnRenamed("count", "n"), "k"), "pairs").count() == 7
+    left = {f.split("_")[1] for f in _shuffle_files(spark) - before}
+    assert len(left) <= 3  # of what was counted and collected, not of what was written
