@@ -182,6 +182,19 @@ def test_blocks_meet_once_and_are_not_shuffled(spark, n):
     assert "Exchange" not in met._jdf.queryExecution().executedPlan().toString()
 
 
+def test_cosine_of_many_blocks_shuffles_no_row_twice(spark):
+    """Blocks meet without a shuffle; rows without a feature, of zeros, of nothing, and without a term."""
+    rng = random.Random(4)
+    data = [(f"t{i:03}", f"f{j}", rng.uniform(-1, 1)) for i in range(90) for j in rng.sample(range(30), 4)]
+    odd = [("t003", None, 2.0), (None, "f1", 1.0), ("zero", "f1", 0.0), ("none", "f1", None), ("bare", None, 1.0)]
+    rows = matrix.row_cosine(spark.createDataFrame(data + odd, SCHEMA), blocks=9, slices=1, above=0.0)
+    assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
+    norm = math.sqrt(1 + 4 / sum(w * w for t, _, w in data if t == "t003"))
+    want = {k: w / (norm if "t003" in k else 1) for k, w in brute(data, -1.0).items() if w > 1e-12}
+    got = {(r["term_a"], r["term_b"]): r["weight"] for r in rows.collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
 @pytest.mark.parametrize("tile", [64, 1 << 20])
 def test_hits_of_blocks(monkeypatch, tile):
     """Rows with few and with many products, a feature only one block has, pieces of any size."""
